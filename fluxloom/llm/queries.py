@@ -6,14 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, token_counts, token_files
+from . import decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filter
 from .common import table
 
+#: Host and path rules of the url query.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, table(spark, sf_dir, "labels"), URL_RULES)
+    return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", F.col("lang"), F.exp("_score").alias("perplexity"), F.exp("_threshold").alias("threshold"), F.col("_keep").alias("keep"))
@@ -28,6 +48,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
@@ -39,7 +63,46 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_quality, op6_token_files, op7_mix, op9_token_counts, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filter, op2_toxicity, op3_decontaminate, op4_embedding_dedup, op5_quality, op6_token_files, op7_mix, op8_suffix_dedup, op9_token_counts, op10_simhash)
+}
+
+OP1_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         coalesce(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '') AS query
+  FROM pages),
+words AS (
+  SELECT page_id, url, unnest(list_distinct(list_filter(
+           [ 'h:' || x for x in string_split(host, '.')] || [ 'p:' || x for x in string_split(path, '/')]
+           || [ 'q:' || string_split(x, '=')[1] for x in string_split(query, '&')], lambda x: length(x) > 2))) AS token
+  FROM parts),
+bad AS (SELECT doc_id AS page_id, min(quality) = 0 AS block FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+known AS (SELECT w.page_id, w.token, b.block FROM words w JOIN bad b USING (page_id)),
+least AS (SELECT greatest(5, ceil(0.001 * count(DISTINCT page_id))) AS n FROM known),
+sets AS (
+  SELECT page_id, block, [token] AS rule FROM known
+  UNION ALL SELECT a.page_id, a.block, [a.token, b.token] FROM known a JOIN known b ON a.page_id = b.page_id AND a.token < b.token
+  UNION ALL SELECT a.page_id, a.block, [a.token, b.token, c.token] FROM known a JOIN known b ON a.page_id = b.page_id AND a.token < b.token JOIN known c ON a.page_id = c.page_id AND b.token < c.token),
+rules AS (
+  SELECT rule FROM sets GROUP BY rule
+  HAVING count(*) FILTER (block) >= (SELECT n FROM least) AND count(*) FILTER (block) >= 0.5 * count(*)),
+members AS (SELECT rule, len(rule) AS size, unnest(rule) AS token FROM rules),
+hits AS (
+  SELECT DISTINCT url FROM (
+    SELECT url, rule FROM (SELECT DISTINCT url, token FROM words) w JOIN members USING (token) GROUP BY url, rule, size HAVING count(*) = size)),
+fixed(verdict, name, start) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+ruled AS (
+  SELECT p.page_id, p.url, p.host, p.path,
+         (SELECT max_by({'rule': f.name || f.start, 'verdict': f.verdict}, length(f.name || f.start)) FROM fixed f
+          WHERE (p.host = f.name OR ends_with(p.host, '.' || f.name)) AND starts_with(p.path, f.start)) AS found
+  FROM parts p)
+SELECT page_id, host, path, found.rule AS rule, coalesce(found.verdict, CASE WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN hits h USING (url)
+"""
 
 OP7_SQL = r"""
 WITH sized AS (
@@ -66,4 +129,4 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-ORACLE_SQL = {"op7_mix": OP7_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op7_mix": OP7_SQL}
