@@ -4,9 +4,10 @@ The lexicon is learned: words that are frequent in toxic and rare in other label
 It becomes a trie; a Levenshtein automaton runs against all of it at once, state by state,
 so a word is held against every term within the edits its length allows (one from MIN_FUZZY
 letters, two from LONG) in a few steps. Words that are known from clean labelled texts don't
-count as misspellings. Each hit counts by the strength of its term and by its window: quoted
+count as misspellings, and a term with many such words near it is weak as a misspelling. Each hit counts by the strength of its term and by its window: quoted
 or reported hits, hits near the second person or another hit, and others are summed apart. A
-logistic model weighs these sums.
+logistic model weighs these sums. It is also shown each toxic text of the sample as if its
+exact hits were misspelled, as misspellings are rarer there than where they are meant to hide.
 
 Lexicon and weights are fitted on the labelled rows whose crc32(id as text) mod `folds` is
 not 0, at most about SAMPLE of them (chosen by hash); every text is scored.
@@ -51,7 +52,7 @@ class LexiconAutomaton:
     A state is a set of (trie node, edits made); a step by a letter matches it, replaces it,
     drops it, or inserts a letter of the trie."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, tuple[float, float]]):
         self.children, self.term = [{}], [None]
         for t in sorted(terms):
             node = 0
@@ -103,15 +104,22 @@ class LexiconAutomaton:
             state = nxt
             if len(state) == 1:
                 return None
-        ends = [(edits, -self.terms[t], t) for node, edits in state[1:] if (t := self.term[node]) and edits <= (0, 1, 2)[(len(t) >= MIN_FUZZY) + (len(t) >= LONG)]]
+        ends = [(edits, -self.terms[t][0], t) for node, edits in state[1:] if (t := self.term[node]) and edits <= (0, 1, 2)[(len(t) >= MIN_FUZZY) + (len(t) >= LONG)]]
         return (min(ends)[0], min(ends)[2]) if ends else None
 
 
 class Scorer:
-    def __init__(self, terms: dict[str, float], known: frozenset[str] = frozenset()):
+    """terms: term -> its strength, and that of words near it."""
+
+    def __init__(self, terms: dict[str, tuple[float, float]], known: frozenset[str] = frozenset()):
         self.automaton, self.terms, self.known = LexiconAutomaton(terms), terms, known
-        # A hit as (edits, strength); False for none, as the memo keeps no None.
-        self.memo = Memo(lambda w: (hit[0], terms[hit[1]]) if w not in known and (hit := self.automaton.find(w)) else False)
+        self.memo = Memo(self._hit)
+
+    def _hit(self, word: str) -> tuple[int, float] | bool:
+        """(edits, strength); False for none, as the memo keeps no None."""
+        hit = None if word in self.known else self.automaton.find(word)
+        strength = self.terms[hit[1]][hit[0] > 0] if hit else 0
+        return (hit[0], strength) if strength > 0 else False
 
     def features(self, text: str | None) -> list[float]:
         """Sums of strengths: exact, misspelled, quoted, addressed or near another hit, the most,
@@ -144,8 +152,17 @@ class Scorer:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic model, the constant last, by Newton steps with a ridge."""
-    x = np.c_[x, np.ones(len(x))]
+    """Weights of a logistic model, the constant last, by Newton steps with a ridge. Features
+    are evidence: one that would get a negative weight is left out."""
+    w = _newton(np.c_[x, np.ones(len(x))], y, ridge, rounds)
+    while (w[:-1] < 0).any():
+        x = x * (w[:-1] > 0)
+        w = _newton(np.c_[x, np.ones(len(x))], y, ridge, rounds)
+        w[:-1][~x.any(axis=0)] = 0
+    return w
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int) -> np.ndarray:
     w = np.zeros(x.shape[1])
     pull = np.diag([ridge] * (len(w) - 1) + [1e-6])
     for _ in range(rounds):
@@ -184,19 +201,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     known = materialize(texts.mapInArrow(words, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
     strong = known.where((F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * F.col("n")) & (F.length("word") >= 3))
     rows = strong.orderBy(F.desc("t"), "word").limit(TERMS).collect()
-    terms = {r["word"]: math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5)) for r in rows}
-    shipped = spark.sparkContext.broadcast(terms)
+    shipped = spark.sparkContext.broadcast({r["word"]: (0.0, 0.0) for r in rows})
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = LexiconAutomaton(shipped.value)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"word": [w for w in batch["word"].to_pylist() if w not in shipped.value and automaton.find(w)]}, schema=pa.schema([("word", pa.string())]))
-
-    clean = known.where((F.col("n") - F.col("t") >= 2) & (F.col("t") < 0.5 * F.col("n"))).select("word", "n")
-    near = clean.select("word").mapInArrow(alike, "word string").join(clean, "word").orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    lookalikes = frozenset(r["word"] for r in near)
+            hits = [(w, n, hit[1]) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True) if w not in shipped.value and (hit := automaton.find(w))]
+            words, numbers, terms = zip(*hits, strict=True) if hits else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(numbers, pa.int64()), pa.array(terms, pa.string())], names=["word", "n", "term"])
+
+    clean = known.where(F.col("t") < 0.5 * F.col("n")).select("word", (F.col("n") - F.col("t")).alias("n"))
+    near = materialize(clean.mapInArrow(alike, "word string, n long, term string"))
+    lookalikes = frozenset(r["word"] for r in near.where("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN).collect())
+    misled = {r["term"]: r["n"] for r in near.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # of TERMS terms
+    odds = lambda t, n: math.log((t + 0.5) / (n + 0.5))
+    terms = {r["word"]: (odds(r["t"], r["n"] - r["t"]), max(0.0, odds(r["t"], misled.get(r["word"], 0)))) for r in rows}
     found = with_features(texts, terms, lookalikes).select("_features", "toxic").toPandas()  # about `sample` rows
-    return terms, lookalikes, logistic(np.array(found["_features"].tolist()), found["toxic"].to_numpy(float))
+    x, y = np.array(found["_features"].tolist()).reshape(-1, FEATURES), found["toxic"].to_numpy(float)
+    bent = x[(y > 0) & (x[:, 0] > 0)]
+    bent[:, 1] = np.log1p(np.expm1(bent[:, 1]) + 0.7 * np.expm1(bent[:, 0]))
+    bent[:, 0], bent[:, 4] = 0, np.log1p(0.7 * np.expm1(bent[:, 4]))
+    return terms, lookalikes, logistic(np.r_[x, bent], np.r_[y, np.ones(len(bent))])
 
 
 def with_features(docs: DataFrame, terms: dict, known: frozenset, text: str = "text") -> DataFrame:
