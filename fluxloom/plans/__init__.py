@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import fluxes, scenes
+from . import files, fluxes, scenes
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "fluxes", "scenes"]
+__all__ = ["ORACLE_SQL", "QUERIES", "files", "fluxes", "scenes"]

@@ -124,7 +124,7 @@ def v11_fit_nee(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def v12_fit_combined(spark: SparkSession, d: str) -> DataFrame:
-    rows = planted(spark, d).select("vprm_class", "par", "tcorr", "Ps", "Ws", "Ts", "evi", "nee")
+    rows = planted(spark, d).select("vprm_class", "par", "tcorr", "Ps", "Ws", "Ts", "evi", "nee").persist()
     dark = V.fit_respiration(rows)
     start = V.fit_nee(rows, dark, [50, 100, 200, 400, 800, 1600]).select("vprm_class", "lamb", "par0").join(dark.select("vprm_class", "alpha", "beta"), "vprm_class")
     return V.fit_combined(rows, start).select(F.col("vprm_class").cast("long").alias("vprm_class"), "lamb", "par0", "alpha", "beta", "mse")
@@ -618,6 +618,17 @@ def v15_v17_j15_training(spark: SparkSession, d: str) -> DataFrame:
     return L.upscaling_table(t, s, ["site"]).select("site", "step", r6("evi").alias("evi"))
 
 
+@query("tower_obs", sql="""
+, m AS (SELECT site AS c, hh // 2 AS hour, avg(t2m) AS t FROM tower_obs GROUP BY 1, 2), s AS (SELECT site AS c, day, avg(nee) AS evi FROM tower_obs WHERE qc = 0 GROUP BY 1, 2)
+SELECT t.site, t.step, round(coalesce(m.t, 0), 6) AS met_t, round(coalesce(s.evi, 0), 6)+0e0 AS evi FROM tower_obs t LEFT JOIN m ON t.site = m.c AND CAST(ceil(t.hh / 2e0 - 0.5e0) AS BIGINT) = m.hour LEFT JOIN s ON t.site = s.c AND t.day = s.day""")
+def v16_training_table(spark: SparkSession, d: str) -> DataFrame:
+    t = bind(spark, d, "tower_obs")
+    m = t.groupBy("site", F.timestamp_seconds(F.floor(F.col("hh") / 2) * 3600).alias("valid_time")).agg(F.avg("t2m").alias("met_t"))
+    s = t.where("qc = 0").groupBy("site", "day").agg(F.avg("nee").alias("evi"))
+    out = L.training_table(t.select("site", "step", "day", "t"), s, m, ["site"])
+    return out.select("site", "step", r6("met_t").alias("met_t"), r6("evi").alias("evi"))
+
+
 @query("stack", "fractions", sql="""
 , p AS (SELECT x, y, quantile_cont(evi * 0.3e0, 0.9) AS a, quantile_cont(evi * 0.3e0, 0.1) AS b FROM stack GROUP BY 1, 2)
 SELECT p.x, p.y, round(a, 6) AS p90, round(b, 6) AS p10, sum(frac) FILTER (vprm_class = 1) AS c1, sum(frac) FILTER (vprm_class = 7) AS c7, coalesce(sum(frac) FILTER (vprm_class = 7), 0) < 0.5e0 AS flux_mask FROM p JOIN fractions f ON p.x = f.x AND p.y = f.y GROUP BY ALL""")
