@@ -116,23 +116,29 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
     """One row per document: id, fp (signed long) and component_id, the smallest id of its class."""
-    docs = materialize(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", words, seed).select("id", "fp"))
+    return _classes(docs, id_col, text, words, seed, bits).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
+    """The same with the text's hash: id, hash, fp, component_id."""
+    docs = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", words, seed)
+    docs = materialize(docs.select("id", F.xxhash64("text").alias("hash"), "fp"))
     prints = materialize(docs.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(prints, bits))
     named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(lowest, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return docs.join(named, "fp").select("id", "hash", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents whose id is the smallest of their class, all columns kept.
 
-    Rows that repeat both id and text count once. A row with a null id cannot be named as a
-    copy and stays, once for each text.
+    Rows that repeat both id and text count once. A row with a null id stays only where no
+    member of its class has an id, once for each text.
     """
-    kept = classes(docs, id_col, text, **options).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("_kept")).distinct()
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = _classes(docs, id_col, text, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("id").alias("_kept"), F.col("hash").alias("_hash")).distinct()
+    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
     order = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(1))
     return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
