@@ -63,16 +63,16 @@ def s03_ameriflux(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("tower_obs", sql="""
-SELECT 'K67' AS site, (hh * 1800000000 + 4 * 3600000000)::BIGINT AS utc, round(round(t2m + 273.15e0, 3) - 273.15e0, 4)+0e0 AS t2m, -2.857e0 AS lat FROM tower_obs WHERE site = 3""")
+SELECT 'K67' AS site, (hh * 1800000000 + 4 * 3600000000)::BIGINT AS utc, round(round(t2m + 273.15e0, 5) - 273.15e0, 3)+0e0 AS t2m, -2.857e0 AS lat FROM tower_obs WHERE site = 3""")
 def s04_brazil(spark: SparkSession, d: str) -> DataFrame:
     t = bind(spark, d, "tower_obs").where("site = 3").orderBy("hh")
     hour = (F.col("hh") % 48) / 2
-    row = F.concat_ws("  ", F.lit("2024"), (F.col("day") + 1).cast("string"), hour.cast("string"), F.round(F.col("t2m") + 273.15, 3).cast("string"))
+    row = F.concat_ws("  ", F.lit("2024"), (F.col("day") + 1).cast("string"), hour.cast("string"), F.round(F.col("t2m") + 273.15, 5).cast("string"))
     head = spark.createDataFrame([("Year_LBAMIP DoY_LBAMIP Hour_LBAMIP Tair_LBAMIP",), ("- - h K",)], "value string")
     path = scratch(spark, "K67")
     head.unionByName(t.select(row.alias("value"))).write.text(path)
     out = R.read_tower_brazil(spark, path, "K67", offset_hours=-4.0)
-    return out.select("site", F.unix_micros("datetime_utc").alias("utc"), r6("t2m", 4).alias("t2m"), "lat")
+    return out.select("site", F.unix_micros("datetime_utc").alias("utc"), r6("t2m", 3).alias("t2m"), "lat")
 
 
 @query("tower_obs", sql=TOWER.format(site="DE-Abc") + " AND hh * 1800 + 1800 >= epoch(TIMESTAMP '2024-01-03') AND hh * 1800 + 1800 < epoch(TIMESTAMP '2024-01-09')")
