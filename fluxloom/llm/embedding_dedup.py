@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ from .common import components, materialize
 #: Vectors of the sample that centroids are fitted on, rows of a cell, and centroids at most.
 SAMPLE, CELL, CELLS = 16_384, 500, 2048
 MARGIN = 0.15
-BLOCK = 1024
+#: Vectors of a block, and rows of it that are compared with all of it at once.
+BLOCK, TILE = 4096, 512
 
 
 def fit(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -47,12 +49,18 @@ def fit(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarra
     return centroids
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+
+
 def assign(vecs: DataFrame, margin: float) -> DataFrame:
     """Rows (cell, id, w, home, cells, e) for each cell that a vector (id, w, e) is in. Cells are
     named by the vectors' length and the number of their centroid."""
@@ -64,29 +72,30 @@ def assign(vecs: DataFrame, margin: float) -> DataFrame:
         rows = vecs.where((F.size("e") == d) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
         sample = rows.select("e").limit(2 * SAMPLE).toPandas()["e"].tolist()
         if sample:
-            models[d] = fit(_unit(sample), max(1, min(CELLS, n // CELL, len(sample))))
+            models[d] = fit(_unit(np.array(sample)), max(1, min(CELLS, n // CELL, len(sample))))
     shipped = spark.sparkContext.broadcast(models)
-    schema = "cell string, id long, w long, home int, cells array<int>, e array<double>"
-    out = pa.schema([("cell", pa.string()), ("id", pa.int64()), ("w", pa.int64()), ("home", pa.int32()), ("cells", pa.list_(pa.int32())), ("e", pa.list_(pa.float64()))])
+    element = dict(vecs.dtypes)["e"]
+    kind = pa.list_(pa.float32() if element == "array<float>" else pa.float64())
+    out = pa.schema([("cell", pa.string()), ("id", pa.int64()), ("w", pa.int64()), ("home", pa.int32()), ("cells", pa.list_(pa.int32())), ("e", kind)])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shipped.value
         for batch in batches:
-            rows = []
-            vectors, ids, ws = (batch[c].to_pylist() for c in ("e", "id", "w"))
-            for d in {len(v) for v in vectors}:
-                own = [k for k, v in enumerate(vectors) if len(v) == d]
-                x = _unit([vectors[k] for k in own])
-                near = x @ models[d].T if d in models else np.ones((len(own), 1))
-                homes = near.argmax(axis=1)
-                inside = near >= near.max(axis=1, keepdims=True) - margin
-                for k, v, home, cells in zip(own, x, homes.tolist(), inside, strict=True):
-                    cells = np.flatnonzero(cells).tolist()
-                    rows += [(f"{d}/{c}", ids[k], ws[k], home, cells, v) for c in cells]
-            for a in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows[a : a + 4096], strict=True), out, strict=True)], schema=out)
-
-    return vecs.mapInArrow(place, schema)
+            lengths = pc.list_value_length(batch["e"]).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths).tolist():
+                part = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                x = _unit(_matrix(part["e"], d))
+                near = x @ models[d].T if d in models else np.ones((len(x), 1))
+                row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+                ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(x)))]
+                visited = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int32()))
+                homes = near.argmax(axis=1).astype(np.int32)
+                for a in range(0, len(row), 8192):
+                    k = pa.array(row[a : a + 8192])
+                    names = pa.array([f"{d}/{c}" for c in cell[a : a + 8192].tolist()])
+                    yield pa.RecordBatch.from_arrays([names, part["id"].take(k), part["w"].take(k), pa.array(homes).take(k), visited.take(k), part["e"].take(k).cast(kind)], schema=out)
+
+    return vecs.select("id", "w", "e").mapInArrow(place, f"cell string, id long, w long, home int, cells array<int>, e {element}")
 
 
 def _classes(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,19 +121,22 @@ def found(cells: DataFrame, threshold: float) -> DataFrame:
     def compare(block: pa.Table) -> pa.Table:
         here = int(block["cell"][0].as_py().split("/")[1])
         ids, w, home, own = (block[c].to_numpy() for c in ("id", "w", "home", "own"))
-        cells = block["cells"].to_pylist()
-        e = np.array(block["e"].to_pylist(), np.float64)
-        near = e @ e.T >= threshold
+        cells = block["cells"].to_pylist() if (home != here).any() else None
+        e = _unit(_matrix(block["e"], int(block["cell"][0].as_py().split("/")[0])))
+        near = np.empty((len(e), len(e)), bool)
+        for a in range(0, len(e), TILE):
+            near[a : a + TILE] = e[a : a + TILE] @ e.T >= threshold
         np.fill_diagonal(near, False)
         at_home = home == here
         near &= at_home[:, None] | at_home[None, :]
         if block["i"][0].as_py() != block["j"][0].as_py():
             near &= own[:, None] != own[None, :]
         # A pair of different homes that meets in both counts where the home is the lesser.
-        for a, b in np.argwhere(near & at_home[:, None] & ~at_home[None, :] & (home[None, :] < here)).tolist():
-            if int(home[b]) in cells[a]:
-                near[a, b] = near[b, a] = False
-        n = near @ w
+        lesser = np.flatnonzero(~at_home & (home < here))
+        for a in np.flatnonzero(at_home & near[:, lesser].any(axis=1)).tolist():
+            both = lesser[near[a, lesser] & np.isin(home[lesser], cells[a])]
+            near[a, both] = near[both, a] = False
+        n = np.concatenate([near[a : a + TILE] @ w for a in range(0, len(w), TILE)])
         some = np.flatnonzero(n)
         nodes, roots = _classes(near)
         none = np.full(len(some), -1)
@@ -136,7 +148,9 @@ def found(cells: DataFrame, threshold: float) -> DataFrame:
 
 def classes(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
     """One row per vector: id, n_links, component_id (the least id of its class) and kept."""
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("e"))
+    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("e"))
+    if dict(rows.dtypes)["e"] != "array<float>":
+        rows = rows.withColumn("e", F.col("e").cast("array<double>"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce((F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("e", F.when(good, F.col("e")))
