@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents that one bucket of a source should hold.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def word_count(text: str | Column) -> Column:
