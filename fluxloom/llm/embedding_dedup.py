@@ -4,8 +4,8 @@ Equal vectors are joined first and count by their number. Centroids are fitted o
 sample; their number follows the rows. A vector is at home in the cell of its nearest
 centroid and visits the cells whose centroid is almost as near (within MARGIN of cosine), so
 close vectors meet although a border runs between them. Within a cell every home vector is
-compared in double precision with all home and visiting vectors; large cells are dealt out as
-pairs of blocks. A block sends one number of links for each vector and a spanning set of the
+compared in double precision with all home and visiting vectors, visitors not with each other;
+large cells are dealt out as pairs of blocks. A block sends one number of links for each vector and a spanning set of the
 links it found, never all pairs.
 
 The margin is about three times what the cosine with a centroid can be expected to differ
@@ -98,52 +98,64 @@ def assign(vecs: DataFrame, margin: float) -> DataFrame:
     return vecs.select("id", "w", "e").mapInArrow(place, f"cell string, id long, w long, home int, cells array<int>, e {element}")
 
 
-def _classes(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a symmetric matrix of links: members and the first member of their class."""
-    left, nodes, roots = np.flatnonzero(near.any(axis=1)), [], []
-    while len(left):
-        root, front, left = left[0], left[:1], left[1:]
-        while len(front) and len(left):
-            hit = near[np.ix_(front, left)].any(axis=0)
-            front, left = left[hit], left[~hit]
-            nodes.append(front)
-            roots.append(np.full(len(front), root))
+def _spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a matrix of links between ids: links from each id to the first one of its class."""
+    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near, left, right = near[np.ix_(rows, columns)], left[rows], right[columns]
+    rows, columns, nodes, roots = np.ones(len(left), bool), np.ones(len(right), bool), [], []
+    for first in range(len(left)):
+        if not rows[first]:
+            continue
+        front = np.array([first])
+        rows[first] = False
+        while len(front):
+            met = np.flatnonzero(columns & near[front].any(axis=0))
+            columns[met] = False
+            front = np.flatnonzero(rows & near[:, met].any(axis=1))
+            rows[front] = False
+            nodes += [right[met], left[front]]
+            roots.append(np.full(len(met) + len(front), left[first]))
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (nodes, roots))
 
 
 def found(cells: DataFrame, threshold: float) -> DataFrame:
-    """Rows (u, v, n): a link between two ids, or with v null the number n of links of u."""
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = cells.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cell", "id", "w", "home", "cells", "e", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    """Rows (u, v, n): a link between two ids, or with v null a number n of links of u."""
+    here = F.split("cell", "/")[1].cast("int")
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all"), F.ceil(F.sum((F.col("home") == here).cast("int")) / BLOCK).cast("int").alias("homes"))
+    rows = cells.join(sizes, "cell").where("homes > 0")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # A block of home vectors meets every block of the cell.
+    columns = ["cell", "id", "w", "home", "cells", "e"]
+    left = rows.where(F.col("home") == here).select(*columns, block("homes").alias("i"), F.explode(every("all")).alias("j"), F.lit(True).alias("left"))
+    right = rows.select(*columns, F.explode(every("homes")).alias("i"), block("all").alias("j"), F.lit(False).alias("left"))
 
     def compare(block: pa.Table) -> pa.Table:
-        here = int(block["cell"][0].as_py().split("/")[1])
-        ids, w, home, own = (block[c].to_numpy() for c in ("id", "w", "home", "own"))
-        cells = block["cells"].to_pylist() if (home != here).any() else None
-        e = _unit(_matrix(block["e"], int(block["cell"][0].as_py().split("/")[0])))
-        near = np.empty((len(e), len(e)), bool)
-        for a in range(0, len(e), TILE):
-            near[a : a + TILE] = e[a : a + TILE] @ e.T >= threshold
-        np.fill_diagonal(near, False)
-        at_home = home == here
-        near &= at_home[:, None] | at_home[None, :]
-        if block["i"][0].as_py() != block["j"][0].as_py():
-            near &= own[:, None] != own[None, :]
+        d, here = (int(x) for x in block["cell"][0].as_py().split("/"))
+        side = block["left"].to_numpy()
+        ids, w, home = (block[c].to_numpy() for c in ("id", "w", "home"))
+        e = _unit(_matrix(block["e"], d))
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        near = np.empty((len(a), len(b)), bool)
+        for k in range(0, len(a), TILE):
+            near[k : k + TILE] = e[a[k : k + TILE]] @ e[b].T >= threshold
+        near &= ids[a][:, None] != ids[b][None, :]
         # A pair of different homes that meets in both counts where the home is the lesser.
-        lesser = np.flatnonzero(~at_home & (home < here))
-        for a in np.flatnonzero(at_home & near[:, lesser].any(axis=1)).tolist():
-            both = lesser[near[a, lesser] & np.isin(home[lesser], cells[a])]
-            near[a, both] = near[both, a] = False
-        n = np.concatenate([near[a : a + TILE] @ w for a in range(0, len(w), TILE)])
+        lesser = np.flatnonzero(home[b] < here)
+        for k in np.flatnonzero(near[:, lesser].any(axis=1)).tolist():
+            near[k, lesser[near[k, lesser] & np.isin(home[b[lesser]], block["cells"][int(a[k])].as_py())]] = False
+        guests = home[b] != here
+        tiles = range(0, len(a), TILE)
+        ours = [near[k : k + TILE] @ w[b] for k in tiles]
+        theirs = sum((w[a[k : k + TILE]] @ near[k : k + TILE] for k in tiles), np.zeros(len(b), np.int64))
+        n = np.r_[np.concatenate(ours) if ours else theirs[:0], theirs[guests]]
+        u = np.r_[ids[a], ids[b[guests]]]
+        nodes, roots = _spanning(near, ids[a], ids[b])
         some = np.flatnonzero(n)
-        nodes, roots = _classes(near)
-        none = np.full(len(some), -1)
-        u, v = np.r_[ids[some], ids[nodes]], np.r_[none, ids[roots]]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64(), mask=np.r_[np.ones(len(some), bool), np.zeros(len(nodes), bool)]), "n": pa.array(np.r_[n[some], np.zeros(len(nodes), np.int64)], pa.int64())})
+        mask = np.r_[np.ones(len(some), bool), np.zeros(len(nodes), bool)]
+        return pa.table({"u": pa.array(np.r_[u[some], nodes], pa.int64()), "v": pa.array(np.r_[u[some], roots], pa.int64(), mask=mask), "n": pa.array(np.r_[n[some], np.zeros(len(nodes), np.int64)], pa.int64())})
 
-    return rows.groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long, n long")
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long, n long")
 
 
 def classes(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
