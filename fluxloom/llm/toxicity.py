@@ -10,7 +10,8 @@ logistic model weighs these sums. It is also shown each toxic text of the sample
 exact hits were misspelled, as misspellings are rarer there than where they are meant to hide.
 
 Lexicon and weights are fitted on the labelled rows whose crc32(id as text) mod `folds` is
-not 0, at most about SAMPLE of them (chosen by hash); every text is scored.
+not 0, at most about SAMPLE of them (chosen by hash), one of each group of near copies, as
+copies of one text would pass for evidence from many; every text is scored.
 
 Defined results: null and empty texts have no hit and get the score of a text without any;
 several labels of one id count as the highest; without any label all scores are 0; repeated
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +37,8 @@ from .token_counts import Memo
 
 #: Labelled rows to learn from, terms of the lexicon, and known clean look-alikes at most.
 SAMPLE, TERMS, KNOWN = 20_000, 4_000, 20_000
+#: States of the automaton that are kept before it begins anew.
+STATES = 50_000
 #: A term's least toxic documents, and its least share of them.
 SUPPORT, PRECISION = 3, 0.7
 MIN_FUZZY, LONG, WINDOW = 5, 9, 6
@@ -64,8 +68,27 @@ class LexiconAutomaton:
                 node = self.children[node][c]
             self.term[node] = t
         self.terms = terms
-        self.starts = {k: self._state({(0, 0)}, k) for k in (0, 1, 2)}
-        self.steps: dict[tuple, tuple] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        """Forget all states but the first ones."""
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: list[dict[str, int]] = []
+        self.ends: list[tuple[int, str] | None] = []
+        self.starts = [self._number(self._state({(0, 0)}, k)) for k in (0, 1, 2)]
+
+    def _number(self, state: tuple) -> int:
+        """A state's number, -1 if nothing can follow."""
+        if len(state) == 1:
+            return -1
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+            found = [(edits, -self.terms[t][0], t) for node, edits in state[1:] if (t := self.term[node]) and edits <= (len(t) >= MIN_FUZZY) + (len(t) >= LONG)]
+            self.ends.append((min(found)[0], min(found)[2]) if found else None)
+        return self.numbers[state]
 
     def _state(self, places: set[tuple[int, int]], most: int) -> tuple:
         best: dict[int, int] = {}
@@ -94,18 +117,17 @@ class LexiconAutomaton:
             return 0, word
         if len(word) < MIN_FUZZY - 1:
             return None
+        if len(self.states) > STATES:
+            self._begin()
         state = self.starts[2 if len(word) >= LONG else 1]
         for letter in word:
-            nxt = self.steps.get((state, letter))
-            if nxt is None:
-                if len(self.steps) > 200_000:
-                    self.steps.clear()
-                nxt = self.steps[state, letter] = self._step(state, letter)
-            state = nxt
-            if len(state) == 1:
+            step = self.steps[state].get(letter)
+            if step is None:
+                step = self.steps[state][letter] = self._number(self._step(self.states[state], letter))
+            if step < 0:
                 return None
-        ends = [(edits, -self.terms[t][0], t) for node, edits in state[1:] if (t := self.term[node]) and edits <= (0, 1, 2)[(len(t) >= MIN_FUZZY) + (len(t) >= LONG)]]
-        return (min(ends)[0], min(ends)[2]) if ends else None
+            state = step
+        return self.ends[state]
 
 
 class Scorer:
@@ -130,9 +152,9 @@ class Scorer:
         low = text.lower()
         words = WORD.findall(low)
         hits = list(self.memo.look_up(words))
-        where = [k for k, h in enumerate(hits) if h]
-        if not where:
+        if not any(hits):
             return out
+        where = [k for k, h in enumerate(hits) if h]
         spans = [m.span() for m in WORD.finditer(low)]
         for k in where:
             edits, strength = hits[k]
@@ -151,6 +173,17 @@ class Scorer:
         return [math.log1p(x) for x in out]
 
 
+_SCORERS: dict[int, tuple] = {}
+
+
+def scorer(model: tuple[dict, frozenset]) -> Scorer:
+    """One scorer in each worker process for a model that was sent to it."""
+    if id(model) not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[id(model)] = model, Scorer(*model)
+    return _SCORERS[id(model)][1]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
     """Weights of a logistic model, the constant last, by Newton steps with a ridge. Features
     are evidence: one that would get a negative weight is left out."""
@@ -186,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     share = int(min(1.0, sample / n) * (1 << 30))
     chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share)  # about `sample` rows
     texts = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col(id_col) == F.col("_id"))
-    texts = materialize(texts.select(F.col(text).alias("text"), F.col("_toxic").alias("toxic")))
+    texts = different(materialize(texts.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col("_toxic").alias("toxic"))))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
@@ -224,15 +257,46 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return terms, lookalikes, logistic(np.r_[x, bent], np.r_[y, np.ones(len(bent))])
 
 
+MINHASHES = 4
+
+
+def different(texts: DataFrame) -> DataFrame:
+    """One text of each group that shares a minhash of its word triples, of a bounded table with
+    a column id; texts of fewer words share theirs if all words agree."""
+    names = [f"m{k}" for k in range(MINHASHES)]
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.zeros((batch.num_rows, MINHASHES), np.int64)
+            for k, t in enumerate(batch["text"].to_pylist()):
+                words = WORD.findall((t or "").lower())
+                triples = zip(words, words[1:], words[2:], strict=False) if len(words) > 2 else [words]
+                h = np.array([zlib.crc32(" ".join(x).encode()) for x in triples], np.uint64)
+                for j in range(MINHASHES):
+                    x = (h + np.uint64(j + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    least[k, j] = (x ^ (x >> np.uint64(29))).min().astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"id": batch["id"], **{n: least[:, j] for j, n in enumerate(names)}})
+
+    rows = texts.mapInArrow(hashes, "id long, " + ", ".join(f"{n} long" for n in names)).toPandas()
+    seen, kept = [set() for _ in names], []
+    for r in rows.sort_values("id").itertuples(index=False):
+        if not any(h in s for h, s in zip(r[1:], seen, strict=True)):
+            kept.append((int(r[0]),))
+        for h, s in zip(r[1:], seen, strict=True):
+            s.add(h)
+    chosen = texts.sparkSession.createDataFrame(kept, "id long")
+    return materialize(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]))
+
+
 def with_features(docs: DataFrame, terms: dict, known: frozenset, text: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((terms, known))
 
     @F.pandas_udf("array<double>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(*shipped.value)
+        own = scorer(shipped.value)
         for texts in batches:
-            yield pd.Series([scorer.features(t) for t in texts])
+            yield pd.Series([own.features(t) for t in texts])
 
     return docs.withColumn("_features", features(F.col(text)))
 
