@@ -247,8 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     near = materialize(clean.mapInArrow(alike, "word string, n long, term string"))
     lookalikes = frozenset(r["word"] for r in near.where("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN).collect())
     misled = {r["term"]: r["n"] for r in near.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # of TERMS terms
-    odds = lambda t, n: math.log((t + 0.5) / (n + 0.5))
-    terms = {r["word"]: (odds(r["t"], r["n"] - r["t"]), max(0.0, odds(r["t"], misled.get(r["word"], 0)))) for r in rows}
+    share = texts.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    # Two imagined texts with the labels' own share keep rare terms weak.
+    odds = lambda t, n: math.log((t + 2 * share) / (n + 2 * (1 - share) + 1e-9))
+    terms = {r["word"]: (max(0.0, odds(r["t"], r["n"] - r["t"])), max(0.0, odds(r["t"], misled.get(r["word"], 0)))) for r in rows}
     found = with_features(texts, terms, lookalikes).select("_features", "toxic").toPandas()  # about `sample` rows
     x, y = np.array(found["_features"].tolist()).reshape(-1, FEATURES), found["toxic"].to_numpy(float)
     bent = x[(y > 0) & (x[:, 0] > 0)]
