@@ -172,7 +172,8 @@ def conservative_weights(src_x: DataFrame, src_y: DataFrame, dst_x: DataFrame, d
     ox, oy = (overlaps(a, b) for a, b in ((src_x, dst_x), (src_y, dst_y)))
     ox = ox.join(dst_x.select(F.col("i").alias("dst"), (F.col("hi") - F.col("lo")).alias("size")), "dst").select(F.col("src").alias("sx"), F.col("dst").alias("dx"), (F.col("length") / F.col("size")).alias("wx"))
     oy = oy.join(dst_y.select(F.col("i").alias("dst"), (F.col("hi") - F.col("lo")).alias("size")), "dst").select(F.col("src").alias("sy"), F.col("dst").alias("dy"), (F.col("length") / F.col("size")).alias("wy"))
-    return ox.crossJoin(oy).select("sx", "sy", "dx", "dy", (F.col("wx") * F.col("wy")).alias("w"))
+    # An axis has the square root of its grid's cells; every pair of overlaps is a weight.
+    return ox.crossJoin(F.broadcast(oy)).select("sx", "sy", "dx", "dy", (F.col("wx") * F.col("wy")).alias("w"))
 
 
 def axis(n: int, start: float, step: float, spark) -> DataFrame:
