@@ -89,7 +89,9 @@ def nearest_in_time(rows: DataFrame, scenes: DataFrame, keys: list[str], at: str
     line = scene.unionByName(row)
     w = Window.partitionBy(*keys).orderBy("_t", F.col("_row").isNotNull())
     line = line.withColumn("_before", F.last("_scene", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    line = line.withColumn("_after", F.first("_scene", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # The way back has an order of its own: a frame up to the end would be read anew for each row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.col("_row").isNotNull().desc())
+    line = line.withColumn("_after", F.last("_scene", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     line = line.where("_row IS NOT NULL")
     early = F.col("_before").isNotNull() & (F.col("_after").isNull() | (F.col("_t") - F.col(f"_before.{at}") <= F.col(f"_after.{at}") - F.col("_t")))
     line = line.withColumn("_near", F.when(early, F.col("_before")).otherwise(F.col("_after"))).where("_near IS NOT NULL")
