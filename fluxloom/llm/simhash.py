@@ -137,7 +137,12 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Rows that repeat both id and text count once. A row with a null id stays only where no
     member of its class has an id, once for each text.
     """
-    kept = _classes(docs, id_col, text, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
+    return keep_least(docs, _classes(docs, id_col, text, **options), id_col, text)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The documents that stay of classes (id, hash, component_id)."""
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("id").alias("_kept"), F.col("hash").alias("_hash")).distinct()
     stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
     order = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(1))
