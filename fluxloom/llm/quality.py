@@ -1,14 +1,14 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
 The model is one of characters, trained on the whole of the trusted texts (quality label 1).
-Its alphabet is the most frequent characters of those texts, at most V - 2 of them; one
-more symbol stands for all others and one for the beginning of a text. Every task counts
-the n-grams of its texts and sends the counts it met; Spark sums them, and joins of the
-counts of each order with the totals and discounts of their contexts, sharded by context,
-give the probability of every n-gram seen. The finished table has at most V ** order rows,
-whatever the corpus, so it is shipped to the tasks; contexts not seen fall back to the next
-lower order. The score of a document is the mean negative log probability of its characters,
-the logarithm of its perplexity.
+Its alphabet is every character of those texts. n-grams are exact keys, three code points in
+a long, and everything counted stays in tables: joins of the counts of each order with the
+totals and discounts of their contexts, sharded by n-gram, give the probability of every
+n-gram seen, and the same joins back off for the n-grams of the corpus that were not. The
+n-grams of each document are counted first. The HOT most frequent of the corpus are scored
+where the document is; all others are joined with the table and summed per text, so that no
+join has a hot key. The score of a document is the mean negative log probability of its
+characters, the logarithm of its perplexity. `train` is the dense form for small alphabets.
 
 A document is rejected if its score lies above a quantile of the trusted documents of its
 language and length class, raised by a margin. Groups of too few trusted documents use
@@ -31,8 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-#: Symbols of the alphabet and the order of the model.
+#: Symbols of the dense form's alphabet (the least number of any) and the order of the model.
 V, ORDER = 128, 3
+#: Bits of a character in an n-gram, and the n-grams scored without a join.
+BITS, HOT = 21, 1_000_000
+#: n-grams that a task holds before it sends what it counted.
+HELD = 1_000_000
 #: The quantile of trusted scores, the margin above it, and the trusted documents a group needs.
 QUANTILE, MARGIN, GROUP = 0.99, 0.06, 50
 #: Trusted ids that may be sent to all tasks; more are joined by a shuffle.
@@ -93,7 +97,7 @@ def counts(texts: DataFrame, alphabet: list[int]) -> DataFrame:
     return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _order(level: DataFrame, lower: DataFrame | None, n: int) -> DataFrame:
+def _order(level: DataFrame, lower: DataFrame | None, n: int, bits: int = 7, base: float = 1.0 / V) -> DataFrame:
     """Interpolated probabilities of order n: gram, p, and its context's weight for the lower
     order, from counts (gram, n) and the lower order's (gram, p)."""
     of = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -101,12 +105,12 @@ def _order(level: DataFrame, lower: DataFrame | None, n: int) -> DataFrame:
     cuts = [F.greatest(F.lit(0.05), F.coalesce(k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}"), F.lit(0.5 * k))).alias(f"d{k}") for k in (1, 2, 3)]
     level = level.crossJoin(F.broadcast(level.agg(*of).select(*cuts)))  # the one row of discounts
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.least("d3", "n"))
-    level = level.select("gram", "n", cut.alias("cut"), F.floor(F.col("gram") / V).alias("context"))
+    level = level.select("gram", "n", cut.alias("cut"), F.shiftright("gram", bits).alias("context"))
     totals = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
     level = level.join(totals, "context").withColumn("weight", F.col("left") / F.col("total"))
-    below = F.lit(1.0 / V)
+    below = F.lit(base)
     if lower is not None:
-        level = level.withColumn("suffix", F.pmod("gram", F.lit(V ** (n - 1)))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix", "left")
+        level = level.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << bits * (n - 1)) - 1))).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix", "left")
         below = F.coalesce("below", below)
     return level.select("gram", "context", "weight", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * below).alias("p"))
 
@@ -129,19 +133,104 @@ def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return _symbols(alphabet), np.log(dense).astype(np.float32)
 
 
-def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
+def _keys(text: str) -> np.ndarray:
+    """The n-grams of a text, of code points plus one; 0 begins a text."""
+    points = np.concatenate([np.zeros(ORDER - 1, np.int64), np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1])
+    grams = points[: len(points) - ORDER + 1]
+    for j in range(1, ORDER):
+        grams = grams << BITS | points[j : len(points) - ORDER + 1 + j]
+    return grams
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """Counts of all n-grams of the highest order over any alphabet: gram, n."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        total = np.zeros(len(grams), np.int64)
+        np.add.at(total, at, np.concatenate([n for _, n in parts]))
+        return grams, total
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            found = [_keys(t) for t in batch["text"].to_pylist() if t]
+            if found:
+                parts.append(np.unique(np.concatenate(found), return_counts=True))
+                held += len(parts[-1][0])
+            if held > HELD:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield pa.RecordBatch.from_pydict({"gram": parts[0][0], "n": parts[0][1]})
+                    parts, held = [], 0
+        if parts:
+            grams, n = merged(parts)
+            yield pa.RecordBatch.from_pydict({"gram": grams, "n": n})
+
+    small_batches(texts.sparkSession)
+    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _smoothed(grams: DataFrame, orders: list[DataFrame], n: int, base: float) -> DataFrame:
+    """The probability of distinct n-grams, seen or not: gram, p."""
+    grams = grams.select("gram", F.shiftright("gram", BITS).alias("context"), F.col("gram").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1)).alias("suffix"))
+    seen = orders[n - 1]
+    weights = seen.groupBy("context").agg(F.max("weight").alias("weight"))
+    grams = grams.join(seen.select("gram", "p"), "gram", "left").join(weights, "context", "left")
+    below = F.lit(base)
+    if n > 1:
+        lower = _smoothed(grams.select(F.col("suffix").alias("gram")).distinct(), orders, n - 1, base)
+        grams, below = grams.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix"), F.col("below")
+    return materialize(grams.select("gram", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * below).alias("p")))
+
+
+def log_probabilities(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+    """For every n-gram of `texts` its count there and its log probability after training on
+    `trusted`: gram, n, lp."""
+    levels = [materialize(gram_counts(trusted))]
+    for n in range(ORDER - 1, 0, -1):  # lower orders count the different characters before
+        levels.append(levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1)).alias("gram")).agg(F.count("*").alias("n")))
+    levels[-1] = materialize(levels[-1])
+    base, orders = 1.0 / max(V, levels[-1].count() + 2), []
+    for n, level in enumerate(reversed(levels), 1):
+        orders.append(materialize(_order(level, orders[-1] if orders else None, n, BITS, base)))
+    grams = materialize(gram_counts(texts))
+    return materialize(grams.join(_smoothed(grams, orders, ORDER, base), "gram").select("gram", "n", F.ln("p").alias("lp")))
+
+
+def with_score(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
     """Add the mean negative log probability per character; null for null and empty texts."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(model)
+    hot = model.orderBy(F.desc("n"), "gram").limit(HOT).select("gram", "lp").toPandas().sort_values("gram")
+    shipped = spark.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot["lp"].to_numpy(np.float64)))
+
+    def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        grams, n = np.unique(_keys(text), return_counts=True)
+        known, logs = shipped.value
+        at = np.minimum(np.searchsorted(known, grams), max(len(known) - 1, 0))
+        inside = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+        return grams, n, inside, float((logs[at[inside]] * n[inside]).sum())
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        symbols, logs = shipped.value
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([split(t)[3] if t else None for t in texts], dtype="float64")
+
+    @F.pandas_udf("array<struct<gram:long,n:long>>")
+    def rest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([-float(logs[_grams(_codes(t, symbols))].mean(dtype=np.float64)) if t else None for t in texts], dtype="float64")
+            found = [split(t) if t else None for t in texts]
+            yield pd.Series([[{"gram": int(g), "n": int(k)} for g, k in zip(f[0][~f[2]], f[1][~f[2]], strict=True)] if f else [] for f in found])
 
     small_batches(spark)
-    return docs.withColumn(out, score(F.col(text)))
+    if model.count() <= len(hot):
+        return docs.withColumn(out, -near(F.col(text)) / F.length(text))
+    rows = docs.select(F.md5(text).alias("_text"), F.explode(rest(F.col(text))).alias("r")).select("_text", "r.gram", "r.n")
+    rows = rows.groupBy("_text", "gram").agg(F.max("n").alias("n"))  # equal texts have equal n-grams
+    far = rows.join(model.select("gram", "lp"), "gram").groupBy("_text").agg(F.sum(F.col("n") * F.col("lp")).alias("_far"))
+    docs = docs.join(materialize(far), F.md5(text) == F.col("_text"), "left")
+    return docs.withColumn(out, -(near(F.col(text)) + F.coalesce("_far", F.lit(0.0))) / F.length(text)).drop("_text", "_far")
 
 
 def length_class(text: str | Column) -> Column:
@@ -162,7 +251,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang: str
     few = ids.count() <= SENT_IDS
     trusted = docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("_id"), "left_semi").select(F.col(lang).alias("lang"), length_class(text).alias("length"), F.col(text).alias("text"))
     trusted = trusted if few else materialize(trusted)  # read three times; shuffled once
-    model = train(trusted)
+    model = log_probabilities(docs.select(F.col(text).alias("text")), trusted)
     limits = materialize(thresholds(with_score(trusted, model).select("lang", "length", "score")))
     exact = limits.where("level = 0 AND lang IS NOT NULL").select(F.col("lang").alias("_l"), F.col("length").alias("_n"), F.col("threshold").alias("_t0"))
     by_length = limits.where("level = 1").select(F.col("length").alias("_n1"), F.col("threshold").alias("_t1"))
