@@ -163,7 +163,8 @@ def w02_w04_w05_lowess(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w03_kalman(spark: SparkSession, d: str) -> DataFrame:
-    return S.kalman(stack(spark, d), "evi", 730)
+    own = stack(spark, d)
+    return S.kalman(own, "evi", own.agg(F.max("day")).first()[0] or 0)
 
 
 @query("stack", sql="SELECT x, y, day, round(avg(evi), 6) AS evi FROM stack GROUP BY x, y, day")
