@@ -16,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def guarded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., so that none of its names meets one that an operator
+    uses inside, and which of them each name became."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), {name: f"c{k}" for k, name in enumerate(df.columns)}
+
+
+def restored(df: DataFrame, names: dict[str, str], **added: str) -> DataFrame:
+    """The columns of a guarded table under their own names, then those added (name=column); an
+    added column replaces one of the same name."""
+    taken = {a.lower() for a in added}
+    own = [F.col(c).alias(name) for name, c in names.items() if name.lower() not in taken]
+    return df.select(*own, *[F.col(c).alias(name) for name, c in added.items()])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python in batches of ARROW_ROWS rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -24,13 +38,16 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where no folder is configured (tests on one machine) a temporary one is set.
+    Only where no folder is configured a temporary one is set, and only if driver and executors
+    are one process (tests); on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         java_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if java_dir.isDefined():
             root = java_dir.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
             spark.sparkContext.setCheckpointDir(root)

@@ -16,6 +16,7 @@ other columns pass through.
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -23,10 +24,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import guarded, materialize, restored
+
 #: The least share and number of labelled urls of a combination, the least confidence, and the
 #: most tokens of a combination.
 SUPPORT, ROWS, CONFIDENCE, TOKENS = 0.001, 5, 0.5, 3
-BLOCK = "label=block"
+#: Tokens of a basket that FP-growth is given at most.
+WIDE = 15
 
 
 def host(url: Column) -> Column:
@@ -58,16 +62,83 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, segments, keys), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, rows: int = ROWS, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
-    """Rules (rule, size, token) from rows (url, block): one row for each token of a rule."""
-    baskets = labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("block"), F.array(F.lit(BLOCK))).otherwise(F.array())).alias("items")).where("size(items) > 0")
+def _counted(sets: DataFrame, words: DataFrame) -> DataFrame:
+    """Add to rules (rule, size, token: a row for each token) the numbers of labelled urls
+    (words: url id, token, block) that hold all their tokens: good, bad."""
+    met = words.join(sets, "token").groupBy("id", "rule", "size").agg(F.count("*").alias("n"), F.first("block").alias("block"))
+    met = met.where("n = size").groupBy("rule").agg(F.sum((~F.col("block")).cast("long")).alias("good"), F.sum(F.col("block").cast("long")).alias("bad"))
+    return sets.join(met, "rule")
+
+
+def _combinations(bad: DataFrame, least: int, most: int) -> DataFrame:
+    """Sets of 2 to `most` tokens that `least` urls (id, items) hold at least, by FP-growth: rule.
+
+    A url of many frequent tokens has far more sets than are asked for. So tokens are dealt to as
+    many groups that `most` groups hold WIDE tokens of a url at most; a url gives a basket for
+    each choice of up to `most` groups, marked by it, in which only sets that meet just these
+    groups count. With one group (the usual case) that is a single basket."""
+    widest = bad.agg(F.max(F.size("items"))).first()[0] or 0
+    groups = 1 if widest <= WIDE else -(-most * widest // WIDE)
+    while groups > 1 and (bad.agg(F.max(_fullest("items", groups))).first()[0] or 0) * most > WIDE and groups < 4 * widest:
+        groups *= 2
+    if groups == 1:
+        baskets = bad.select(F.transform("items", lambda x: F.struct(F.lit("").alias("mark"), x.alias("token"))).alias("items"))
+    else:
+        rows = bad.withColumn("own", F.array_sort(F.array_distinct(F.transform("items", lambda x: _group(x, groups)))))
+        chosen = F.transform("own", lambda g: F.array(g))
+        for _ in range(most - 1):
+            longer = F.flatten(F.transform(chosen, lambda c: F.transform(F.filter("own", lambda g: g > F.element_at(c, -1)), lambda g: F.concat(c, F.array(g)))))
+            chosen = F.array_distinct(F.concat(chosen, longer))
+        rows = rows.select("items", F.explode(chosen).alias("chosen"))
+        inside = F.filter("items", lambda x: F.array_contains("chosen", _group(x, groups)))
+        mark = F.array_join(F.transform("chosen", lambda g: g.cast("string")), "+")
+        baskets = rows.select(F.transform(inside, lambda x: F.struct(mark.alias("mark"), x.alias("token"))).alias("items"))
     n = baskets.count()
-    schema = "rule array<string>, size int, token string"
+    named = baskets.select(F.transform("items", lambda x: F.concat(x["mark"], F.lit(" "), x["token"])).alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n)).fit(named).freqItemsets if n else None
+    if found is None:
+        return bad.select(F.col("items").alias("rule")).limit(0)
+    found = found.where(F.size("items").between(2, most)).select(F.substring_index(F.col("items")[0], " ", 1).alias("mark"), F.array_sort(F.transform("items", lambda x: F.regexp_replace(x, "^[0-9+]* ", ""))).alias("rule"))
+    if groups > 1:
+        met = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("rule", lambda x: _group(x, groups)))), lambda g: g.cast("string")), "+")
+        found = found.where(met == F.col("mark"))
+    return found.select("rule").distinct()
+
+
+def _group(token: Column, groups: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(groups)).cast("int")
+
+
+def _fullest(items: str, groups: int) -> Column:
+    """The most tokens of a url that are in one group."""
+    own = F.transform(items, lambda x: _group(x, groups))
+    return F.array_max(F.transform(own, lambda g: F.size(F.filter(own, lambda h: h == g))))
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, rows: int = ROWS, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
+    """Rules (rule, size, token) from rows (url, block): one row for each token of a rule.
+
+    Tokens that block by themselves need no company, so FP-growth works on the blocked urls'
+    other tokens, of those that enough of them hold. A rule's confidence is counted over all
+    labelled urls by the inverted index. Supersets of a rule fit where it fits and are left out
+    as far as single tokens go."""
+    labelled = labelled.select(F.monotonically_increasing_id().alias("id"), "block", tokens(F.col("url")).alias("items")).where("size(items) > 0")
+    labelled = materialize(labelled)
+    n, schema = labelled.count(), "rule array<string>, size int, token string"
     if not n:
         return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, rows / n)), minConfidence=confidence).fit(baskets)
-    kept = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= most))
-    return kept.select(F.array_sort("antecedent").alias("rule"), F.size("antecedent").alias("size"), F.explode("antecedent").alias("token"))
+    least = max(rows, math.ceil(support * n))
+    words = labelled.select("id", "block", F.explode("items").alias("token"))
+    single = words.groupBy("token").agg(F.sum(F.col("block").cast("long")).alias("bad"), F.count("*").alias("n"))
+    single = materialize(single.where(F.col("bad") >= least).withColumn("alone", F.col("bad") >= confidence * F.col("n")))
+    rules = single.where("alone").select(F.array("token").alias("rule"), F.lit(1).alias("size"), "token")
+    if most == 1:
+        return rules
+    bad = words.where("block").join(single.where("NOT alone").select("token"), "token").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items"))
+    found = _combinations(materialize(bad.where("size(items) > 1")), least, most)
+    sets = materialize(found.select("rule", F.size("rule").alias("size"), F.explode("rule").alias("token")))
+    met = _counted(sets, words).where((F.col("bad") >= least) & (F.col("bad") >= confidence * (F.col("bad") + F.col("good"))))
+    return rules.unionByName(met.select("rule", "size", "token"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -79,11 +150,14 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", id_col: str = "page_id", **options) -> DataFrame:
     """All columns of pages with _host, _path, _rule and _verdict."""
+    pages, names = guarded(pages)
+    u = F.col(names[url])
     bad = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 0).alias("block"))
-    labelled = pages.join(bad, F.col(id_col) == F.col("_id")).select(F.col(url).alias("url"), "block")
-    hits = matched(pages.select(F.col(url).alias("url")), mine(labelled, **options)).select(F.col("url").alias("_hit"))
+    labelled = pages.select(F.col(names[id_col]).alias("id"), u.alias("url")).join(bad, F.col("id") == F.col("_id")).select("url", "block")
+    hits = matched(pages.select(u.alias("url")), mine(labelled, **options)).select(F.col("url").alias("_hit"))
+    pages = pages.withColumn("_host", host(u)).withColumn("_path", path(u))
     rule, verdict = longest_rule(F.col("_host"), F.col("_path"), rules)
-    pages = pages.withColumn("_host", host(F.col(url))).withColumn("_path", path(F.col(url)))
-    pages = pages.join(hits, F.col(url) == F.col("_hit"), "left").withColumn("_rule", rule)
+    pages = pages.join(hits, u == F.col("_hit"), "left").withColumn("_rule", rule)
     learned = F.when(F.col("_hit").isNotNull(), "block").otherwise("allow")
-    return pages.withColumn("_verdict", F.coalesce(verdict, learned)).drop("_hit")
+    pages = pages.withColumn("_verdict", F.coalesce(verdict, learned))
+    return restored(pages, names, _host="_host", _path="_path", _rule="_rule", _verdict="_verdict")
