@@ -107,7 +107,7 @@ FROM ruled LEFT JOIN hits h USING (url)
 OP7_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS k
+         ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, text)), 1, 12))::BIGINT AS k
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
