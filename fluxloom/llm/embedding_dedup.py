@@ -2,25 +2,28 @@
 
 Equal vectors are joined first and count by their number. Centroids are fitted on a bounded
 sample; their number follows the rows. A vector is at home in the cell of its nearest
-centroid and visits the cells whose centroid is almost as near (within MARGIN of cosine), so
-close vectors meet although a border runs between them. Within a cell every home vector is
-compared in double precision with all home and visiting vectors, visitors not with each other;
-large cells are dealt out as pairs of blocks. A block sends one number of links for each vector and a spanning set of the
-links it found, never all pairs.
+centroid h and visits the cell of each centroid c with
 
-The margin is about three times what the cosine with a centroid can be expected to differ
-for two vectors linked at 0.95 in 64 dimensions; recall against brute force is tested.
+    x.h - x.c <= |h - c| * sqrt(2 - 2 * threshold) / 2.
+
+Of two vectors u, v with a cosine of at least the threshold and homes a, b at least one visits
+the other's home, as u.a - u.b and v.b - v.a sum up to (u - v).(a - b), at most
+|u - v| * |a - b|. So no link is lost, whatever the dimension. Within a cell every home vector
+is compared in double precision with all home and visiting vectors, visitors not with each
+other; large cells are dealt out as pairs of blocks. A block sends one number of links for each
+vector and a spanning set of the links it found, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components
-link with nothing and are kept; vectors of different lengths never link; a null id takes part
-in links of its vector, its row gets the class of it; a vector of which no copy has an id
-links with nothing; repeated rows count as vectors of their own; an empty table gives an
-empty result.
+link with nothing and are kept; vectors of different lengths never link; rows that repeat an id
+count as vectors of their own; rows with a null id link like any other and get the least id of
+their class, null if no member has one; an empty table gives an empty result; columns other
+than id and vector are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize
 
-#: Vectors of the sample that centroids are fitted on, rows of a cell, and centroids at most.
+#: Vectors of the sample that centroids are fitted on, rows of a cell, and centroids at most,
+#: for each length of vectors; lengths of fewer than two cells' rows form one cell.
 SAMPLE, CELL, CELLS = 16_384, 500, 2048
-MARGIN = 0.15
+#: What rounding may take from a difference of cosines.
+ROUNDING = 1e-9
 #: Vectors of a block, and rows of it that are compared with all of it at once.
 BLOCK, TILE = 4096, 512
 
@@ -61,18 +66,20 @@ def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def assign(vecs: DataFrame, margin: float) -> DataFrame:
+def assign(vecs: DataFrame, threshold: float) -> DataFrame:
     """Rows (cell, id, w, home, cells, e) for each cell that a vector (id, w, e) is in. Cells are
     named by the vectors' length and the number of their centroid."""
     spark = vecs.sparkSession
-    sizes = {r["d"]: r["n"] for r in vecs.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(8).collect()}
+    sizes = vecs.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).where(F.col("n") >= 2 * CELL)
     models = {}
-    for d, n in sizes.items():  # the commonest lengths; vectors of others form a cell for each
+    for d, n in sorted((r["d"], r["n"]) for r in sizes.collect()):  # a row for each length of vectors
         share = min(1.0, SAMPLE / n)
         rows = vecs.where((F.size("e") == d) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-        sample = rows.select("e").limit(2 * SAMPLE).toPandas()["e"].tolist()
+        sample = rows.orderBy("id").select("e").limit(2 * SAMPLE).toPandas()["e"].tolist()
         if sample:
-            models[d] = fit(_unit(np.array(sample)), max(1, min(CELLS, n // CELL, len(sample))))
+            centroids = fit(_unit(np.array(sample)), max(1, min(CELLS, n // CELL, len(sample))))
+            apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T)) * np.sqrt(max(0.0, 2 - 2 * threshold)) / 2
+            models[d] = centroids, apart + ROUNDING
     shipped = spark.sparkContext.broadcast(models)
     element = dict(vecs.dtypes)["e"]
     kind = pa.list_(pa.float32() if element == "array<float>" else pa.float64())
@@ -85,11 +92,11 @@ def assign(vecs: DataFrame, margin: float) -> DataFrame:
             for d in np.unique(lengths).tolist():
                 part = batch.take(pa.array(np.flatnonzero(lengths == d)))
                 x = _unit(_matrix(part["e"], d))
-                near = x @ models[d].T if d in models else np.ones((len(x), 1))
-                row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+                near, apart = (x @ models[d][0].T, models[d][1]) if d in models else (np.ones((len(x), 1)), np.zeros((1, 1)))
+                homes = near.argmax(axis=1).astype(np.int32)
+                row, cell = np.nonzero(near >= near.max(axis=1, keepdims=True) - apart[homes])
                 ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(x)))]
                 visited = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell, pa.int32()))
-                homes = near.argmax(axis=1).astype(np.int32)
                 for a in range(0, len(row), 8192):
                     k = pa.array(row[a : a + 8192])
                     names = pa.array([f"{d}/{c}" for c in cell[a : a + 8192].tolist()])
@@ -158,22 +165,32 @@ def found(cells: DataFrame, threshold: float) -> DataFrame:
     return left.unionByName(right).groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long, n long")
 
 
-def classes(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
+def _named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, e) with a number of their vector, equal for equal ones only, and the
+    different vectors: node, least id, w, e."""
+    for seed in count():
+        rows = rows.withColumn("node", F.when(F.col("e").isNotNull(), F.xxhash64(F.lit(seed), "e")))
+        alike = materialize(rows.where("e IS NOT NULL").groupBy("node", "e").agg(F.min("id").alias("least"), F.count("*").alias("w")))
+        if alike.groupBy("node").count().where("count > 1").isEmpty():
+            return rows.select("id", "node"), alike
+
+
+def classes(embeddings: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """One row per vector: id, n_links, component_id (the least id of its class) and kept."""
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("e"))
     if dict(rows.dtypes)["e"] != "array<float>":
         rows = rows.withColumn("e", F.col("e").cast("array<double>"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce((F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("e", F.when(good, F.col("e")))
-    alike = materialize(rows.where("e IS NOT NULL").groupBy("e").agg(F.min("id").alias("least"), F.count("*").alias("w")))
-    vecs = alike.where("least IS NOT NULL").select(F.col("least").alias("id"), "w", "e")
-    pairs = materialize(found(assign(vecs, margin), threshold))
-    numbers = pairs.where("v IS NULL").groupBy("u").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("e", F.when(good, F.transform("e", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))))  # no negative zero
+    rows, alike = _named(rows)
+    pairs = materialize(found(assign(alike.select(F.col("node").alias("id"), "w", "e"), threshold), threshold))
+    numbers = pairs.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(pairs.where("v IS NOT NULL").select("u", "v"))
-    alike = alike.join(numbers, alike["least"] == numbers["u"], "left").join(roots, alike["least"] == roots["node"], "left")
-    links = F.when(F.col("least").isNotNull(), F.coalesce("n", F.lit(0)) + F.col("w") - 1).otherwise(0)
-    alike = alike.select(F.col("e").alias("_e"), links.alias("n_links"), F.coalesce("root", "least").alias("root"))
-    rows = rows.join(alike, F.col("e") == F.col("_e"), "left")
-    named = rows.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    alike = alike.drop("e").join(numbers, "node", "left").join(roots, "node", "left")
+    alike = materialize(alike.select("node", "least", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
+    lowest = alike.groupBy("root").agg(F.min("least").alias("component_id"))
+    rows = rows.join(alike.join(lowest, "root").select("node", "n_links", "component_id"), "node", "left")
+    component = F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    named = rows.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return named.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
