@@ -4,7 +4,8 @@ Fixed rules name a host with its subdomains and the beginning of a path; the lon
 fits decides. For other urls FP-growth mines combinations of url tokens (labels of the host,
 segments of the path, keys of the query) from labelled urls; combinations that lead to the
 label `block` with enough support and confidence are rules too, matched by an inverted index:
-each token of a url looks up the rules it is part of, and a rule fits if all its tokens did.
+each token of a url looks up the rules of which it is the rarest, and a rule fits if the url
+holds all its tokens.
 
 Only DataFrame and SQL functions are used. Different urls are matched once each.
 
@@ -62,16 +63,9 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(labels, segments, keys), lambda x: F.length(x) > 2))
 
 
-def _counted(sets: DataFrame, words: DataFrame) -> DataFrame:
-    """Add to rules (rule, size, token: a row for each token) the numbers of labelled urls
-    (words: url id, token, block) that hold all their tokens: good, bad."""
-    met = words.join(sets, "token").groupBy("id", "rule", "size").agg(F.count("*").alias("n"), F.first("block").alias("block"))
-    met = met.where("n = size").groupBy("rule").agg(F.sum((~F.col("block")).cast("long")).alias("good"), F.sum(F.col("block").cast("long")).alias("bad"))
-    return sets.join(met, "rule")
-
-
 def _combinations(bad: DataFrame, least: int, most: int) -> DataFrame:
-    """Sets of 2 to `most` tokens that `least` urls (id, items) hold at least, by FP-growth: rule.
+    """Sets of 2 to `most` tokens that `least` urls (id, items) hold at least, by FP-growth, and
+    how many do: rule, bad.
 
     A url of many frequent tokens has far more sets than are asked for. So tokens are dealt to as
     many groups that `most` groups hold WIDE tokens of a url at most; a url gives a basket for
@@ -97,12 +91,12 @@ def _combinations(bad: DataFrame, least: int, most: int) -> DataFrame:
     named = baskets.select(F.transform("items", lambda x: F.concat(x["mark"], F.lit(" "), x["token"])).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n)).fit(named).freqItemsets if n else None
     if found is None:
-        return bad.select(F.col("items").alias("rule")).limit(0)
-    found = found.where(F.size("items").between(2, most)).select(F.substring_index(F.col("items")[0], " ", 1).alias("mark"), F.array_sort(F.transform("items", lambda x: F.regexp_replace(x, "^[0-9+]* ", ""))).alias("rule"))
+        return bad.select(F.col("items").alias("rule"), F.lit(0).cast("long").alias("bad")).limit(0)
+    found = found.where(F.size("items").between(2, most)).select(F.col("freq").alias("bad"), F.substring_index(F.col("items")[0], " ", 1).alias("mark"), F.array_sort(F.transform("items", lambda x: F.regexp_replace(x, "^[0-9+]* ", ""))).alias("rule"))
     if groups > 1:
         met = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("rule", lambda x: _group(x, groups)))), lambda g: g.cast("string")), "+")
         found = found.where(met == F.col("mark"))
-    return found.select("rule").distinct()
+    return found.select("rule", "bad")
 
 
 def _group(token: Column, groups: int) -> Column:
@@ -116,36 +110,43 @@ def _fullest(items: str, groups: int) -> Column:
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, rows: int = ROWS, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
-    """Rules (rule, size, token) from rows (url, block): one row for each token of a rule.
+    """Rules (rule, token) from rows (url, block); token is the rarest one of the rule, under
+    which the inverted index has it.
 
     Tokens that block by themselves need no company, so FP-growth works on the blocked urls'
-    other tokens, of those that enough of them hold. A rule's confidence is counted over all
-    labelled urls by the inverted index. Supersets of a rule fit where it fits and are left out
-    as far as single tokens go."""
-    labelled = labelled.select(F.monotonically_increasing_id().alias("id"), "block", tokens(F.col("url")).alias("items")).where("size(items) > 0")
-    labelled = materialize(labelled)
-    n, schema = labelled.count(), "rule array<string>, size int, token string"
+    other tokens, of those that enough of them hold; a set that holds such a token fits only
+    where the token alone does. How many other labelled urls hold a set is counted by the index."""
+    labelled = materialize(labelled.select("block", tokens(F.col("url")).alias("items")).where("size(items) > 0"))
+    n = labelled.count()
     if not n:
-        return labelled.sparkSession.createDataFrame([], schema)
+        return labelled.sparkSession.createDataFrame([], "rule array<string>, token string")
     least = max(rows, math.ceil(support * n))
-    words = labelled.select("id", "block", F.explode("items").alias("token"))
-    single = words.groupBy("token").agg(F.sum(F.col("block").cast("long")).alias("bad"), F.count("*").alias("n"))
+    single = labelled.select("block", F.explode("items").alias("token")).groupBy("token").agg(F.sum(F.col("block").cast("long")).alias("bad"), F.count("*").alias("n"))
     single = materialize(single.where(F.col("bad") >= least).withColumn("alone", F.col("bad") >= confidence * F.col("n")))
-    rules = single.where("alone").select(F.array("token").alias("rule"), F.lit(1).alias("size"), "token")
-    if most == 1:
+    rules = single.where("alone").select(F.array("token").alias("rule"), "token")
+    others = single.where("NOT alone").select("token", "n")
+    if most == 1 or others.isEmpty():
         return rules
-    bad = words.where("block").join(single.where("NOT alone").select("token"), "token").groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items"))
-    found = _combinations(materialize(bad.where("size(items) > 1")), least, most)
-    sets = materialize(found.select("rule", F.size("rule").alias("size"), F.explode("rule").alias("token")))
-    met = _counted(sets, words).where((F.col("bad") >= least) & (F.col("bad") >= confidence * (F.col("bad") + F.col("good"))))
-    return rules.unionByName(met.select("rule", "size", "token"))
+    bad = labelled.where("block").withColumn("id", F.monotonically_increasing_id()).select("id", F.explode("items").alias("token")).join(others, "token")
+    bad = bad.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items")).where("size(items) > 1").select("items")
+    sets = _combinations(materialize(bad), least, most)
+    order = sets.select("rule", "bad", F.explode("rule").alias("token")).join(others, "token")
+    sets = materialize(order.groupBy("rule").agg(F.first("bad").alias("bad"), F.min(F.struct("n", "token")).getField("token").alias("token")))
+    good = held(labelled.where("NOT block").select("items"), sets).groupBy("rule").agg(F.count("*").alias("good"))
+    sets = sets.join(good, "rule", "left").where(F.col("bad") >= confidence * (F.col("bad") + F.coalesce("good", F.lit(0))))
+    return rules.unionByName(sets.select("rule", "token"))
+
+
+def held(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (items, ...) with each of the rules (rule, token) whose tokens they all hold."""
+    found = rows.withColumn("token", F.explode("items")).join(rules, "token")
+    return found.where(F.forall("rule", lambda x: F.array_contains("items", x)))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The different urls (column url) that some rule fits."""
-    words = urls.select("url").distinct().select("url", F.explode(tokens(F.col("url"))).alias("token"))
-    met = words.join(rules, "token").groupBy("url", "rule", "size").agg(F.count("*").alias("n"))
-    return met.where("n = size").select("url").distinct()
+    words = urls.select("url").distinct().select("url", tokens(F.col("url")).alias("items"))
+    return held(words, rules).select("url").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", id_col: str = "page_id", **options) -> DataFrame:
@@ -154,7 +155,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]],
     u = F.col(names[url])
     bad = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 0).alias("block"))
     labelled = pages.select(F.col(names[id_col]).alias("id"), u.alias("url")).join(bad, F.col("id") == F.col("_id")).select("url", "block")
-    hits = matched(pages.select(u.alias("url")), mine(labelled, **options)).select(F.col("url").alias("_hit"))
+    hits = matched(pages.select(u.alias("url")), materialize(mine(labelled, **options))).select(F.col("url").alias("_hit"))
     pages = pages.withColumn("_host", host(u)).withColumn("_path", path(u))
     rule, verdict = longest_rule(F.col("_host"), F.col("_path"), rules)
     pages = pages.join(hits, u == F.col("_hit"), "left").withColumn("_rule", rule)
