@@ -42,8 +42,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     still = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     sized = sized.withColumn("level", left / still)
-    # From the first source that its share does not fill, one level holds for all the rest.
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything)
+    # From the first source that its share does not fill, one level holds for all the rest; the
+    # levels of the sources after it, which count it as full, are lower.
+    level = F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(everything)
     sized = sized.withColumn("free", level)
     filled = (F.col("ratio") <= F.col("level")) | F.col("free").isNull()
     return sized.select("source", "source_size", "n", F.when(filled, F.col("cap")).otherwise(F.least("cap", F.col("free") * F.col("weight"))).alias("target"))

@@ -118,7 +118,7 @@ capped AS (
   FROM weighed WINDOW b AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 aims AS (
   SELECT source, source_size, CASE WHEN ratio <= level OR free IS NULL THEN cap ELSE least(cap, free * w) END AS target
-  FROM (SELECT *, min(level) FILTER (ratio > level) OVER () AS free FROM capped)),
+  FROM (SELECT *, max(level) FILTER (ratio > level) OVER () AS free FROM capped)),
 run AS (
   SELECT d.doc_id, d.size, a.source_size, a.target::DOUBLE AS target,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before,
