@@ -2,24 +2,30 @@
 
 A document beyond HUGE characters is encoded in overlapping chunks with offsets. Two
 neighbouring encodings are spliced at a stable common boundary: a place inside the overlap
-where a space is followed by a character that is no white space, and where both encodings
-begin a token. The pre-tokenizer of a byte-level BPE always cuts there, whatever stands
-before, so tokens on both sides are those of the whole text. Where an overlap holds no such
-place it is doubled, up to the rest of the document.
+where both encodings begin a token and where the pre-tokenizer of a byte-level BPE always
+cuts, whatever stands before: at a space that a character other than white space follows, or
+after a letter that no letter follows. So tokens on both sides are those of the whole text.
+Where an overlap holds no such place it is doubled; once it has reached the chunk's own
+beginning, the chunk is doubled instead, so the work stays in proportion to the text.
 
-Other documents are cut at the same kind of boundary, once for each word; a bounded memo
-holds the counts of words seen before, and new words are encoded in one batch.
+Other documents are cut at the same kind of boundary, once for each word; a memo bounded in
+bytes holds the counts of words seen before, and a batch's new words are encoded at once.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows each get a
-row; null ids stay null; an empty table gives an empty result.
+row; null ids stay null; an empty table gives an empty result; other columns pass through,
+and one named like the output is replaced.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,38 +34,46 @@ from .common import small_batches
 
 #: Characters from which a document is encoded in overlapping chunks, and their sizes.
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
-#: Words that a worker's memo holds in each of its two generations.
-MEMO = 400_000
+#: Bytes that a worker's memo holds in each of its two generations, and what an entry takes
+#: besides its word.
+MEMO, ENTRY = 64 << 20, 240
+#: New words that are encoded at once.
+TOGETHER = 512
 GLUED = "\x01"
+#: Fixed value: how a byte-level BPE writes a space.
+SPACE = "\u0120"
 #: A space that a non-space follows never lies inside a token or changes the tokens before it.
 CUT = re.compile(r" (?=\S)")
 #: A lone mark between a Latin letter and white space is a token's beginning and end too.
 MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([.,])(?=[ \n]|$)")
 #: Where a mark before white space has no such letter before it.
-UNLIKE = re.compile(r"(?:[^A-Za-zÀ-ÖØ-öø-ÿ]|^)[.,](?=[ \n]|$)")
-#: What the quick way of cutting can't take: runs of white space, and at the ends; other kinds.
-PLAIN = re.compile(rf"\s\s|[^\S \n]|{GLUED}|^\s|\s$")
+UNLIKE = re.compile(r"[.,](?=[ \n]|$)(?<![A-Za-zÀ-ÖØ-öø-ÿ][.,])")
+#: What the quick way of cutting can't take: other white space than these two, and runs of them.
+BLANK = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", "\n\n", " \n", "\n ", GLUED)
 
 
 class Memo(dict):
-    """Word -> value. When it is full it begins anew, but a word of the generation before is
-    taken over without encoding it again."""
-
-    def __init__(self, encode: Callable[[str], object], size: int = MEMO):
-        self.encode, self.size, self.old = encode, size, {}
-
-    def __missing__(self, word: str):
-        value = self.old.get(word)
-        if value is None:
-            value = self.encode(word)
-        self[word] = value
-        return value
-
-    def look_up(self, words: list[str]) -> Iterator:
-        if len(self) > self.size:
-            self.old = dict(self)
+    """Word -> value, values of new words by `encode` in batches. When it is full it begins anew,
+    but a word of the generation before is taken over without encoding it again."""
+
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence], size: int = MEMO):
+        self.encode, self.size, self.held, self.old = encode, size, 0, {}
+
+    def learn(self, words: Sequence[str]) -> None:
+        """Make sure of all words."""
+        new = [w for w in set(words) if w not in self]
+        if new and self.held > self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
-        return map(self.__getitem__, words)
+            new = list(set(words))
+        if self.old and (again := [w for w in new if w in self.old]):
+            self.update((w, self.old[w]) for w in again)
+            self.held += ENTRY * len(again)
+            new = [w for w in new if w not in self]
+        if new:
+            self.update(zip(new, self.encode(new), strict=True))
+            self.held += ENTRY * len(new) + sum(map(len, new))
 
 
 @lru_cache(maxsize=4)
@@ -77,22 +91,78 @@ def load(path: str):
     return tokenizer
 
 
-def splice(text: str, encode: Callable[[str], list[tuple[int, int]]], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text by overlapping chunks. encode gives the tokens' offsets."""
+#: Fixed value: the pattern that a tokenizer of words cuts by.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@lru_cache(maxsize=4)
+def kind(path: str) -> str:
+    """What the file itself says of neighbouring words: "words" if white space is dropped and each
+    piece of a known pattern is encoded by itself, "bytes" if the known pattern of byte-level
+    BPE cuts, "whole" for anything else."""
+    if path.endswith(".model"):
+        return "whole"
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    added = said.get("added_tokens") or []
+    plain = all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) and not re.search(r"[\s.,]", a["content"]) for a in added)
+    if not plain or said["model"]["type"] != "BPE" or said["model"].get("dropout") or said.get("post_processor"):
+        return "whole"
+    first, cut = said.get("normalizer"), said.get("pre_tokenizer") or {}
+    level = lambda p, own: p.get("type") == "ByteLevel" and not p["add_prefix_space"] and p.get("use_regex", True) is own
+    if first is None and level(cut, True):
+        return "bytes"
+    steps, cuts = (first or {}).get("normalizers", []), cut.get("pretokenizers", [])
+    folds = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    if folds and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": WORDS} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and level(cuts[1], False):
+        return "words"
+    return "whole"
+
+
+def specials(path: str) -> list[str]:
+    """The strings that the tokenizer takes out of a text before all else."""
+    return [t.content for t in load(path).get_added_tokens_decoder().values()]
+
+
+def many(path: str) -> Callable[[Sequence[str]], list[np.ndarray]]:
+    """The ids of many pieces of text, each as if it stood alone. They are joined by a special
+    string, at which the tokenizer cuts before it does anything else."""
+    tokenizer, own = load(path), specials(path)
+    alone = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+    if not own:
+        return lambda texts: [alone(t) for t in texts]
+    mark, number = own[0], tokenizer.token_to_id(own[0])
+
+    def encode(texts: Sequence[str]) -> list[np.ndarray]:
+        if any(s in t for t in texts for s in own):
+            return [alone(t) for t in texts]
+        out = []
+        for k in range(0, len(texts), TOGETHER):
+            some = texts[k : k + TOGETHER]
+            ids = np.array(tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            out += [x[1:] if j else x for j, x in enumerate(np.split(ids, np.flatnonzero(ids == number)))]
+        return out
+
+    return encode
+
+
+def splice(text: str, encode: Callable[[str], list[tuple[int, int]]], chunk: int = CHUNK, overlap: int = OVERLAP, own: Sequence[str] = ()) -> int:
+    """Tokens of a text by overlapping chunks. encode gives the tokens' offsets; strings of `own`
+    are not cut."""
     done, start, stop = 0, 0, min(len(text), chunk)
     spans = encode(text[:stop])  # of text[start:stop]; tokens from `start` on count
     while stop < len(text):
-        width = overlap
-        while True:
+        width, common = overlap, []
+        while not common:
             base = max(start, stop - width)
-            right_stop = min(len(text), base + width + chunk)
+            right_stop = min(len(text), stop + max(chunk, width))
             following = encode(text[base:right_stop])
-            ours, theirs = ({o + a for a, _ in x} for o, x in ((start, spans), (base, following)))
-            common = [c for c in ours & theirs if base < c < stop and text[c] == " " and text[c + 1 : c + 2].strip()]
-            if common or (base == start and right_stop == len(text)):
+            if base == start:
                 break
-            width = width * 2 if base > start else width + chunk
-        if not common:  # no place to cut: the whole rest was encoded at once
+            ours, theirs = ({o + a for a, _ in x} for o, x in ((start, spans), (base, following)))
+            common = [c for c in ours & theirs if base < c < stop - 1 and boundary(text, c) and not any(text.find(s, max(0, c - len(s) + 1), c + len(s) - 1) >= 0 for s in own)]
+            width *= 2
+        if not common:  # no place to cut: this chunk, encoded from its own beginning, takes in the next
             spans, stop = following, right_stop
             continue
         cut = max(common)
@@ -102,6 +172,19 @@ def splice(text: str, encode: Callable[[str], list[tuple[int, int]]], chunk: int
     return done + len(spans)
 
 
+def _letter(c: str) -> bool | None:
+    """Whether a character is a letter; None if an old Unicode does not know it yet."""
+    known = unicodedata.ucd_3_2_0.category(c)
+    return None if known == "Cn" else known[0] == "L"
+
+
+def boundary(text: str, c: int) -> bool:
+    """Whether a byte-level BPE always begins a token at text[c]."""
+    if text[c] == " ":
+        return bool(text[c + 1 : c + 2].strip())
+    return _letter(text[c]) is False and _letter(text[c - 1]) is True and not text[c].isspace()
+
+
 def mark(text: str, by: str) -> str:
     """Put `by` before each lone mark that ends a word."""
     if UNLIKE.search(text):
@@ -114,7 +197,7 @@ def mark(text: str, by: str) -> str:
 def keys_of(text: str) -> list[str]:
     """Pieces that a byte-level BPE encodes independently of each other, as memo keys: a piece
     without the space before it, or GLUED and the piece where no space stands before it."""
-    if not PLAIN.search(text):
+    if not (any(r in text for r in RUNS) or text[0].isspace() or text[-1].isspace() or BLANK.search(text)):
         marked = mark(text, f" {GLUED}").replace("\n", f" {GLUED}\n {GLUED}")
         return (GLUED + marked).split(" ")
     parts, last = [], 0
@@ -131,16 +214,28 @@ def piece_of(key: str) -> str:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str, huge: int, chunk: int, overlap: int) -> Callable[[str], int]:
+def counter(path: str, huge: int, chunk: int, overlap: int) -> Callable[[Sequence[str]], list[int]]:
+    """Texts -> their numbers of tokens."""
     tokenizer = load(path)
-    if path.endswith(".model"):  # no pre-tokenizer, so no boundary is proven: whole texts
-        return lambda text: len(tokenizer.encode(text))
-    memo = Memo(lambda key: len(tokenizer.encode(piece_of(key), add_special_tokens=False)))
+    if path.endswith(".model"):
+        return lambda texts: [len(tokenizer.encode(t)) for t in texts]
+    if kind(path) != "bytes":  # no boundary is proven: whole texts
+        return lambda texts: [len(tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+    encode, model, own = many(path), tokenizer.model, specials(path)
+    offsets = lambda t: tokenizer.encode(t, add_special_tokens=False).offsets
+
+    def new(keys: Sequence[str]) -> list[int]:
+        """A space and letters are one piece, which the model alone can take."""
+        words = [k.isascii() and k.isalpha() for k in keys]
+        rest = iter(encode([piece_of(k) for k, w in zip(keys, words, strict=True) if not w]))
+        return [len(model.tokenize(SPACE + k) if w else next(rest)) for k, w in zip(keys, words, strict=True)]
+
+    memo = Memo(new)
 
-    def count(text: str) -> int:
-        if len(text) > huge:
-            return splice(text, lambda t: tokenizer.encode(t, add_special_tokens=False).offsets, chunk, overlap)
-        return sum(memo.look_up(keys_of(text))) if text else 0
+    def count(texts: Sequence[str]) -> list[int]:
+        keys = [keys_of(t) if t and len(t) <= huge else [] for t in texts]
+        memo.learn(list(chain.from_iterable(keys)))
+        return [splice(t, offsets, chunk, overlap, own) if len(t) > huge else sum(map(memo.__getitem__, k)) for t, k in zip(texts, keys, strict=True)]
 
     return count
 
@@ -152,7 +247,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
     def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter(tokenizer, huge, chunk, overlap)
         for texts in batches:
-            yield pd.Series([count(t or "") for t in texts], dtype="int64")
+            yield pd.Series(count([t or "" for t in texts]), dtype="int64")
 
     small_batches(docs.sparkSession)
     return docs.withColumn(out, counts(F.col(text)))
