@@ -4,18 +4,21 @@ The lexicon is learned: words that are frequent in toxic and rare in other label
 It becomes a trie; a Levenshtein automaton runs against all of it at once, state by state,
 so a word is held against every term within the edits its length allows (one from MIN_FUZZY
 letters, two from LONG) in a few steps. Words that are known from clean labelled texts don't
-count as misspellings, and a term with many such words near it is weak as a misspelling. Each hit counts by the strength of its term and by its window: quoted
-or reported hits, hits near the second person or another hit, and others are summed apart. A
-logistic model weighs these sums. It is also shown each toxic text of the sample as if its
-exact hits were misspelled, as misspellings are rarer there than where they are meant to hide.
+count as misspellings, and a term with many such words near it is weak as a misspelling. Each
+hit counts by the strength of its term and by its window: quoted or reported hits, hits near
+the second person or another hit, and others are summed apart. A logistic model weighs these
+sums. It is also shown each toxic text of the sample as if its exact hits were misspelled, as
+misspellings are rarer there than where they are meant to hide.
 
 Lexicon and weights are fitted on the labelled rows whose crc32(id as text) mod `folds` is
 not 0, at most about SAMPLE of them (chosen by hash), one of each group of near copies, as
-copies of one text would pass for evidence from many; every text is scored.
+copies of one text would pass for evidence from many; every text is scored. Everything else
+that is learned is as large as this sample makes it.
 
 Defined results: null and empty texts have no hit and get the score of a text without any;
-several labels of one id count as the highest; without any label all scores are 0; repeated
-rows each get a row; other columns pass through.
+several labels of one id count as the highest; a label of a repeated id counts for each of its
+texts; without any label all scores are 0; repeated rows each get a row; an empty table gives an
+empty result; other columns pass through, and one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import guarded, materialize, restored, small_batches
 from .token_counts import Memo
 
-#: Labelled rows to learn from, terms of the lexicon, and known clean look-alikes at most.
-SAMPLE, TERMS, KNOWN = 20_000, 4_000, 20_000
+#: Labelled rows to learn from, about so many at most; nothing else bounds the lexicon.
+SAMPLE = 20_000
 #: States of the automaton that are kept before it begins anew.
 STATES = 50_000
 #: A term's least toxic documents, and its least share of them.
@@ -135,7 +138,7 @@ class Scorer:
 
     def __init__(self, terms: dict[str, tuple[float, float]], known: frozenset[str] = frozenset()):
         self.automaton, self.terms, self.known = LexiconAutomaton(terms), terms, known
-        self.memo = Memo(self._hit)
+        self.memo = Memo(lambda words: [self._hit(w) for w in words])
 
     def _hit(self, word: str) -> tuple[int, float] | bool:
         """(edits, strength); False for none, as the memo keeps no None."""
@@ -151,7 +154,8 @@ class Scorer:
             return out
         low = text.lower()
         words = WORD.findall(low)
-        hits = list(self.memo.look_up(words))
+        self.memo.learn(words)
+        hits = [self.memo[w] for w in words]
         if not any(hits):
             return out
         where = [k for k, h in enumerate(hits) if h]
@@ -212,14 +216,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     spark = docs.sparkSession
     small_batches(spark)
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != 0
-    labels = labels.where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    labels = labels.where(learn & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label")).agg(F.max("toxic").alias("toxic"))
     n = labels.count()
     if not n:
         return {}, frozenset(), np.r_[np.zeros(FEATURES), -30.0]
     share = int(min(1.0, sample / n) * (1 << 30))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share)  # about `sample` rows
-    texts = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col(id_col) == F.col("_id"))
-    texts = different(materialize(texts.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col("_toxic").alias("toxic"))))
+    chosen = labels.where(F.pmod(F.xxhash64("label"), F.lit(1 << 30)) <= share)  # about `sample` rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label"))
+    texts = different(materialize(texts.select(F.xxhash64("id", "text").alias("id"), "text", "toxic")))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
@@ -233,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     known = materialize(texts.mapInArrow(words, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
     strong = known.where((F.col("t") >= SUPPORT) & (F.col("t") >= PRECISION * F.col("n")) & (F.length("word") >= 3))
-    rows = strong.orderBy(F.desc("t"), "word").limit(TERMS).collect()
+    rows = strong.orderBy(F.desc("t"), "word").collect()  # words of the sample
     shipped = spark.sparkContext.broadcast({r["word"]: (0.0, 0.0) for r in rows})
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
     clean = known.where(F.col("t") < 0.5 * F.col("n")).select("word", (F.col("n") - F.col("t")).alias("n"))
     near = materialize(clean.mapInArrow(alike, "word string, n long, term string"))
-    lookalikes = frozenset(r["word"] for r in near.where("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN).collect())
-    misled = {r["term"]: r["n"] for r in near.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # of TERMS terms
+    lookalikes = frozenset(r["word"] for r in near.where("n > 1").select("word").collect())  # words of the sample
+    misled = {r["term"]: r["n"] for r in near.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     share = texts.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     # Two imagined texts with the labels' own share keep rare terms weak.
     odds = lambda t, n: math.log((t + 2 * share) / (n + 2 * (1 - share) + 1e-9))
@@ -291,6 +295,7 @@ def different(texts: DataFrame) -> DataFrame:
 
 
 def with_features(docs: DataFrame, terms: dict, known: frozenset, text: str = "text") -> DataFrame:
+    """Add _features to a table of which no other column has that name."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((terms, known))
 
@@ -305,8 +310,10 @@ def with_features(docs: DataFrame, terms: dict, known: frozenset, text: str = "t
 
 def score(docs: DataFrame, model: tuple[dict, frozenset, np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
     """Add the probability that a text is toxic."""
+    docs, names = guarded(docs)
     terms, known, weights = model
     x = F.lit(float(weights[-1]))
     for k, w in enumerate(weights[:-1].tolist()):
         x = x + F.col("_features")[k] * F.lit(w)
-    return with_features(docs, terms, known, text).withColumn(out, 1 / (1 + F.exp(-x))).drop("_features")
+    scored = with_features(docs, terms, known, names[text]).withColumn("_score", 1 / (1 + F.exp(-x)))
+    return restored(scored, names, **{out: "_score"})
