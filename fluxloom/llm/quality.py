@@ -8,15 +8,19 @@ n-gram seen, and the same joins back off for the n-grams of the corpus that were
 n-grams of each document are counted first. The HOT most frequent of the corpus are scored
 where the document is; all others are joined with the table and summed per text, so that no
 join has a hot key. The score of a document is the mean negative log probability of its
-characters, the logarithm of its perplexity. `train` is the dense form for small alphabets.
+characters, the logarithm of its perplexity.
 
-A document is rejected if its score lies above a quantile of the trusted documents of its
-language and length class, raised by a margin. Groups of too few trusted documents use
-those of their length class, then of all.
+One trusted document in FOLDS, chosen by a hash of its id, is not trained on and sets the
+thresholds instead. A document is rejected if its score lies above a quantile of those of its
+language and length class, raised by a margin. Groups of too few such documents use those of
+their length class, then of all.
 
 Defined results: null and empty texts have a null score and are rejected; a null or unknown
-language uses the thresholds of all languages; without any trusted text every score is the
-same and everything else is kept; repeated rows each get a row; other columns pass through.
+language uses the thresholds of all languages; an id is trusted if it has the label 1 and not 0,
+too; where no trusted document is left to set thresholds, those trained on do; without any
+trusted text every score is the same and everything else is kept; repeated rows each get a row;
+an empty table gives an empty result; other columns pass through, and those named like an output
+are replaced.
 """
 
 from __future__ import annotations
@@ -29,75 +33,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import guarded, materialize, restored, small_batches
 
-#: Symbols of the dense form's alphabet (the least number of any) and the order of the model.
-V, ORDER = 128, 3
+#: The least number of characters that unseen ones are taken from, and the order of the model.
+LEAST, ORDER = 128, 3
 #: Bits of a character in an n-gram, and the n-grams scored without a join.
 BITS, HOT = 21, 1_000_000
 #: n-grams that a task holds before it sends what it counted.
 HELD = 1_000_000
-#: The quantile of trusted scores, the margin above it, and the trusted documents a group needs.
-QUANTILE, MARGIN, GROUP = 0.99, 0.06, 50
+#: The quantile of held-out trusted scores, the margin above it, the held-out documents a group
+#: needs, and the part of the trusted documents that is held out.
+QUANTILE, MARGIN, GROUP, FOLDS = 0.99, 0.06, 50, 5
 #: Trusted ids that may be sent to all tasks; more are joined by a shuffle.
 SENT_IDS = 2_000_000
 #: Upper ends of the length classes in characters; short texts vary more.
 LENGTHS = (40, 200)
 
 
-def _codes(text: str, symbols: np.ndarray) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.concatenate([np.zeros(ORDER - 1, np.int32), symbols[np.minimum(points, len(symbols) - 1)]])
-
-
-def _symbols(alphabet: list[int]) -> np.ndarray:
-    """Code point -> symbol: 0 begins a text, 1 is any other character, the rest the alphabet."""
-    table = np.ones(max([0, *alphabet]) + 2, np.int32)
-    table[alphabet] = np.arange(2, len(alphabet) + 2)
-    return table
-
-
-def _grams(codes: np.ndarray) -> np.ndarray:
-    grams = codes[: len(codes) - ORDER + 1].astype(np.int64)
-    for j in range(1, ORDER):
-        grams = grams * V + codes[j : len(codes) - ORDER + 1 + j]
-    return grams
-
-
-def alphabet_of(texts: DataFrame) -> list[int]:
-    """Code points of the most frequent characters; counted over all texts, V - 2 are returned."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for t in batch["text"].to_pylist():
-                points, n = np.unique(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), return_counts=True)
-                total[points] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"point": seen.astype(np.int32), "n": total[seen]})
-
-    rows = texts.mapInArrow(count, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r["point"] for r in rows.orderBy(F.desc("n"), "point").limit(V - 2).collect()]
-
-
-def counts(texts: DataFrame, alphabet: list[int]) -> DataFrame:
-    """Counts of all n-grams of the highest order: gram, n."""
-    symbols = _symbols(alphabet)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(V**ORDER, np.int64)
-        for batch in batches:
-            for t in batch["text"].to_pylist():
-                if t:
-                    grams, n = np.unique(_grams(_codes(t, symbols)), return_counts=True)
-                    total[grams] += n
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"gram": seen, "n": total[seen]})
-
-    return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _order(level: DataFrame, lower: DataFrame | None, n: int, bits: int = 7, base: float = 1.0 / V) -> DataFrame:
+def _order(level: DataFrame, lower: DataFrame | None, n: int, bits: int, base: float) -> DataFrame:
     """Interpolated probabilities of order n: gram, p, and its context's weight for the lower
     order, from counts (gram, n) and the lower order's (gram, p)."""
     of = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
@@ -115,24 +68,6 @@ def _order(level: DataFrame, lower: DataFrame | None, n: int, bits: int = 7, bas
     return level.select("gram", "context", "weight", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("weight") * below).alias("p"))
 
 
-def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols and the table [V ** ORDER] of log probabilities of a column `text`."""
-    alphabet = alphabet_of(texts)
-    levels = [materialize(counts(texts, alphabet))]
-    for n in range(ORDER - 1, 0, -1):  # lower orders count the different characters before
-        levels.append(levels[-1].groupBy(F.pmod("gram", F.lit(V**n)).alias("gram")).agg(F.count("*").alias("n")))
-    lower, dense = None, np.full(V, 1.0 / V)
-    for n, level in enumerate(reversed(levels), 1):
-        lower = materialize(_order(level, lower, n))
-        seen = lower.toPandas()  # at most V ** n rows
-        dense = np.tile(dense, V) if n > 1 else dense
-        weight = np.ones(V ** (n - 1))
-        weight[seen["context"].to_numpy(np.int64)] = seen["weight"]
-        dense = dense * np.repeat(weight, V)
-        dense[seen["gram"].to_numpy(np.int64)] = seen["p"]
-    return _symbols(alphabet), np.log(dense).astype(np.float32)
-
-
 def _keys(text: str) -> np.ndarray:
     """The n-grams of a text, of code points plus one; 0 begins a text."""
     points = np.concatenate([np.zeros(ORDER - 1, np.int64), np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1])
@@ -192,7 +127,7 @@ def log_probabilities(texts: DataFrame, trusted: DataFrame) -> DataFrame:
     for n in range(ORDER - 1, 0, -1):  # lower orders count the different characters before
         levels.append(levels[-1].groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1)).alias("gram")).agg(F.count("*").alias("n")))
     levels[-1] = materialize(levels[-1])
-    base, orders = 1.0 / max(V, levels[-1].count() + 2), []
+    base, orders = 1.0 / max(LEAST, levels[-1].count() + 2), []
     for n, level in enumerate(reversed(levels), 1):
         orders.append(materialize(_order(level, orders[-1] if orders else None, n, BITS, base)))
     grams = materialize(gram_counts(texts))
@@ -201,6 +136,8 @@ def log_probabilities(texts: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def with_score(docs: DataFrame, model: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
     """Add the mean negative log probability per character; null for null and empty texts."""
+    docs, names = guarded(docs)
+    text = names[text]
     spark = docs.sparkSession
     hot = model.orderBy(F.desc("n"), "gram").limit(HOT).select("gram", "lp").toPandas().sort_values("gram")
     shipped = spark.sparkContext.broadcast((hot["gram"].to_numpy(np.int64), hot["lp"].to_numpy(np.float64)))
@@ -225,12 +162,13 @@ def with_score(docs: DataFrame, model: DataFrame, text: str = "text", out: str =
 
     small_batches(spark)
     if model.count() <= len(hot):
-        return docs.withColumn(out, -near(F.col(text)) / F.length(text))
-    rows = docs.select(F.md5(text).alias("_text"), F.explode(rest(F.col(text))).alias("r")).select("_text", "r.gram", "r.n")
-    rows = rows.groupBy("_text", "gram").agg(F.max("n").alias("n"))  # equal texts have equal n-grams
-    far = rows.join(model.select("gram", "lp"), "gram").groupBy("_text").agg(F.sum(F.col("n") * F.col("lp")).alias("_far"))
-    docs = docs.join(materialize(far), F.md5(text) == F.col("_text"), "left")
-    return docs.withColumn(out, -(near(F.col(text)) + F.coalesce("_far", F.lit(0.0))) / F.length(text)).drop("_text", "_far")
+        return restored(docs.withColumn("mean", -near(F.col(text)) / F.length(text)), names, **{out: "mean"})
+    rows = docs.select(F.md5(text).alias("hash"), F.explode(rest(F.col(text))).alias("r")).select("hash", "r.gram", "r.n")
+    rows = rows.groupBy("hash", "gram").agg(F.max("n").alias("n"))  # equal texts have equal n-grams
+    far = rows.join(model.select("gram", "lp"), "gram").groupBy("hash").agg(F.sum(F.col("n") * F.col("lp")).alias("far"))
+    docs = docs.join(materialize(far), F.md5(text) == F.col("hash"), "left")
+    docs = docs.withColumn("mean", -(near(F.col(text)) + F.coalesce("far", F.lit(0.0))) / F.length(text))
+    return restored(docs, names, **{out: "mean"})
 
 
 def length_class(text: str | Column) -> Column:
@@ -247,18 +185,23 @@ def thresholds(scored: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """All columns of docs with _score, _threshold and _keep."""
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    docs, names = guarded(docs)
+    i, lang, text = names[id_col], names[lang], names[text]
+    ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
     few = ids.count() <= SENT_IDS
-    trusted = docs.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col("_id"), "left_semi").select(F.col(lang).alias("lang"), length_class(text).alias("length"), F.col(text).alias("text"))
+    trusted = docs.join(F.broadcast(ids) if few else ids, F.col(i) == F.col("id"), "left_semi")
+    held = F.pmod(F.xxhash64(i), F.lit(FOLDS)) == 0
+    trusted = trusted.select(F.col(lang).alias("lang"), length_class(text).alias("length"), F.col(text).alias("text"), held.alias("held"))
     trusted = trusted if few else materialize(trusted)  # read three times; shuffled once
-    model = log_probabilities(docs.select(F.col(text).alias("text")), trusted)
-    limits = materialize(thresholds(with_score(trusted, model).select("lang", "length", "score")))
-    exact = limits.where("level = 0 AND lang IS NOT NULL").select(F.col("lang").alias("_l"), F.col("length").alias("_n"), F.col("threshold").alias("_t0"))
-    by_length = limits.where("level = 1").select(F.col("length").alias("_n1"), F.col("threshold").alias("_t1"))
-    overall = limits.where("level = 3").select(F.col("threshold").alias("_t2"))  # one row
-    docs = with_score(docs, model, text, "_score").withColumn("_length", length_class(text))
-    docs = docs.join(exact, (F.col(lang) == F.col("_l")) & (F.col("_length") == F.col("_n")), "left")
-    docs = docs.join(F.broadcast(by_length), F.col("_length") == F.col("_n1"), "left").join(F.broadcast(overall), how="left")
-    docs = docs.withColumn("_threshold", F.coalesce("_t0", "_t1", "_t2"))
-    keep = F.col("_score").isNotNull() & F.coalesce(F.col("_score") <= F.col("_threshold"), F.lit(True))
-    return docs.withColumn("_keep", keep).drop("_length", "_l", "_n", "_t0", "_n1", "_t1", "_t2")
+    model = log_probabilities(docs.select(F.col(text).alias("text")), trusted.where("NOT held"))
+    judges = trusted.where("held") if not trusted.where("held AND text <> ''").isEmpty() else trusted
+    limits = materialize(thresholds(with_score(judges, model).select("lang", "length", "score")))
+    exact = limits.where("level = 0 AND lang IS NOT NULL").select(F.col("lang").alias("l"), F.col("length").alias("n"), F.col("threshold").alias("t0"))
+    by_length = limits.where("level = 1").select(F.col("length").alias("n1"), F.col("threshold").alias("t1"))
+    overall = limits.where("level = 3").select(F.col("threshold").alias("t2"))  # one row
+    docs = with_score(docs, model, text, "score").withColumn("length", length_class(text))
+    docs = docs.join(exact, (F.col(lang) == F.col("l")) & (F.col("length") == F.col("n")), "left")
+    docs = docs.join(F.broadcast(by_length), F.col("length") == F.col("n1"), "left").join(F.broadcast(overall), how="left")
+    docs = docs.withColumn("threshold", F.coalesce("t0", "t1", "t2"))
+    docs = docs.withColumn("keep", F.col("score").isNotNull() & F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
+    return restored(docs, names, _score="score", _threshold="threshold", _keep="keep")
