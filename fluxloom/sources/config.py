@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def load_class_config(spark: SparkSession, config: str | dict) -> tuple[DataFrame, DataFrame]:
-    """lc_map (code, vprm_class) and temp_coef (vprm_class, tmin, topt, tmax, tlow) of a YAML file or
-    mapping name -> {vprm_class, class_numbers, tmin, topt, tmax, tlow}. A code listed twice
+    """lc_map (code, veg_class) and temp_coef (veg_class, tmin, topt, tmax, tlow) of a YAML file or
+    mapping name -> {veg_class, class_numbers, tmin, topt, tmax, tlow}. A code listed twice
     keeps its last class; entries without tmin give no coefficients; tlow defaults to tmin."""
     if isinstance(config, str):
         import yaml
@@ -17,14 +17,14 @@ def load_class_config(spark: SparkSession, config: str | dict) -> tuple[DataFram
             config = yaml.safe_load(f)
     codes, coefficients = {}, {}
     for entry in config.values():
-        cls = int(entry["vprm_class"])
+        cls = int(entry["veg_class"])
         codes.update((int(c), cls) for c in entry["class_numbers"])
         if "tmin" in entry:
             coefficients[cls] = tuple(float(entry.get(k, entry["tmin"])) for k in ("tmin", "topt", "tmax", "tlow"))
     if chained := [c for c in codes if c in codes.values() and codes[c] != c]:
         raise ValueError(f"codes that are classes too: {chained}")
-    lc_map = spark.createDataFrame(list(codes.items()), "code int, vprm_class int")
-    return lc_map, spark.createDataFrame([(c, *v) for c, v in coefficients.items()], "vprm_class int, tmin double, topt double, tmax double, tlow double")
+    lc_map = spark.createDataFrame(list(codes.items()), "code int, veg_class int")
+    return lc_map, spark.createDataFrame([(c, *v) for c, v in coefficients.items()], "veg_class int, tmin double, topt double, tmax double, tlow double")
 
 
 #: Products, their cadence, file extension, and what they hold.

@@ -9,8 +9,13 @@ from ..functions.expr import sentinel
 from ..functions.physics import local_to_utc, midpoint
 
 #: The columns of a half-hourly tower file that are read by default.
-TOWER_COLUMNS = """TIMESTAMP_START TIMESTAMP_END NEE_VUT_REF NEE_CUT_REF NEE_VUT_REF_QC NEE_CUT_REF_QC GPP_NT_VUT_REF GPP_NT_CUT_REF
-GPP_DT_VUT_REF GPP_DT_CUT_REF RECO_NT_VUT_REF RECO_DT_VUT_REF TA_F TA_F_QC SW_IN_F SW_IN_F_QC VPD_F WS P_F""".split()
+TOWER_COLUMNS = [
+    "TIMESTAMP_START", "TIMESTAMP_END",
+    "NEE_VUT_REF", "NEE_CUT_REF", "NEE_VUT_REF_QC", "NEE_CUT_REF_QC",
+    "GPP_NT_VUT_REF", "GPP_NT_CUT_REF", "GPP_DT_VUT_REF", "GPP_DT_CUT_REF",
+    "RECO_NT_VUT_REF", "RECO_DT_VUT_REF",
+    "TA_F", "TA_F_QC", "SW_IN_F", "SW_IN_F_QC", "VPD_F", "WS", "P_F",
+]
 STAMPS = ("TIMESTAMP_START", "TIMESTAMP_END")
 
 #: Sites of the Brazilian network (latitude, longitude, class).
@@ -28,17 +33,23 @@ BRAZIL = {
 
 
 def _csv(spark: SparkSession, path: str, columns: list[str] | str, skip: int = 0, mode: str = "PERMISSIVE") -> DataFrame:
-    """A CSV with a header; the columns asked for, or all, as numbers, and the site's path."""
+    """CSV files with a header; the columns asked for, or all, as numbers, and the file's path. Files
+    with lines before their header may each have columns of their own, found by name; others must
+    agree in their header."""
     if skip:
         lines = spark.read.text(path, wholetext=False).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-        lines = lines.select("value", F.col("_metadata.file_path").alias("_file"))
-        header = lines.where(F.col("value").startswith(STAMPS[0])).first()["value"].split(",")
-        parts = F.split("value", ",")
-        raw = lines.where(~F.col("value").startswith(STAMPS[0])).select("_file", *[parts[k].alias(c.strip()) for k, c in enumerate(header)])
+        lines = lines.select(F.split("value", r"\s*,\s*").alias("parts"), F.col("_metadata.file_path").alias("_file"))
+        is_header = F.array_contains(F.col("parts"), STAMPS[0])
+        headers = lines.where(is_header).select("_file", F.col("parts").alias("header")).distinct()  # a row for each file
+        names = sorted({c for r in headers.select("header").distinct().collect() for c in r["header"]})
+        names = names if columns == "all" else [c for c in columns if c in names]
+        rows = lines.where(~is_header).join(headers, "_file")
+        at = lambda c: F.nullif(F.array_position("header", c), F.lit(0).cast("long"))
+        raw = rows.select("_file", *[F.get("parts", (at(c) - 1).cast("int")).alias(c) for c in names])
     else:
-        raw = spark.read.option("header", True).option("mode", mode).csv(path)
+        raw = spark.read.option("header", True).option("enforceSchema", False).option("mode", mode).csv(path)
         raw = raw.select("*", F.col("_metadata.file_path").alias("_file"))
-    names = [c for c in raw.columns if c != "_file"] if columns == "all" else [c for c in columns if c in raw.columns]
+        names = [c for c in raw.columns if c != "_file"] if columns == "all" else [c for c in columns if c in raw.columns]
     return raw.select("_file", *[F.col(c).cast("long" if c in STAMPS else "double").alias(c) for c in names])
 
 
