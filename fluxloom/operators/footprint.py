@@ -153,7 +153,7 @@ def weighted_flux(fp: DataFrame, fluxes: DataFrame, on: list[str], keys: list[st
 
 def over_map(fp: DataFrame, shares: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
     """Footprint-weighted class fractions."""
-    return fp.join(shares, on).groupBy(*keys, "vprm_class").agg(F.sum(F.col("footprint") * F.col("frac")).alias("frac"))
+    return fp.join(shares, on).groupBy(*keys, "veg_class").agg(F.sum(F.col("footprint") * F.col("frac")).alias("frac"))
 
 
 def cumulative_radius(line: DataFrame, keys: list[str], share: float, dx: float) -> DataFrame:
@@ -179,4 +179,4 @@ def crop_to_mass(fp: DataFrame, keys: list[str], least_share: float = 1e-6) -> D
     cells = fp.groupBy(*keys, "i", "j").agg(F.sum("footprint").alias("s"))
     share = F.col("s") / F.sum("s").over(Window.partitionBy(*keys))
     box = cells.withColumn("share", share).where(F.col("share") > least_share).groupBy(*keys).agg(F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
-    return fp.join(F.broadcast(box), keys).where("i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1").drop("i0", "i1", "j0", "j1")
+    return fp.join(box, keys).where("i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1").drop("i0", "i1", "j0", "j1")

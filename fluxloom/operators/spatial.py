@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, safe_divide
+from ..sources.scratch import written
 
 EARTH = 6_371_000.0
 
@@ -117,41 +119,49 @@ def extract_points(grid: DataFrame, sites: DataFrame, values: list[str], method:
     return joined.groupBy("site", *more).agg(*[F.when(whole & (F.count(v) == F.count("*")), F.sum(F.col(v) * F.col("_w"))).alias(v) for v in values])
 
 
-def nearest_valid_cell(cells: DataFrame, sites: DataFrame, values: list[str]) -> DataFrame:
+def _nearest(points: DataFrame, targets: DataFrame, ids: list[str], radius: float) -> DataFrame:
+    """For each point (ids, px, py) the nearest target (tx, ty, found), the least tx, ty of equals,
+    in a column found; points keep none where there is no target. Both are laid in cells as wide
+    as a radius, so a join on equal cells finds all targets within it; points without one are
+    tried again with a wider radius. Each round is written, so none is computed twice."""
+    ends = [F.min(c).alias(f"lo{c}") for c in ("x", "y")] + [F.max(c).alias(f"hi{c}") for c in ("x", "y")]
+    box = points.select(F.col("px").alias("x"), F.col("py").alias("y")).unionByName(targets.select(F.col("tx").alias("x"), F.col("ty").alias("y"))).agg(*ends).first()
+    widest = 0 if box["lox"] is None else math.hypot(box["hix"] - box["lox"], box["hiy"] - box["loy"])
+    todo, targets, parts, r = written(points.select(*ids, "px", "py")), written(targets), [], float(radius)
+    d = (F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    while not todo.isEmpty():
+        near = targets.withColumn("c", cells).select("tx", "ty", "found", (F.floor(F.col("tx") / r) + F.col("c.i")).alias("cx"), (F.floor(F.col("ty") / r) + F.col("c.j")).alias("cy"))
+        met = todo.withColumns({"cx": F.floor(F.col("px") / r), "cy": F.floor(F.col("py") / r)}).join(near, ["cx", "cy"]).where(d <= r * r)
+        hits = written(met.groupBy(*ids).agg(F.min_by("found", F.struct(d, F.col("tx"), F.col("ty"))).alias("found")))
+        parts.append(hits)
+        if r > widest:
+            break
+        todo = written(todo.join(hits, ids, "left_anti"))
+        r *= 2
+    none = points.where(F.lit(False)).select(*ids).crossJoin(targets.where(F.lit(False)).select("found"))
+    return reduce(DataFrame.unionByName, parts, none)
+
+
+def nearest_valid_cell(cells: DataFrame, sites: DataFrame, values: list[str], radius: float = 2.0) -> DataFrame:
     """For each site (site, px, py) the nearest cell with at least one value, the least x, y of
-    equals."""
+    equals; radius is the first distance that is searched."""
     some = cells.where(F.coalesce(*values).isNotNull())
-    d = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
-    best = F.min_by(F.struct("x", "y", *values), F.struct(d, F.col("x"), F.col("y")))
-    return some.join(F.broadcast(sites)).groupBy("site").agg(best.alias("_b")).select("site", "_b.*")
+    targets = some.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.struct("x", "y", *values).alias("found"))
+    return _nearest(sites, targets, ["site"], radius).select("site", "found.*")
 
 
 def nearest_of_class(grid: DataFrame, wrong: int, wanted: list[int], radius: int = 3, cls: str = "code") -> DataFrame:
-    """Replace a class by that of the nearest pixel of the wanted classes: rings of growing
-    radius are searched until every pixel has one or the grid has none."""
-    todo = grid.where(F.col(cls) == wrong).select("x", "y")
-    target = grid.where(F.col(cls).isin(wanted)).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col(cls).alias("_new"))
-    box = bounds(grid).first()
-    widest = 0 if box["min_x"] is None else int(max(box["max_x"] - box["min_x"], box["max_y"] - box["min_y"]))
-    found, r = None, radius
-    while True:
-        # Cells of r pixels: the neighbours of a pixel's cell hold all targets within r.
-        near = target.select("tx", "ty", "_new", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])).alias("i")).select("*", F.explode(F.array(*[F.lit(j) for j in (-1, 0, 1)])).alias("j"))
-        near = near.select("tx", "ty", "_new", (F.floor(F.col("tx") / r) + F.col("i")).alias("cx"), (F.floor(F.col("ty") / r) + F.col("j")).alias("cy"))
-        d = (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2
-        mine = todo.withColumns({"cx": F.floor(F.col("x") / r), "cy": F.floor(F.col("y") / r)}).join(near, ["cx", "cy"]).where(d <= r * r)
-        hits = mine.groupBy("x", "y").agg(F.min_by("_new", F.struct(d, F.col("tx"), F.col("ty"))).alias("_new"))
-        found = hits if found is None else found.unionByName(hits)
-        todo = todo.join(hits, ["x", "y"], "left_anti")
-        if r > 2 * widest or todo.isEmpty():
-            break
-        r *= 4
-    return grid.join(found, ["x", "y"], "left").withColumn(cls, F.coalesce("_new", cls)).drop("_new")
+    """Replace a class by that of the nearest pixel of the wanted classes, where there is one."""
+    todo = grid.where(F.col(cls) == wrong).select("x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
+    targets = grid.where(F.col(cls).isin(wanted)).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col(cls).alias("found"))
+    found = _nearest(todo, targets, ["x", "y"], radius)
+    return grid.join(found, ["x", "y"], "left").withColumn(cls, F.coalesce("found", cls)).drop("found")
 
 
-def recode(land_cover: DataFrame, lc_map: DataFrame, code: str = "code", out: str = "vprm_class") -> DataFrame:
+def recode(land_cover: DataFrame, lc_map: DataFrame, code: str = "code", out: str = "veg_class") -> DataFrame:
     """Land-cover codes to classes; codes without one pass through. lc_map has one row per code."""
-    return land_cover.join(F.broadcast(lc_map.select(F.col("code").alias("_code"), F.col("vprm_class").alias("_class"))), F.col(code) == F.col("_code"), "left").withColumn(out, F.coalesce("_class", code)).drop("_code", "_class")
+    return land_cover.join(F.broadcast(lc_map.select(F.col("code").alias("_code"), F.col("veg_class").alias("_class"))), F.col(code) == F.col("_code"), "left").withColumn(out, F.coalesce("_class", code)).drop("_code", "_class")
 
 
 def overlaps(src: DataFrame, dst: DataFrame) -> DataFrame:
@@ -214,7 +224,7 @@ def coverage(weights: DataFrame, dst: list[str], enough: float = 0.99) -> DataFr
     return weights.groupBy(*dst).agg(total.alias("coverage"), (total > enough).alias("is_fully_covered"))
 
 
-def land_cover_fractions(land_cover: DataFrame, weights: DataFrame, classes: DataFrame, src: list[str], dst: list[str], cls: str = "vprm_class") -> DataFrame:
+def land_cover_fractions(land_cover: DataFrame, weights: DataFrame, classes: DataFrame, src: list[str], dst: list[str], cls: str = "veg_class") -> DataFrame:
     """Share of each class in each destination cell, 0 for classes a cell has none of."""
     shares = land_cover.join(weights, src).groupBy(*dst, cls).agg(F.sum("w").alias("frac"))
     cells = weights.select(*dst).distinct().crossJoin(F.broadcast(classes.select(cls).distinct()))
@@ -222,11 +232,16 @@ def land_cover_fractions(land_cover: DataFrame, weights: DataFrame, classes: Dat
 
 
 def box_mean(cells: DataFrame, sites: DataFrame, value: str, radius_m: float) -> DataFrame:
-    """Mean of cells (lon, lat) within radius_m / 111 km of sites (site, slon, slat) each way."""
-    dlat = F.lit(radius_m / 111_000.0)
-    dlon = dlat / F.cos(F.radians("slat"))
-    near = F.col("lat").between(F.col("slat") - dlat, F.col("slat") + dlat) & F.col("lon").between(F.col("slon") - dlon, F.col("slon") + dlon)
-    return cells.join(F.broadcast(sites), near).groupBy("site").agg(F.avg(value).alias(value))
+    """Mean of cells (lon, lat) within radius_m / 111 km of sites (site, slon, slat) each way. Cells
+    lie in bins as wide as the radius; a site is in all bins that its box meets."""
+    w = radius_m / 111_000.0
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / w), F.floor(b / w)))
+    dlon = F.lit(w) / F.greatest(F.cos(F.radians("slat")), F.lit(1e-6))
+    sites = sites.select("site", "slon", "slat", F.least(dlon, F.lit(360.0)).alias("dlon"))
+    sites = sites.withColumn("blat", bins(F.col("slat") - w, F.col("slat") + w)).withColumn("blon", bins(F.col("slon") - F.col("dlon"), F.col("slon") + F.col("dlon")))
+    near = F.col("lat").between(F.col("slat") - w, F.col("slat") + w) & F.col("lon").between(F.col("slon") - F.col("dlon"), F.col("slon") + F.col("dlon"))
+    cells = cells.withColumns({"blat": F.floor(F.col("lat") / w), "blon": F.floor(F.col("lon") / w)})
+    return cells.join(sites, ["blat", "blon"]).where(near).groupBy("site").agg(F.avg(value).alias(value))
 
 
 def met_select(met: DataFrame, lat: tuple[float, float] | None = None, lon: tuple[float, float] | None = None, t0=None, t1=None) -> DataFrame:

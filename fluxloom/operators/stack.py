@@ -40,7 +40,7 @@ def growing_season_stats(stack: DataFrame, keys: list[str] = PIXEL, share: float
 
 def snow_run_length(stack: DataFrame, days: float = 21.0) -> int:
     """Steps of a snow run: days over the mean step between the stack's days."""
-    steps = stack.select("day").distinct().agg(((F.max("day") - F.min("day")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("step")).first()["step"]
+    step = stack.select("day").distinct().agg(((F.max("day") - F.min("day")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("step")).first()["step"]
     return max(1, int(days / step)) if step else 1
 
 
@@ -82,15 +82,20 @@ def lowess_fit(x: np.ndarray, y: np.ndarray, at: np.ndarray, frac: float, rounds
         return out
 
     def lines(points: np.ndarray, robust: np.ndarray) -> np.ndarray:
-        distance = np.abs(points[:, None] - x[None, :])
-        reach = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        # The k nearest of sorted points lie side by side; those farther away have no weight.
+        first = np.searchsorted(x[: n - k] + x[k:], 2 * points)
+        at = first[:, None] + np.arange(k)
+        near = x[at]
+        distance = np.abs(points[:, None] - near)
+        reach = distance.max(axis=1, keepdims=True)
         with np.errstate(all="ignore"):
-            w = np.where(distance <= reach, np.clip(1 - (distance / reach) ** 3, 0, None) ** 3, 0) * robust
+            w = np.clip(1 - (distance / reach) ** 3, 0, None) ** 3 * robust[at]
             w = w / w.sum(axis=1, keepdims=True)
-            mean = w @ x
-            spread = (w * (x[None, :] - mean[:, None]) ** 2).sum(axis=1)
-            centre = w @ y
-            slope = ((w * (x[None, :] - mean[:, None])) @ y) / spread
+            mean = (w * near).sum(axis=1)
+            off = near - mean[:, None]
+            spread = (w * off**2).sum(axis=1)
+            centre = (w * y[at]).sum(axis=1)
+            slope = (w * off * y[at]).sum(axis=1) / spread
         return centre + slope * (points - mean)
 
     robust = np.ones(n)
@@ -110,53 +115,74 @@ def lowess(stack: DataFrame, value: str, days: list[int], keys: list[str] = PIXE
     points = stack.where(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(*keys, F.col(at).cast("double").alias("_at")).agg(F.avg(value).alias("_v"))
     types = dict(stack.dtypes)
 
-    def smooth(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("_at")
-        x, y, f = series["_at"].to_numpy(), series["_v"].to_numpy(), frac
-        for _ in range(tries):
-            fitted = lowess_fit(x, y, wanted, f, rounds)
-            if np.isfinite(fitted).all():
-                break
-            f += 0.05
-        out = pd.DataFrame({k: [series[k].iloc[0]] * len(wanted) for k in keys})
-        out["day"] = wanted.astype("int64")
-        out[value] = [v if np.isfinite(v) else None for v in fitted]
+    def smooth(batch: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for key, series in batch.sort_values([*keys, "_at"]).groupby(keys, sort=False, dropna=False):
+            x, y, f = series["_at"].to_numpy(), series["_v"].to_numpy(), frac
+            for _ in range(tries):
+                fitted = lowess_fit(x, y, wanted, f, rounds)
+                if np.isfinite(fitted).all():
+                    break
+                f += 0.05
+            parts.append((key, fitted))
+        out = pd.DataFrame({k: np.repeat([p[0][j] for p in parts], len(wanted)) for j, k in enumerate(keys)})
+        out["day"] = np.tile(wanted.astype("int64"), len(parts))
+        values = pd.Series(np.concatenate([p[1] for p in parts]))
+        out[value] = values.where(np.isfinite(values))
         return out
 
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["day long", f"{value} double"])
-    return points.groupBy(*keys).applyInPandas(smooth, schema)
+    return _batched(points, keys).applyInPandas(smooth, schema)
+
+
+#: Series that one Python call smooths.
+TOGETHER = 256
+
+
+def _batched(points: DataFrame, keys: list[str]):
+    """Groups of about TOGETHER whole series each."""
+    n = -(-points.select(*keys).distinct().count() // TOGETHER)
+    return points.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(max(1, n)))).groupBy("_batch")
+
+
+def kalman_fit(seen: np.ndarray, process: float, observation: float) -> np.ndarray:
+    """Local-level Kalman smoother over the last axis of series (NaN where nothing was seen); the
+    first value seen is the prior mean."""
+    n, days = seen.shape
+    known = np.isfinite(seen)
+    m, p = seen[np.arange(n), known.argmax(axis=1)], np.ones(n)
+    means, before = np.empty((days, n)), np.empty((days, n))
+    after, ahead = np.empty((days, n)), np.empty((days, n))
+    for d in range(days):
+        ahead[d] = p if d == 0 else p + process
+        before[d] = m
+        gain = np.where(known[:, d], ahead[d] / (ahead[d] + observation), 0.0)
+        m = m + gain * (np.where(known[:, d], seen[:, d], m) - m)
+        p = (1 - gain) * ahead[d]
+        means[d], after[d] = m, p
+    for d in range(days - 2, -1, -1):
+        means[d] += after[d] / ahead[d + 1] * (means[d + 1] - before[d + 1])
+    return means.T
 
 
 def kalman(stack: DataFrame, value: str, last: int, keys: list[str] = PIXEL, process: float = 0.01, observation: float = 0.05) -> DataFrame:
-    """Local-level Kalman smoother on the days 0 .. last, as two folds over an array. The first
-    valid value is the prior mean. Series without a value give no row."""
-    series = stack.where(F.col(value).isNotNull() & F.col("day").between(0, last)).groupBy(*keys, "day").agg(F.avg(value).alias("_v"))
-    series = series.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("day", "_v"))).alias("_obs"), F.min_by("_v", "day").alias("_prior"))
-    days = F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
-    q, r = F.lit(process), F.lit(observation)
-    empty = "array<struct<m:double,p:double,mp:double,pp:double>>"
-    start = F.struct(F.col("_prior").alias("m"), F.lit(1.0).alias("p"), F.array().cast(empty).alias("all"))
-
-    def forward(acc: Column, day: Column) -> Column:
-        mp, pp = acc["m"], F.when(day == 0, acc["p"]).otherwise(acc["p"] + q)
-        seen = F.try_element_at(F.col("_obs"), day)
-        gain = F.when(seen.isNotNull(), pp / (pp + r)).otherwise(0.0)
-        m = mp + gain * (F.coalesce(seen, mp) - mp)
-        p = (1 - gain) * pp
-        step = F.struct(m.alias("m"), p.alias("p"), mp.alias("mp"), pp.alias("pp"))
-        return F.struct(m.alias("m"), p.alias("p"), F.concat(acc["all"], F.array(step)).alias("all"))
-
-    series = series.select(*keys, F.reverse(F.aggregate(days, start, forward, lambda acc: acc["all"])).alias("_back"))
-    newest = F.col("_back")[0]
-    first = F.struct(newest["m"].alias("m"), newest["mp"].alias("mp"), newest["pp"].alias("pp"), F.array(newest["m"]).alias("all"))
-
-    def backward(acc: Column, step: Column) -> Column:
-        m = step["m"] + step["p"] / acc["pp"] * (acc["m"] - acc["mp"])
-        return F.struct(m.alias("m"), step["mp"].alias("mp"), step["pp"].alias("pp"), F.concat(acc["all"], F.array(m)).alias("all"))
-
-    smoothed = F.reverse(F.aggregate(F.slice("_back", 2, last + 1), first, backward, lambda acc: acc["all"]))
-    rows = series.select(*keys, F.posexplode(smoothed).alias("_p", value))
-    return rows.select(*keys, F.col("_p").cast("long").alias("day"), value)
+    """Smooth each series on the days 0 .. last; whole series go to Python many at a time. Series
+    without a value give no row."""
+    points = stack.where(F.col(value).isNotNull() & F.col("day").between(0, last)).groupBy(*keys, "day").agg(F.avg(value).alias("_v"))
+    types = dict(stack.dtypes)
+
+    def smooth(batch: pd.DataFrame) -> pd.DataFrame:
+        groups = batch.groupby(keys, sort=False, dropna=False)
+        number, first = groups.ngroup().to_numpy(), groups.head(1)
+        seen = np.full((len(first), last + 1), np.nan)
+        seen[number, batch["day"].to_numpy()] = batch["_v"].to_numpy()
+        out = pd.DataFrame({k: np.repeat(first[k].to_numpy(), last + 1) for k in keys})
+        out["day"] = np.tile(np.arange(last + 1), len(first))
+        out[value] = kalman_fit(seen, process, observation).ravel()
+        return out
+
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["day long", f"{value} double"])
+    return _batched(points, keys).applyInPandas(smooth, schema)
 
 
 def add_observation_day(scenes: DataFrame, ts: str, first: str = "scene_ts") -> DataFrame:

@@ -85,6 +85,22 @@ def sample_weights(df: DataFrame, a: str, b: str, role: str = "role", bins: int
     return weighted.select(*df.columns, "weight")
 
 
+#: Draws that one row of a plan makes.
+DRAWS = 100_000
+
+
+def numbered(df: DataFrame, by: list[str], order: Column, *keys: str) -> DataFrame:
+    """Add _rn, the number of a row in its group by a hash (hexadecimal) and keys, from 1 on, and
+    _n, the group's rows. Rows are numbered in ranges of the hash, and the rows of the ranges
+    before are added, so no task holds a group."""
+    df = df.withColumn("_hash", order).withColumn("_range", F.substring("_hash", 1, 3))
+    sizes = df.groupBy(*by, "_range").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_k").over(before), F.lit(0)), "_n": F.sum("_k").over(Window.partitionBy(*by))}).drop("_k")
+    rn = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_hash", *keys))
+    return df.join(sizes, [*by, "_range"]).withColumn("_rn", rn + F.col("_before")).drop("_hash", "_range", "_before")
+
+
 def temperature_balance(df: DataFrame, t: str, keys: list[str], factor: int = 2, lo: int = -2, hi: int = 30, step: int = 4) -> DataFrame:
     """Draw rows with replacement so that each right-closed temperature bin has the least of
     factor times its rows and the largest bin's rows. Draws are by hash, the same in each run."""
@@ -92,19 +108,21 @@ def temperature_balance(df: DataFrame, t: str, keys: list[str], factor: int = 2,
     df = df.withColumn("bin", b).where("bin IS NOT NULL")
     sizes = df.groupBy("bin").agg(F.count("*").alias("n"))
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.max("n").alias("top")))).select("bin", "n", F.least(F.col("n") * factor, "top").alias("draws"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), "draws")))
+    # Draws are made in blocks, so that a large bin's draws are not one row's.
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("draws") - 1) / DRAWS)))
+    draws = sizes.withColumn("block", blocks).repartition("bin", "block")
+    draws = draws.withColumn("draw", F.explode(F.sequence(F.col("block") * DRAWS + 1, F.least("draws", (F.col("block") + 1) * DRAWS))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", "bin", "draw", F.lit("42"))), 1, 12), 16, 10).cast("long") % F.col("n") + 1
-    rn = F.row_number().over(Window.partitionBy("bin").orderBy(*keys))
-    return draws.withColumn("rn", pick).join(df.withColumn("rn", rn), ["bin", "rn"]).drop("rn", "n", "draws")
+    rows = numbered(df, ["bin"], hash_rank(*keys), *keys).withColumnRenamed("_rn", "rn").drop("_n")
+    return draws.select("bin", pick.alias("rn")).join(rows, ["bin", "rn"]).drop("rn")
 
 
 def split_random(times: DataFrame, keys: list[str], k: int, val: float, test: float = 0.0) -> DataFrame:
     """Roles of each time in each fold, of exact sizes, by hash order. One fold: int(n * test),
     then int(rest * val). More: sizes n // k, one more for the first n % k; validation from the
     rest of each fold."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(hash_rank(*keys), *keys)) - 1
-    ranked = times.select(*keys).distinct().withColumns({"_n": n, "_rank": rank})
+    ranked = numbered(times.select(*keys).distinct().withColumn("_all", F.lit(0)), ["_all"], hash_rank(*keys), *keys)
+    ranked = ranked.withColumn("_rank", F.col("_rn") - 1).drop("_rn", "_all")
     if k == 1:
         tests = F.floor(F.col("_n") * test)
         vals = F.floor((F.col("_n") - tests) * val)
@@ -113,12 +131,10 @@ def split_random(times: DataFrame, keys: list[str], k: int, val: float, test: fl
     size, extra = F.floor(F.col("_n") / k), F.col("_n") % k
     first = extra * (size + 1)
     own = F.when(F.col("_rank") < first, F.floor(F.col("_rank") / (size + 1))).otherwise(extra + F.floor((F.col("_rank") - first) / F.greatest(size, F.lit(1))))
-    folds = ranked.withColumn("_own", own).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rest = F.col("_own") != F.col("fold")
-    order = F.row_number().over(Window.partitionBy("fold", rest).orderBy(hash_rank(*keys, seed="val"), *keys))
-    left = F.count("*").over(Window.partitionBy("fold", rest))
-    folds = folds.withColumns({"_order": order, "_left": left})
-    role = F.when(~rest, "test").when(F.col("_order") <= F.floor(F.col("_left") * val), "val").otherwise("train")
+    folds = ranked.withColumn("_own", own).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).drop("_n")
+    folds = folds.withColumn("_rest", F.col("_own") != F.col("fold"))
+    folds = numbered(folds, ["fold", "_rest"], hash_rank(*keys, seed="val"), *keys)
+    role = F.when(~F.col("_rest"), "test").when(F.col("_rn") <= F.floor(F.col("_n") * val), "val").otherwise("train")
     return folds.select(*keys, "fold", role.alias("role"))
 
 
@@ -193,7 +209,7 @@ def day_mask(sw_pot: str = "sw_in_pot") -> Column:
 
 
 def flux_mask(fractions: DataFrame, pixel: list[str], cls: int = 7, most: float = 0.99) -> DataFrame:
-    share = F.coalesce(F.sum(F.when(F.col("vprm_class") == cls, F.col("frac"))), F.lit(0.0))
+    share = F.coalesce(F.sum(F.when(F.col("veg_class") == cls, F.col("frac"))), F.lit(0.0))
     return fractions.groupBy(*pixel).agg((share < most).alias("flux_mask"))
 
 

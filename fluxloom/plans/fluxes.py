@@ -29,15 +29,15 @@ WHERE m.day >= 0 AND m.day <= (SELECT max(day) FROM {stack}) AND (a.day IS NOT N
 BINDINGS["features"] = """
 SELECT *, CASE WHEN t2m < tlow THEN tlow ELSE t2m END AS tcorr,
   CASE WHEN t2m < tmin OR s < 0 THEN 0e0 ELSE s END AS ts,
-  CASE WHEN vprm_class = 1 THEN 1e0 WHEN vprm_class IN (5, 7) THEN (1 + lswi) / 2 WHEN evi > th THEN 1e0 ELSE (1 + lswi) / 2 END AS ps,
-  CASE WHEN vprm_class IN (4, 7) THEN (lswi - min_lswi) / nullif(max_lswi - min_lswi, 0) ELSE (1 + lswi) / nullif(1 + max_lswi, 0) END AS ws,
+  CASE WHEN veg_class = 1 THEN 1e0 WHEN veg_class IN (5, 7) THEN (1 + lswi) / 2 WHEN evi > th THEN 1e0 ELSE (1 + lswi) / 2 END AS ps,
+  CASE WHEN veg_class IN (4, 7) THEN (lswi - min_lswi) / nullif(max_lswi - min_lswi, 0) ELSE (1 + lswi) / nullif(1 + max_lswi, 0) END AS ws,
   (lswi - min_lswi) / nullif(max_lswi - min_lswi, 0) AS w2
-FROM (SELECT n.*, f.vprm_class, f.frac, t.min_lswi, t.max_lswi, t.th, c.tmin, c.topt, c.tmax, c.tlow, (t2m - tmin) * (t2m - tmax) / nullif((t2m - tmin) * (t2m - tmax) - (t2m - topt) * (t2m - topt), 0) AS s
-      FROM {nearest} n JOIN {stats} t ON n.x = t.x AND n.y = t.y JOIN {fractions} f ON n.x = f.x AND n.y = f.y JOIN {coefficients} c ON f.vprm_class = c.vprm_class) q"""
+FROM (SELECT n.*, f.veg_class, f.frac, t.min_lswi, t.max_lswi, t.th, c.tmin, c.topt, c.tmax, c.tlow, (t2m - tmin) * (t2m - tmax) / nullif((t2m - tmin) * (t2m - tmax) - (t2m - topt) * (t2m - topt), 0) AS s
+      FROM {nearest} n JOIN {stats} t ON n.x = t.x AND n.y = t.y JOIN {fractions} f ON n.x = f.x AND n.y = f.y JOIN {coefficients} c ON f.veg_class = c.veg_class) q"""
 
 BINDINGS["predicted"] = """
-SELECT f.x, f.y, f.hour, f.ok, f.day, f.vprm_class, frac * lamb * ps * ws * ts * evi * (par / (1 + par / par0)) AS gpp, greatest(frac * (alpha * tcorr + beta), 0e0) AS reco
-FROM {features} f JOIN {params} p ON f.vprm_class = p.vprm_class WHERE f.vprm_class NOT IN (0, 8)"""
+SELECT f.x, f.y, f.hour, f.ok, f.day, f.veg_class, frac * lamb * ps * ws * ts * evi * (par / (1 + par / par0)) AS gpp, greatest(frac * (alpha * tcorr + beta), 0e0) AS reco
+FROM {features} f JOIN {params} p ON f.veg_class = p.veg_class WHERE f.veg_class NOT IN (0, 8)"""
 
 
 def met(spark: SparkSession, d: str) -> DataFrame:
@@ -45,11 +45,10 @@ def met(spark: SparkSession, d: str) -> DataFrame:
     return m.select("x", "y", "hour", "ok", "day", (F.col("t2m") - 273.15).alias("t2m"), P.par("ssrd", reanalysis=True).alias("par"))
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
+def features(spark: SparkSession, d: str, xeric: bool = True) -> DataFrame:
     s = stack(spark, d)
-    near = G.nearest_in_time(met(spark, d), s.drop("is_snow"), ["x", "y"])
-    rows = near.join(S.growing_season_stats(s), ["x", "y"]).join(bind(spark, d, "fractions"), ["x", "y"])
-    return V.with_features(rows.join(F.broadcast(bind(spark, d, "coefficients")), "vprm_class"), grid=True)
+    given = S.growing_season_stats(s), bind(spark, d, "coefficients"), ["x", "y"]
+    return V.features_at_towers(met(spark, d), s.drop("is_snow"), *given, fractions=bind(spark, d, "fractions"), grid=True, xeric=xeric)
 
 
 @query("nearest", sql="SELECT x, y, hour, ok, scene_day, round(evi, 6) AS evi, round(lswi, 6)+0e0 AS lswi FROM nearest")
@@ -59,11 +58,33 @@ def j01_nearest_scene(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("features", sql="""
-SELECT x, y, hour, ok, vprm_class::BIGINT AS vprm_class, round(tcorr,6)+0e0 AS tcorr, round(ts,6) AS ts, round(ps,6) AS ps, round(ws,6)+0e0 AS ws, round(w2,6)+0e0 AS w2,
+SELECT x, y, hour, ok, veg_class::BIGINT AS veg_class, round(tcorr,6)+0e0 AS tcorr, round(ts,6) AS ts, round(ps,6) AS ps, round(ws,6)+0e0 AS ws, round(w2,6)+0e0 AS w2,
        round(CASE WHEN t2m < 5 THEN 5e0 - 0.5e0 * (5e0 - t2m) ELSE t2m END, 6)+0e0 AS td, round(par, 6) AS par FROM features""")
 def v01_v07_j13_features(spark: SparkSession, d: str) -> DataFrame:
     f = features(spark, d)
-    return f.select("x", "y", "hour", "ok", F.col("vprm_class").cast("long").alias("vprm_class"), r6("tcorr").alias("tcorr"), r6("Ts").alias("ts"), r6("Ps").alias("ps"), r6("Ws").alias("ws"), r6("W2").alias("w2"), r6(V.t_dash("t2m", F.lit(5.0), F.lit(0.5))).alias("td"), r6("par").alias("par"))
+    return f.select("x", "y", "hour", "ok", F.col("veg_class").cast("long").alias("veg_class"), r6("tcorr").alias("tcorr"), r6("Ts").alias("ts"), r6("Ps").alias("ps"), r6("Ws").alias("ws"), r6("W2").alias("w2"), r6(V.t_dash("t2m", F.lit(5.0), F.lit(0.5))).alias("td"), r6("par").alias("par"))
+
+
+@query("features", sql="""
+SELECT x, y, hour, ok, veg_class::BIGINT AS veg_class, round(CASE WHEN t2m < tmin THEN tmin ELSE t2m END, 6)+0e0 AS tcorr, round(CASE WHEN veg_class = 1 OR evi > th THEN 1e0 ELSE (1 + lswi) / 2 END, 6) AS ps,
+       round((1 + lswi) / nullif(1 + max_lswi, 0), 6)+0e0 AS ws FROM features""")
+def v01_v03_without_xeric(spark: SparkSession, d: str) -> DataFrame:
+    """The forms of a model that knows no xeric and no ramped classes."""
+    f = features(spark, d, xeric=False)
+    return f.select("x", "y", "hour", "ok", F.col("veg_class").cast("long").alias("veg_class"), r6("tcorr").alias("tcorr"), r6("Ps").alias("ps"), r6("Ws").alias("ws"))
+
+
+BINDINGS["same_day"] = """
+SELECT m.x, m.y, m.hour, m.ok, m.day, m.t2m - 273.15e0 AS t2m, m.ssrd / 0.505e0 / 3600 AS par, s.evi, s.lswi FROM {met_obs} m JOIN {stack} s ON m.x = s.x AND m.y = s.y AND m.day = s.day"""
+BINDINGS["grid_features"] = BINDINGS["features"].replace("{nearest}", "{same_day}")
+
+
+@query("grid_features", sql="""
+SELECT x, y, hour, ok, veg_class::BIGINT AS veg_class, round(tcorr,6)+0e0 AS tcorr, round(ts,6) AS ts, round(ps,6) AS ps, round(ws,6)+0e0 AS ws, round(w2,6)+0e0 AS w2 FROM grid_features""")
+def v07_features_on_grid(spark: SparkSession, d: str) -> DataFrame:
+    s = stack(spark, d)
+    f = V.features_on_grid(met(spark, d), s.drop("is_snow"), S.growing_season_stats(s), bind(spark, d, "fractions"), bind(spark, d, "coefficients"), ["x", "y"])
+    return f.select("x", "y", "hour", "ok", F.col("veg_class").cast("long").alias("veg_class"), r6("tcorr").alias("tcorr"), r6("Ts").alias("ts"), r6("Ps").alias("ps"), r6("Ws").alias("ws"), r6("W2").alias("w2"))
 
 
 @query("predicted", sql="SELECT x, y, hour, ok, round(coalesce(sum(gpp),0),7)+0e0 AS gpp, round(coalesce(sum(reco),0),7)+0e0 AS reco, round(coalesce(sum(reco),0) - coalesce(sum(gpp),0),7)+0e0 AS nee FROM predicted GROUP BY x, y, hour, ok")
@@ -82,66 +103,102 @@ def e01_daily_nee(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("features", sql="""
-SELECT x, y, hour, ok, f.vprm_class::BIGINT AS vprm_class, round(coalesce(greatest(frac * (b + 0.1e0*d + 0.002e0*d*d + 2e0*evi + 0.5e0*w2 + 0.03e0*w2*d + 0.001e0*w2*d*d), 0e0),0),5) AS reco
-FROM (SELECT *, vprm_class * 0.2e0 AS b, CASE WHEN t2m < 4 THEN 4e0 - 0.3e0 * (4e0 - t2m) ELSE t2m END AS d FROM features) f WHERE f.vprm_class BETWEEN 1 AND 7 AND evi IS NOT NULL AND w2 IS NOT NULL""")
+SELECT x, y, hour, ok, f.veg_class::BIGINT AS veg_class, round(coalesce(greatest(frac * (b + 0.1e0*d + 0.002e0*d*d + 2e0*evi + 0.5e0*w2 + 0.03e0*w2*d + 0.001e0*w2*d*d), 0e0),0),5) AS reco
+FROM (SELECT *, veg_class * 0.2e0 AS b, CASE WHEN t2m < 4 THEN 4e0 - 0.3e0 * (4e0 - t2m) ELSE t2m END AS d FROM features) f WHERE f.veg_class BETWEEN 1 AND 7 AND evi IS NOT NULL AND w2 IS NOT NULL""")
 def v09_modified_fluxes(spark: SparkSession, d: str) -> DataFrame:
-    extra = {"beta": F.col("vprm_class") * 0.2, "alpha1": F.lit(0.1), "alpha2": F.lit(0.002), "gamma": F.lit(2.0), "theta1": F.lit(0.5), "theta2": F.lit(0.03), "theta3": F.lit(0.001), "tcrit": F.lit(4.0), "tmult": F.lit(0.3)}
-    params = bind(spark, d, "params").select("vprm_class", "lamb", "par0").withColumns(extra)
+    extra = {"beta": F.col("veg_class") * 0.2, "alpha1": F.lit(0.1), "alpha2": F.lit(0.002), "gamma": F.lit(2.0), "theta1": F.lit(0.5), "theta2": F.lit(0.03), "theta3": F.lit(0.001), "tcrit": F.lit(4.0), "tmult": F.lit(0.3)}
+    params = bind(spark, d, "params").select("veg_class", "lamb", "par0").withColumns(extra)
     rows = features(spark, d).where("evi IS NOT NULL AND W2 IS NOT NULL")
     out = V.predict(rows, params, ["x", "y", "hour", "ok"], modified=True, per_class=True)
-    return out.select("x", "y", "hour", "ok", F.col("vprm_class").cast("long").alias("vprm_class"), r6("reco", 5).alias("reco"))
+    return out.select("x", "y", "hour", "ok", F.col("veg_class").cast("long").alias("veg_class"), r6("reco", 5).alias("reco"))
 
 
 # Rows with a planted flux: known parameters plus a small deterministic miss.
 BINDINGS["planted"] = """
 SELECT f.*, greatest(alpha * tcorr + beta, 0e0) - CASE WHEN par > 0 THEN lamb * ps * ws * ts * evi * (par / (1 + par / par0)) ELSE 0e0 END + (CAST(f.ok % 21 AS DOUBLE) - 10) / 100e0 AS nee
-FROM {features} f JOIN {params} p ON f.vprm_class = p.vprm_class WHERE evi IS NOT NULL AND ws IS NOT NULL"""
+FROM {features} f JOIN {params} p ON f.veg_class = p.veg_class WHERE evi IS NOT NULL AND ws IS NOT NULL"""
 
 
 def planted(spark: SparkSession, d: str) -> DataFrame:
-    rows = features(spark, d).where("evi IS NOT NULL AND Ws IS NOT NULL").join(F.broadcast(bind(spark, d, "params")), "vprm_class")
+    rows = features(spark, d).where("evi IS NOT NULL AND Ws IS NOT NULL").join(F.broadcast(bind(spark, d, "params")), "veg_class")
     whole = F.greatest(F.col("alpha") * F.col("tcorr") + F.col("beta"), F.lit(0.0)) - F.when(F.col("par") > 0, V.gpp(F.lit(1.0))).otherwise(0.0)
     return rows.withColumn("nee", whole + (F.col("ok") % 21 - 10) / 100).drop("lamb", "par0", "alpha", "beta")
 
 
-@query("planted", sql="""
-SELECT vprm_class::BIGINT AS vprm_class, round(alpha, 5) AS alpha, round(beta, 5)+0e0 AS beta, round(avg((greatest(alpha * tcorr + beta, 0) - nee) ^ 2), 6) AS mse
-FROM planted JOIN (SELECT vprm_class AS c, regr_slope(nee, tcorr) AS alpha, regr_intercept(nee, tcorr) AS beta FROM planted WHERE par = 0 AND vprm_class IN (4, 5, 6) GROUP BY 1) r ON vprm_class = c WHERE par = 0 GROUP BY vprm_class, alpha, beta""")
+def _respiration_sql(steps: int = 4) -> str:
+    """Tables s0, s1, ...: the line through all dark rows of a class, then each time through those
+    that the line before puts above zero; r: the best of them."""
+    fit = "regr_slope(nee, tcorr) AS alpha, regr_intercept(nee, tcorr) AS beta"
+    text = f", dark AS (SELECT veg_class AS c, tcorr, nee FROM planted WHERE par = 0 AND nee IS NOT NULL AND tcorr IS NOT NULL), s0 AS (SELECT c, {fit} FROM dark GROUP BY c)"
+    for k in range(1, steps + 1):
+        text += f", s{k} AS (SELECT d.c, {fit} FROM dark d JOIN s{k - 1} s ON d.c = s.c WHERE alpha * tcorr + beta > 0 GROUP BY d.c)"
+    tried = " UNION ".join(f"SELECT * FROM s{k}" for k in range(steps + 1))
+    return text + f""", t AS (SELECT * FROM ({tried}) WHERE alpha IS NOT NULL AND beta IS NOT NULL),
+m AS (SELECT d.c, alpha, beta, avg((greatest(alpha * tcorr + beta, 0) - nee) ^ 2) AS mse FROM dark d JOIN t ON d.c = t.c GROUP BY ALL),
+r AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY c ORDER BY mse, alpha, beta) = 1)
+"""
+
+
+@query("planted", sql=_respiration_sql() + "SELECT c::BIGINT AS veg_class, round(alpha, 5)+0e0 AS alpha, round(beta, 5)+0e0 AS beta, round(mse, 6) AS mse, round(mse, 6) AS reported FROM r")
 def v10_v14_respiration(spark: SparkSession, d: str) -> DataFrame:
-    fitted = V.fit_respiration(planted(spark, d).where("vprm_class IN (4, 5, 6)"))
-    return fitted.select(F.col("vprm_class").cast("long").alias("vprm_class"), r6("alpha", 5).alias("alpha"), r6("beta", 5).alias("beta"), r6("mse").alias("mse"))
+    rows = planted(spark, d)
+    fitted = V.fit_respiration(rows)
+    dark = V.partition_nee(rows.where("par = 0"), fitted)
+    fitted = fitted.join(V.fit_report(dark, "reco", "nee").withColumnRenamed("mse", "reported"), "veg_class")
+    return fitted.select(F.col("veg_class").cast("long").alias("veg_class"), r6("alpha", 5).alias("alpha"), r6("beta", 5).alias("beta"), r6("mse").alias("mse"), r6("reported").alias("reported"))
 
 
-@query("planted", "params", sql="""
-, g AS (SELECT unnest([100e0, 200e0, 280e0, 360e0, 400e0, 440e0, 520e0, 800e0]) AS par0),
-s AS (SELECT f.vprm_class, g.par0, sum(b / (1 + par / g.par0) * t) AS fg, sum((b / (1 + par / g.par0)) ^ 2) AS ff, sum(t * t) AS gg, count(t) AS n
-      FROM (SELECT p.vprm_class, par, ps * ws * ts * evi * par AS b, q.alpha * tcorr + q.beta - nee AS t FROM planted p JOIN params q ON p.vprm_class = q.vprm_class) f, g GROUP BY 1, 2)
-SELECT vprm_class::BIGINT AS vprm_class, arg_min(round(fg / ff, 5), (gg - fg * fg / ff) / n) AS lamb, arg_min(par0, (gg - fg * fg / ff) / n) AS par0, round(min((gg - fg * fg / ff) / n), 5) AS mse FROM s GROUP BY 1""")
+LIGHT = [50.0, 100.0, 200.0, 400.0, 800.0, 1600.0]
+
+
+def _light_sql(rounds: int = 2) -> str:
+    """Tables b0, b1, ...: the best lamb and par0 of each class over a grid, then around the best."""
+    text = ", q AS (SELECT p.veg_class AS c, par, ps * ws * ts * evi * par AS b, q.alpha * tcorr + q.beta - nee AS t FROM planted p JOIN params q ON p.veg_class = q.veg_class)"
+    for k in range(rounds + 1):
+        tries = f"SELECT c, unnest({LIGHT}) AS par0 FROM (SELECT DISTINCT c FROM q)" if not k else f"SELECT c, par0 * unnest({[float(2 ** (2.0 / 4 ** (k - 1) * s / 8)) for s in range(-8, 9)]}) AS par0 FROM b{k - 1}"
+        text += f""", g{k} AS ({tries}), s{k} AS (SELECT q.c, g.par0, sum(b / (1 + par / g.par0) * t) AS fg, sum((b / (1 + par / g.par0)) ^ 2) AS ff, sum(t * t) AS gg, count(t) AS n FROM q JOIN g{k} g ON q.c = g.c GROUP BY 1, 2),
+b{k} AS (SELECT c, par0, fg / ff AS lamb, (gg - fg * fg / ff) / n AS mse FROM s{k} QUALIFY row_number() OVER (PARTITION BY c ORDER BY (gg - fg * fg / ff) / n, par0) = 1)
+"""
+    return text + f"SELECT c::BIGINT AS veg_class, round(lamb, 5) AS lamb, round(par0, 4) AS par0, round(mse, 5) AS mse FROM b{rounds}"
+
+
+@query("planted", "params", sql=_light_sql())
 def v11_fit_nee(spark: SparkSession, d: str) -> DataFrame:
-    fitted = V.fit_nee(planted(spark, d), bind(spark, d, "params"), [100, 200, 280, 360, 400, 440, 520, 800], rounds=0)
-    return fitted.select(F.col("vprm_class").cast("long").alias("vprm_class"), r6("lamb", 5).alias("lamb"), "par0", r6("mse", 5).alias("mse"))
+    fitted = V.fit_nee(planted(spark, d), bind(spark, d, "params"), LIGHT)
+    return fitted.select(F.col("veg_class").cast("long").alias("veg_class"), r6("lamb", 5).alias("lamb"), r6("par0", 4).alias("par0"), r6("mse", 5).alias("mse"))
 
 
 @query()
 def v12_fit_combined(spark: SparkSession, d: str) -> DataFrame:
-    rows = planted(spark, d).select("vprm_class", "par", "tcorr", "Ps", "Ws", "Ts", "evi", "nee").persist()
+    rows = planted(spark, d).select("veg_class", "par", "tcorr", "Ps", "Ws", "Ts", "evi", "nee").persist()
     dark = V.fit_respiration(rows)
-    start = V.fit_nee(rows, dark, [50, 100, 200, 400, 800, 1600]).select("vprm_class", "lamb", "par0").join(dark.select("vprm_class", "alpha", "beta"), "vprm_class")
-    return V.fit_combined(rows, start).select(F.col("vprm_class").cast("long").alias("vprm_class"), "lamb", "par0", "alpha", "beta", "mse")
+    start = V.fit_nee(rows, dark, [50, 100, 200, 400, 800, 1600]).select("veg_class", "lamb", "par0").join(dark.select("veg_class", "alpha", "beta"), "veg_class")
+    fitted = V.fit_combined(rows, start)
+    rows.unpersist()
+    return fitted.select(F.col("veg_class").cast("long").alias("veg_class"), "lamb", "par0", "alpha", "beta", "mse")
 
 
 @query()
 def v13_fit_modified(spark: SparkSession, d: str) -> DataFrame:
-    return V.fit_modified_respiration(planted(spark, d), [float(t) for t in range(0, 20, 2)], [k / 10 for k in range(1, 11)])
+    """The respiration of dark rows, then light and respiration together over all rows."""
+    rows = planted(spark, d)
+    dark = V.fit_modified_respiration(rows, [float(t) for t in range(0, 20, 2)], [k / 10 for k in range(1, 11)])
+    whole = V.fit_modified_nee(rows, dark, LIGHT)
+    return whole.join(dark.select("veg_class", F.col("mse").alias("dark_mse")), "veg_class")
 
 
-@query("planted", sql="""
-, r AS (SELECT vprm_class AS c, regr_slope(nee, tcorr) AS alpha, regr_intercept(nee, tcorr) AS beta FROM planted WHERE par = 0 AND vprm_class IN (4, 5, 6) GROUP BY 1)
-SELECT x, y, hour, ok, vprm_class::BIGINT AS vprm_class, round(greatest(alpha * tcorr + beta, 0e0), 4) AS reco, round(CASE WHEN par = 0 THEN 0 ELSE greatest(alpha * tcorr + beta, 0e0) - nee END, 4)+0e0 AS gpp FROM planted JOIN r ON vprm_class = c""")
+@query("planted", sql=_respiration_sql() + """
+SELECT x, y, hour, ok, veg_class::BIGINT AS veg_class, round(greatest(alpha * tcorr + beta, 0e0), 4) AS reco, round(CASE WHEN par = 0 THEN 0 ELSE greatest(alpha * tcorr + beta, 0e0) - nee END, 4)+0e0 AS gpp FROM planted JOIN r ON veg_class = c""")
 def v19_partition(spark: SparkSession, d: str) -> DataFrame:
-    rows = planted(spark, d).where("vprm_class IN (4, 5, 6)")
+    rows = planted(spark, d)
     out = V.partition_nee(rows, V.fit_respiration(rows))
-    return out.select("x", "y", "hour", "ok", F.col("vprm_class").cast("long").alias("vprm_class"), r6("reco", 4).alias("reco"), r6("gpp", 4).alias("gpp"))
+    return out.select("x", "y", "hour", "ok", F.col("veg_class").cast("long").alias("veg_class"), r6("reco", 4).alias("reco"), r6("gpp", 4).alias("gpp"))
+
+
+@query()
+def v19_partition_flexible(spark: SparkSession, d: str) -> DataFrame:
+    out = V.partition_nee_flexible(planted(spark, d).withColumn("weight", 1 / F.col("frac")), ["tcorr", "lswi", "evi"], weight="weight")
+    return out.select("x", "y", "hour", "ok", F.col("veg_class").cast("long").alias("veg_class"), "reco", "gpp")
 
 
 @query("tower_obs", sql="""
@@ -171,17 +228,23 @@ def p24_local_to_utc(spark: SparkSession, d: str) -> DataFrame:
     return t.select("site", "step", F.unix_micros(P.local_to_utc("stamp", F.col("site") - 5)).alias("utc"))
 
 
-@query("tower_obs", sql="""
-SELECT 'window' AS part, count(*) AS n FROM tower_obs WHERE t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'
-UNION ALL SELECT 'half_open', count(*) FROM tower_obs WHERE t >= TIMESTAMP '2024-01-05' AND t < TIMESTAMP '2024-01-10' UNION ALL SELECT 'one_bound', count(*) FROM tower_obs
-UNION ALL SELECT 'qc', count(*) FROM tower_obs WHERE qc IN (0, 1) UNION ALL SELECT 'train', count(*) FROM tower_obs WHERE qc = 0 AND NOT (nee < 0 AND ssrd = 0)
-UNION ALL SELECT 'common', count(*) FROM tower_obs a WHERE qc IN (0, 1) AND EXISTS (SELECT 1 FROM tower_obs b WHERE b.site = a.site AND b.step = a.step AND b.p_mm > 0)""")
+PARTS = {
+    "window": "t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10'",
+    "half_open": "t >= TIMESTAMP '2024-01-05' AND t < TIMESTAMP '2024-01-10'",
+    "one_bound": "true",
+    "qc": "qc IN (0, 1)",
+    "train": "qc = 0 AND NOT (nee < 0 AND ssrd = 0)",
+    "common": "qc IN (0, 1) AND (site, step) IN (SELECT (site, step) FROM tower_obs WHERE p_mm > 0)",
+}
+
+
+@query("tower_obs", sql=" UNION ALL ".join(f"SELECT '{k}' AS part, site, step FROM tower_obs WHERE {w}" for k, w in PARTS.items()))
 def m20_m23_m24_j18_filters(spark: SparkSession, d: str) -> DataFrame:
     t = bind(spark, d, "tower_obs")
     a, b = (F.to_timestamp(F.lit(x)) for x in ("2024-01-05", "2024-01-10"))
-    parts = {"window": t.where(F.col("t").between(a, b)), "half_open": T.fluxnet_window(t, a, b, half_open=True, ts="t"), "one_bound": T.fluxnet_window(t, a, None, ts="t"), "qc": T.qc_filter(t, [0, 1], "qc"), "train": T.train_rows(t)}
+    parts = {"window": T.fluxnet_window(t, a, b, ts="t"), "half_open": T.fluxnet_window(t, a, b, half_open=True, ts="t"), "one_bound": T.fluxnet_window(t, a, None, ts="t"), "qc": T.qc_filter(t, [0, 1], "qc"), "train": T.train_rows(t)}
     parts["common"] = T.common_times(T.qc_filter(t, [0, 1], "qc"), t.where("p_mm > 0"), keys=["site", "step"])
-    return S.concat([p.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, p in parts.items()])
+    return S.concat([p.select(F.lit(k).alias("part"), "site", "step") for k, p in parts.items()])
 
 
 @query("tower_obs", sql="""
@@ -309,7 +372,7 @@ def j12_nearest_class(spark: SparkSession, d: str) -> DataFrame:
     return G.nearest_of_class(g, 7, [1, 2, 3])
 
 
-BINDINGS["lc_class"] = "SELECT fx AS sx, fy AS sy, min(1 + (code - 1) % 9) AS vprm_class, avg(height) AS height FROM {land_cover} GROUP BY 1, 2"
+BINDINGS["lc_class"] = "SELECT fx AS sx, fy AS sy, min(1 + (code - 1) % 9) AS veg_class, avg(height) AS height FROM {land_cover} GROUP BY 1, 2"
 # Coarse cells of two and a half fine cells.
 BINDINGS["weights"] = """
 SELECT sx, sy, dx, dy, wx * wy AS w FROM
@@ -336,17 +399,17 @@ def a07_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query("weights", "lc_class", sql="""
 SELECT w.dx, w.dy, round(sum(w.w * h) / sum(CASE WHEN h IS NOT NULL THEN w.w END), 6) AS skipped, CASE WHEN count(h) = count(*) THEN round(sum(w.w * h), 6) END AS whole
-FROM weights w JOIN (SELECT sx, sy, CASE WHEN vprm_class <> 3 THEN height END AS h FROM lc_class) c ON w.sx = c.sx AND w.sy = c.sy GROUP BY 1, 2""")
+FROM weights w JOIN (SELECT sx, sy, CASE WHEN veg_class <> 3 THEN height END AS h FROM lc_class) c ON w.sx = c.sx AND w.sy = c.sy GROUP BY 1, 2""")
 def j16_regrid(spark: SparkSession, d: str) -> DataFrame:
-    v = bind(spark, d, "lc_class").select("sx", "sy", F.when(F.col("vprm_class") != 3, F.col("height")).alias("h"))
+    v = bind(spark, d, "lc_class").select("sx", "sy", F.when(F.col("veg_class") != 3, F.col("height")).alias("h"))
     w = weights(spark, d)
     a, b = (G.regrid(v, w, "h", ["sx", "sy"], ["dx", "dy"], skip_missing=m) for m in (True, False))
     return a.join(b.withColumnRenamed("h", "whole"), ["dx", "dy"]).select("dx", "dy", r6("h").alias("skipped"), r6("whole").alias("whole"))
 
 
 @query("weights", "lc_class", sql="""
-SELECT c.dx, c.dy, c.vprm_class, round(coalesce(s, 0), 6) AS frac FROM (SELECT * FROM (SELECT DISTINCT dx, dy FROM weights), (SELECT DISTINCT vprm_class FROM lc_class)) c
-LEFT JOIN (SELECT dx, dy, vprm_class, sum(w) AS s FROM weights w JOIN lc_class l ON w.sx = l.sx AND w.sy = l.sy GROUP BY 1, 2, 3) f ON c.dx = f.dx AND c.dy = f.dy AND c.vprm_class = f.vprm_class""")
+SELECT c.dx, c.dy, c.veg_class, round(coalesce(s, 0), 6) AS frac FROM (SELECT * FROM (SELECT DISTINCT dx, dy FROM weights), (SELECT DISTINCT veg_class FROM lc_class)) c
+LEFT JOIN (SELECT dx, dy, veg_class, sum(w) AS s FROM weights w JOIN lc_class l ON w.sx = l.sx AND w.sy = l.sy GROUP BY 1, 2, 3) f ON c.dx = f.dx AND c.dy = f.dy AND c.veg_class = f.veg_class""")
 def a04_fractions(spark: SparkSession, d: str) -> DataFrame:
     lc = bind(spark, d, "lc_class")
     return G.land_cover_fractions(lc, weights(spark, d), lc, ["sx", "sy"], ["dx", "dy"]).withColumn("frac", r6("frac"))
@@ -363,12 +426,12 @@ def a06_bilinear(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stack", "fractions", sql="""
-SELECT s.x // 4 AS dx, s.y // 5 AS dy, vprm_class::BIGINT AS vprm_class, s.day + 1 AS day, round(avg(evi), 5) AS evi FROM stack s JOIN fractions f ON s.x = f.x AND s.y = f.y GROUP BY ALL""")
+SELECT s.x // 4 AS dx, s.y // 5 AS dy, veg_class::BIGINT AS veg_class, s.day + 1 AS day, round(avg(evi), 5) AS evi FROM stack s JOIN fractions f ON s.x = f.x AND s.y = f.y GROUP BY ALL""")
 def a08_weather_model_export(spark: SparkSession, d: str) -> DataFrame:
     px = bind(spark, d, "fractions").select("x", "y").distinct()
     w = px.select("x", "y", F.floor(F.col("x") / 4).alias("dx"), F.floor(F.col("y") / 5).alias("dy"), F.lit(0.05).alias("w"))
     out = V.export_weather_model(stack(spark, d), bind(spark, d, "fractions"), w, ["x", "y"], ["dx", "dy"], ["evi"])["values"]
-    return out.select("dx", "dy", F.col("vprm_class").cast("long").alias("vprm_class"), "day", r6("evi", 5).alias("evi"))
+    return out.select("dx", "dy", F.col("veg_class").cast("long").alias("veg_class"), "day", r6("evi", 5).alias("evi"))
 
 
 @query("land_cover", sql="""
@@ -388,18 +451,19 @@ def w06_accumulated(spark: SparkSession, d: str) -> DataFrame:
     return G.instant_from_accumulated(g, "v", ["x", "y"]).select("x", "y", "hour", r6("v", 4).alias("v"))
 
 
-@query("met_obs", sql="""
-SELECT 'box' AS part, count(*) AS n FROM met_obs WHERE y BETWEEN 2 AND 6 AND x BETWEEN 3 AND 9 UNION ALL SELECT 'wrap', count(*) FROM met_obs WHERE x >= 15 OR x <= 4
-UNION ALL SELECT 'time', count(*) FROM met_obs WHERE hour BETWEEN 2000 AND 3000""")
-def m18_m19_o06_s07_met_select(spark: SparkSession, d: str) -> DataFrame:
+CHOSEN = {"box": "y BETWEEN 2 AND 6 AND x BETWEEN 3 AND 9", "wrap": "x >= 15 OR x <= 4", "time": "hour BETWEEN 2000 AND 3000"}
+
+
+@query("met_obs", sql=" UNION ALL ".join(f"SELECT '{k}' AS part, x, y, count(*) AS n, sum(hour)::BIGINT AS hours FROM met_obs WHERE {w} GROUP BY x, y" for k, w in CHOSEN.items()))
+def m18_m19_o06_met_select(spark: SparkSession, d: str) -> DataFrame:
     m = bind(spark, d, "met_obs").select(F.col("x").alias("lon"), F.col("y").alias("lat"), F.col("hour").alias("valid_time"))
     parts = {"box": G.met_select(m, (2, 6), (3, 9)), "wrap": G.met_select(m, None, (15, 4)), "time": G.reduce_time(m, (2000, 9000), (100, 3000))}
-    return S.concat([p.agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k, p in parts.items()])
+    return S.concat([p.groupBy(F.col("lon").alias("x"), F.col("lat").alias("y")).agg(F.count("*").alias("n"), F.sum("valid_time").alias("hours")).withColumn("part", F.lit(k)) for k, p in parts.items()])
 
 
-# One row per site and hour of the third to the fifth of January with what footprints need.
+# One row per site and half hour with what footprints need.
 BINDINGS["fp_in"] = """
-SELECT site, step, 1.5e0 + k % 6 AS u, (nee * 40 + 400) - 360 * floor((nee * 40 + 400) / 360) AS wd, 0.2e0 + (k % 40) / 100e0 AS ustar, (k - 50.5e0) / 50e0 AS zl, 10e0 AS z FROM {tower_obs} WHERE step BETWEEN 96 AND 240 AND step % 2 = 0"""
+SELECT site, step, 1.5e0 + k % 6 AS u, (nee * 40 + 400) - 360 * floor((nee * 40 + 400) / 360) AS wd, 0.2e0 + (k % 40) / 100e0 AS ustar, (k - 50.5e0) / 50e0 AS zl, 10e0 AS z FROM {tower_obs}"""
 BINDINGS["cells"] = """
 SELECT i, j, -(900e0 - 60e0) / 2 + i * 60e0 AS gx, -(900e0 - 60e0) / 2 + j * 60e0 AS gy FROM (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14)) a(i), (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14)) b(j)"""
 FFP = """
@@ -416,9 +480,9 @@ def fp(spark: SparkSession, d: str) -> DataFrame:
 AT = ["site", "step"]
 
 
-@query("fp_in", "cells", sql=FFP + "SELECT site, step, i::BIGINT AS i, j::BIGINT AS j, round(footprint * 1e6, 6) AS f FROM f")
+@query("fp_in", "cells", sql=FFP + "SELECT site, step, i::BIGINT AS i, j::BIGINT AS j, round(footprint * 1e6, 4) AS f FROM f")
 def f01_f04_ffp(spark: SparkSession, d: str) -> DataFrame:
-    return fp(spark, d).select(*AT, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6(F.col("footprint") * 1e6).alias("f"))
+    return fp(spark, d).select(*AT, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6(F.col("footprint") * 1e6, 4).alias("f"))
 
 
 @query("fp_in", sql="""
@@ -486,7 +550,7 @@ def f09_a18_to_grid(spark: SparkSession, d: str) -> DataFrame:
 SELECT site, step, round(sum(footprint * ((i + j) % 5 - i % 3)) * 1e3, 6)+0e0 AS nee, round(sum(footprint * (i % 4) / 4e0) * 1e3, 6) AS frac FROM f GROUP BY 1, 2""")
 def a19_j17_weighted(spark: SparkSession, d: str) -> DataFrame:
     f = fp(spark, d).select(*AT, "i", "j", (F.col("footprint") * 1e3).alias("footprint"))
-    cells = K.grid(spark, 900.0, 15).select("i", "j", ((F.col("i") + F.col("j")) % 5).alias("reco"), (F.col("i") % 3).alias("gpp"), F.lit(1).alias("vprm_class"), (F.col("i") % 4 / 4).alias("frac"))
+    cells = K.grid(spark, 900.0, 15).select("i", "j", ((F.col("i") + F.col("j")) % 5).alias("reco"), (F.col("i") % 3).alias("gpp"), F.lit(1).alias("veg_class"), (F.col("i") % 4 / 4).alias("frac"))
     flux = K.weighted_flux(f, cells, ["i", "j"], AT)
     return flux.join(K.over_map(f, cells, ["i", "j"], AT), AT).select(*AT, r6("nee").alias("nee"), r6("frac").alias("frac"))
 
@@ -551,7 +615,7 @@ def a25_sample_weights(spark: SparkSession, d: str) -> DataFrame:
 @query("tower_obs", sql="""
 , t AS (SELECT site, step, CAST(ceil((t2m + 2) / 4) AS INT) AS bin FROM tower_obs WHERE t2m > -2 AND t2m <= 30), n AS (SELECT bin, count(*) AS n FROM t GROUP BY 1),
 d AS (SELECT bin, n, unnest(generate_series(1, least(n * 2, (SELECT max(n) FROM n)))) AS draw FROM n),
-p AS (SELECT bin, ('0x' || substr(md5(concat_ws(':', bin, draw, '42')), 1, 12))::BIGINT % n + 1 AS rn FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY site, step) AS rn FROM t)
+p AS (SELECT bin, ('0x' || substr(md5(concat_ws(':', bin, draw, '42')), 1, 12))::BIGINT % n + 1 AS rn FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY md5(concat(site, step, '42')), site, step) AS rn FROM t)
 SELECT r.bin::BIGINT AS bin, r.site, r.step FROM p JOIN r ON p.bin = r.bin AND p.rn = r.rn""")
 def a26_temperature_balance(spark: SparkSession, d: str) -> DataFrame:
     out = L.temperature_balance(bind(spark, d, "tower_obs").select("site", "step", "t2m"), "t2m", ["site", "step"])
@@ -631,14 +695,9 @@ def v16_training_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stack", "fractions", sql="""
 , p AS (SELECT x, y, quantile_cont(evi * 0.3e0, 0.9) AS a, quantile_cont(evi * 0.3e0, 0.1) AS b FROM stack GROUP BY 1, 2)
-SELECT p.x, p.y, round(a, 6) AS p90, round(b, 6) AS p10, sum(frac) FILTER (vprm_class = 1) AS c1, sum(frac) FILTER (vprm_class = 7) AS c7, coalesce(sum(frac) FILTER (vprm_class = 7), 0) < 0.5e0 AS flux_mask FROM p JOIN fractions f ON p.x = f.x AND p.y = f.y GROUP BY ALL""")
+SELECT p.x, p.y, round(a, 6) AS p90, round(b, 6) AS p10, sum(frac) FILTER (veg_class = 1) AS c1, sum(frac) FILTER (veg_class = 7) AS c7, coalesce(sum(frac) FILTER (veg_class = 7), 0) < 0.5e0 AS flux_mask FROM p JOIN fractions f ON p.x = f.x AND p.y = f.y GROUP BY ALL""")
 def j14_m27_static(spark: SparkSession, d: str) -> DataFrame:
     f = bind(spark, d, "fractions")
     s = V.static_features(stack(spark, d).withColumn("nirv", F.col("evi") * 0.3), f, ["x", "y"], [1, 7])
     s = s.join(L.flux_mask(f, ["x", "y"], most=0.5), ["x", "y"])
     return s.select("x", "y", r6("nirv_p90").alias("p90"), r6("nirv_p10").alias("p10"), F.col("1").alias("c1"), F.col("7").alias("c7"), "flux_mask")
-
-
-@query("tower_obs", sql="SELECT site, step, round(t2m + 273.15e0, 6) AS t2m, round(ssrd * 3600, 6) AS ssrd FROM tower_obs")
-def s06_local_met(spark: SparkSession, d: str) -> DataFrame:
-    return R.local_met_units(bind(spark, d, "tower_obs")).select("site", "step", r6("t2m").alias("t2m"), r6("ssrd").alias("ssrd"))

@@ -124,12 +124,12 @@ SELECT s.x, s.y, max(m.lo) AS min_evi, max(m.hi) AS max_evi, max(m.th) AS th, mi
 FROM {stack} s JOIN (SELECT x, y, min(evi) AS lo, max(evi) AS hi, min(evi) + 0.55e0 * (max(evi) - min(evi)) AS th FROM {stack} GROUP BY x, y) m ON s.x = m.x AND s.y = m.y GROUP BY s.x, s.y"""
 
 BINDINGS["coefficients"] = """
-SELECT * FROM (VALUES (1, -4e0, 15e0, 38e0, -3e0), (2, 1e0, 21e0, 37e0, 0e0), (3, -1e0, 18e0, 38e0, 0e0), (4, -1e0, 19e0, 44e0, 2e0), (5, 0e0, 20e0, 40e0, 0e0), (6, -3e0, 16e0, 50e0, -3e0), (7, -2e0, 17e0, 36e0, -2e0), (8, 2e0, 18e0, 40e0, -2e0), (9, -2e0, 26e0, 40e0, 0e0)) c(vprm_class, tmin, topt, tmax, tlow)"""
+SELECT * FROM (VALUES (1, -4e0, 15e0, 38e0, -3e0), (2, 1e0, 21e0, 37e0, 0e0), (3, -1e0, 18e0, 38e0, 0e0), (4, -1e0, 19e0, 44e0, 2e0), (5, 0e0, 20e0, 40e0, 0e0), (6, -3e0, 16e0, 50e0, -3e0), (7, -2e0, 17e0, 36e0, -2e0), (8, 2e0, 18e0, 40e0, -2e0), (9, -2e0, 26e0, 40e0, 0e0)) c(veg_class, tmin, topt, tmax, tlow)"""
 
 BINDINGS["params"] = """
-SELECT vprm_class, 0.05e0 + vprm_class * 0.02e0 AS lamb, 200e0 + 40 * vprm_class AS par0, 0.1e0 + 0.02e0 * vprm_class AS alpha, 0.3e0 * vprm_class AS beta FROM (VALUES (1), (2), (3), (4), (5), (6), (7)) p(vprm_class)"""
+SELECT veg_class, 0.05e0 + veg_class * 0.02e0 AS lamb, 200e0 + 40 * veg_class AS par0, 0.1e0 + 0.02e0 * veg_class AS alpha, 0.3e0 * veg_class AS beta FROM (VALUES (1), (2), (3), (4), (5), (6), (7)) p(veg_class)"""
 
 # Fractions of two classes for each pixel.
 BINDINGS["fractions"] = """
-SELECT x, y, vprm_class, CASE WHEN k = 0 THEN 0.625e0 ELSE 0.375e0 END AS frac FROM (
-  SELECT x, y, k, CAST(1 + (x + 3 * y + 4 * k) % 9 AS INT) AS vprm_class FROM (SELECT DISTINCT x, y FROM {px_obs}) p, (VALUES (0), (1)) v(k)) f"""
+SELECT x, y, veg_class, CASE WHEN k = 0 THEN 0.625e0 ELSE 0.375e0 END AS frac FROM (
+  SELECT x, y, k, CAST(1 + (x + 3 * y + 4 * k) % 9 AS INT) AS veg_class FROM (SELECT DISTINCT x, y FROM {px_obs}) p, (VALUES (0), (1)) v(k)) f"""

@@ -32,11 +32,12 @@ def p01_p12_indices(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("px_obs", sql="""
-SELECT ok, ln, CASE WHEN ln = 4 THEN 0.5e0 ELSE round(least(greatest(nir, 0.3e0), 0.5e0), 6) END AS held, CASE WHEN nir BETWEEN 0.3e0 AND 0.5e0 THEN round(nir, 6) ELSE -1e0 END AS filled FROM px_obs""")
+SELECT ok, ln, round(least(greatest(nir, 0.3e0), 0.5e0), 6) AS held, CASE WHEN nir BETWEEN 0.3e0 AND 0.5e0 THEN round(nir, 6) ELSE -1e0 END AS filled,
+       CASE WHEN nir BETWEEN 0.3e0 AND 0.5e0 THEN round(nir, 6) WHEN ln < 4 THEN -2e0 END AS chosen FROM px_obs""")
 def p09_p10_clip(spark: SparkSession, d: str) -> DataFrame:
-    px = bind(spark, d, "px_obs")
-    held = F.when(F.col("ln") == 4, 0.5).otherwise(r6(X.clip("nir", 0.3, 0.5)))
-    return px.select(*KEYS, held.alias("held"), r6(X.fill_missing(X.clip("nir", 0.3, 0.5, to_null=True), -1)).alias("filled"))
+    inside = X.clip("nir", 0.3, 0.5, to_null=True)
+    cols = {"held": X.clip("nir", 0.3, 0.5), "filled": X.fill_missing(inside, -1), "chosen": X.fill_missing(inside, -2, F.col("ln") < 4)}
+    return bind(spark, d, "px_obs").select(*KEYS, *[r6(c).alias(n) for n, c in cols.items()])
 
 
 @query("px_obs", sql="""
@@ -69,7 +70,7 @@ def m08_flags_to_fine_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a grid twice as coarse, at centres 0.5, 2.5, ..., for the pixels nearest to them."""
     px = bind(spark, d, "px_obs").withColumns({"cx": F.floor(F.col("x") / 2), "cy": F.floor(F.col("y") / 2)})
     coarse = px.groupBy("cx", "cy").agg(F.max("qf1").alias("c1"), F.max("qf2").alias("c2"))
-    return px.join(F.broadcast(coarse), ["cx", "cy"]).select(*KEYS, F.col("c1").alias("qf1"), F.col("c2").alias("qf2"))
+    return px.join(coarse, ["cx", "cy"]).select(*KEYS, F.col("c1").alias("qf1"), F.col("c2").alias("qf2"))
 
 
 @query("px_obs", sql="""
@@ -111,27 +112,34 @@ def m13_scene_cloud_cover(spark: SparkSession, d: str) -> DataFrame:
     return cover.where("cover < 0.25").select(F.unix_micros("scene_ts").alias("ts"), "cover")
 
 
-@query("px_obs", sql="""
-SELECT 'box' AS crop, count(*) AS n FROM px_obs WHERE x BETWEEN 3 AND 9 AND y BETWEEN 2 AND 5
-UNION ALL SELECT 'other', count(*) FROM px_obs WHERE x BETWEEN 4 AND 7 AND y BETWEEN 1 AND 3
-UNION ALL SELECT 'pixels', count(*) FROM px_obs WHERE abs(x - 7) <= 2 AND abs(y - 4) <= 2
-UNION ALL SELECT 'circle', count(*) FROM px_obs WHERE x BETWEEN 10 - degrees(asin(sin(300e3/6371000e0)/cos(radians(5e0)))) AND 10 + degrees(asin(sin(300e3/6371000e0)/cos(radians(5e0)))) AND y BETWEEN 5 - degrees(300e3/6371000e0) AND 5 + degrees(300e3/6371000e0)
-UNION ALL SELECT 'polygon', count(*) FROM px_obs WHERE x BETWEEN 2 AND 8 AND y BETWEEN 1 AND 6
-UNION ALL SELECT 'central', count(*) FROM px_obs WHERE x BETWEEN 4 AND 6 AND y BETWEEN 4 AND 6""")
+CROP = "SELECT '{}' AS crop, x, y, count(*) AS n, round(avg(nir), 6) AS nir FROM px_obs WHERE {} GROUP BY x, y"
+
+
+@query("px_obs", sql=" UNION ALL ".join(CROP.format(*c) for c in (
+    ("box", "x BETWEEN 3 AND 9 AND y BETWEEN 2 AND 5"),
+    ("other", "x BETWEEN 4 AND 7 AND y BETWEEN 1 AND 3"),
+    ("pixels", "abs(x - 7) <= 2 AND abs(y - 4) <= 2"),
+    ("circle", "x BETWEEN 10 - degrees(asin(sin(300e3/6371000e0)/cos(radians(5e0)))) AND 10 + degrees(asin(sin(300e3/6371000e0)/cos(radians(5e0)))) AND y BETWEEN 5 - degrees(300e3/6371000e0) AND 5 + degrees(300e3/6371000e0)"),
+    ("polygon", "x BETWEEN 2 AND 8 AND y BETWEEN 1 AND 6"),
+    ("central", "x BETWEEN 4 AND 6 AND y BETWEEN 4 AND 6"))))
 def m14_m17_crops(spark: SparkSession, d: str) -> DataFrame:
     px = bind(spark, d, "px_obs").select("x", "y", "nir")
     other = px.where("x BETWEEN 4 AND 7 AND y BETWEEN 1 AND 3")
     square = [(2.4, 1.4), (7.6, 1.4), (7.6, 5.6), (2.4, 5.6)]
     parts = {"box": G.crop_box(px, 3, 2, 9, 5), "other": G.clip_to(px, other), "pixels": G.crop_pixels(px, 7.2, 3.9, 5), "circle": G.crop_circle_box(px, 10, 5, 300, "x", "y"), "polygon": G.crop_polygon(px, square)}
     parts["central"] = G.crop_box(px, 4, 4, 6, 6)
-    return S.concat([p.agg(F.count("*").alias("n")).select(F.lit(k).alias("crop"), "n") for k, p in parts.items()])
+    return S.concat([p.groupBy("x", "y").agg(F.count("*").alias("n"), r6(F.avg("nir")).alias("nir")).select(F.lit(k).alias("crop"), "x", "y", "n", "nir") for k, p in parts.items()])
 
 
-@query("px_obs", sql="SELECT false AS near, true AS far")
+APART = "(SELECT a.x1 < b.x0 OR b.x1 < a.x0 OR a.y1 < b.y0 OR b.y1 < a.y0 FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px_obs WHERE {}) a, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px_obs WHERE {}) b)"
+
+
+@query("px_obs", sql="SELECT " + ", ".join(f"{APART.format(*w)} AS {n}" for n, w in {"near": ("x < 9", "x > 5"), "far": ("x < 5", "x > 5"), "bright": ("nir > 0.5e0", "nir < 0.3e0")}.items()))
 def m21_disjoint(spark: SparkSession, d: str) -> DataFrame:
-    px = bind(spark, d, "px_obs").select("x", "y")
-    near = G.is_disjoint(px.where("x < 9"), px.where("x > 5")).withColumnRenamed("disjoint", "near")
-    return near.crossJoin(G.is_disjoint(px.where("x < 5"), px.where("x > 5")).withColumnRenamed("disjoint", "far"))
+    px = bind(spark, d, "px_obs").select("x", "y", "nir")
+    pairs = {"near": ("x < 9", "x > 5"), "far": ("x < 5", "x > 5"), "bright": ("nir > 0.5", "nir < 0.3")}
+    found = [G.is_disjoint(px.where(a), px.where(b)).withColumnRenamed("disjoint", n) for n, (a, b) in pairs.items()]
+    return found[0].crossJoin(found[1]).crossJoin(found[2])  # one row each
 
 
 @query("stack", sql="SELECT x, y, day, is_snow, round(evi, 6) AS evi, round(lswi, 6)+0e0 AS lswi FROM stack")
@@ -147,17 +155,22 @@ def a02_a03_growing_season(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stack", sql="""
 , t AS (SELECT *, count(evi) OVER (PARTITION BY x, y ORDER BY day) AS island, quantile_cont(evi, 0.05) OVER (PARTITION BY x, y) AS low FROM stack),
-r AS (SELECT *, sum(CASE WHEN is_snow AND evi IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY x, y, island) AS snow FROM t)
-SELECT x, y, day, round(CASE WHEN evi IS NOT NULL THEN evi WHEN is_snow AND snow >= 2 THEN low END, 6) AS evi FROM r""")
+r AS (SELECT *, sum(CASE WHEN is_snow AND evi IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY x, y, island) AS snow FROM t),
+k AS (SELECT greatest(1, CAST(trunc({days} / ((max(day) - min(day)) / greatest(count(*) - 1, 1)::DOUBLE)) AS BIGINT)) AS least FROM (SELECT DISTINCT day FROM stack))
+SELECT x, y, day, round(CASE WHEN evi IS NOT NULL THEN evi WHEN is_snow AND snow >= least THEN low END, 6) AS evi FROM r, k""".replace("{days}", "2.5e0"))
 def w01_snow_runs(spark: SparkSession, d: str) -> DataFrame:
-    out = S.replace_snow_runs(stack(spark, d), "evi", 2)
+    """The length of a run follows the stack's mean step."""
+    own = stack(spark, d)
+    out = S.replace_snow_runs(own, "evi", S.snow_run_length(own, 2.5))
     return out.select("x", "y", "day", r6("evi").alias("evi"))
 
 
 @query()
 def w02_w04_w05_lowess(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed onto every 30th day of the record and its last."""
     own = stack(spark, d)
-    days = [r["day"] for r in S.target_days(spark, 2400, list(range(0, 2400, 30)), own).collect()]
+    last = own.agg(F.max("day")).first()[0] or 0
+    days = [r["day"] for r in S.target_days(spark, last, [*range(0, last, 30), last], own).collect()]
     return S.lowess(own, "evi", days, S.smoothing_keys(own))
 
 
@@ -167,9 +180,11 @@ def w03_kalman(spark: SparkSession, d: str) -> DataFrame:
     return S.kalman(own, "evi", own.agg(F.max("day")).first()[0] or 0)
 
 
-@query("stack", sql="SELECT x, y, day, round(avg(evi), 6) AS evi FROM stack GROUP BY x, y, day")
+@query("masked", sql="SELECT x, y, date_diff('day', DATE '1970-01-01', CAST(scene_ts AS DATE))::BIGINT AS day, round(avg(evi), 6) AS evi FROM masked GROUP BY 1, 2, 3")
 def a09_mean_of_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return S.mean_of_duplicates(stack(spark, d), "evi", ["x", "y"]).withColumn("evi", r6("evi"))
+    """Scenes before their days are merged, so that many days have several."""
+    px = masked_indices(spark, d).withColumn("day", F.datediff(F.to_date("scene_ts"), F.lit("1970-01-01").cast("date")).cast("long"))
+    return S.mean_of_duplicates(px, "evi", ["x", "y"]).withColumn("evi", r6("evi"))
 
 
 SMEAR = """
@@ -214,9 +229,9 @@ def o05_o07_tiles(spark: SparkSession, d: str) -> DataFrame:
     return S.add_tiles([a, b], ["v"], ["x", "y"]).withColumn("v", r6("v"))
 
 
-@query("fractions", sql="SELECT DISTINCT vprm_class::BIGINT AS vprm_class FROM fractions")
+@query("fractions", sql="SELECT DISTINCT veg_class::BIGINT AS veg_class FROM fractions")
 def o08_distinct_classes(spark: SparkSession, d: str) -> DataFrame:
-    return bind(spark, d, "fractions").select(F.col("vprm_class").cast("long").alias("vprm_class")).distinct()
+    return bind(spark, d, "fractions").select(F.col("veg_class").cast("long").alias("veg_class")).distinct()
 
 
 @query("px_obs", sql="""
@@ -233,17 +248,17 @@ def s10_land_cover(spark: SparkSession, d: str) -> DataFrame:
     return R.land_cover_codes(lc, "mapbiomas").select("fx", "fy", F.col("code").cast("long").alias("code"), "resolution")
 
 
-CONFIG = {f"class {c}": {"vprm_class": c, "class_numbers": [k for k in range(20, 51) if k % 7 + 1 == c], "tmin": -c, "topt": 15 + c, "tmax": 40} for c in range(1, 8)}
+CONFIG = {f"class {c}": {"veg_class": c, "class_numbers": [k for k in range(20, 51) if k % 7 + 1 == c], "tmin": -c, "topt": 15 + c, "tmax": 40} for c in range(1, 8)}
 
 
 @query("land_cover", sql="""
-SELECT fx, fy, (CASE WHEN code BETWEEN 20 AND 50 THEN code % 7 + 1 ELSE code END)::BIGINT AS vprm_class, CASE WHEN code BETWEEN 20 AND 50 THEN -(code % 7 + 1)::DOUBLE END AS tlow FROM land_cover""")
+SELECT fx, fy, (CASE WHEN code BETWEEN 20 AND 50 THEN code % 7 + 1 ELSE code END)::BIGINT AS veg_class, CASE WHEN code BETWEEN 20 AND 50 THEN -(code % 7 + 1)::DOUBLE END AS tlow FROM land_cover""")
 def s11_j11_recode(spark: SparkSession, d: str) -> DataFrame:
     lc_map, coefficients = C.load_class_config(spark, CONFIG)
     out = G.recode(bind(spark, d, "land_cover"), lc_map)
     inside = F.col("code").between(20, 50)
-    out = out.join(F.broadcast(coefficients.select(F.col("vprm_class").alias("_c"), "tlow")), F.col("vprm_class") == F.col("_c"), "left")
-    return out.select("fx", "fy", F.col("vprm_class").cast("long").alias("vprm_class"), F.when(inside, F.col("tlow")).alias("tlow"))
+    out = out.join(F.broadcast(coefficients.select(F.col("veg_class").alias("_c"), "tlow")), F.col("veg_class") == F.col("_c"), "left")
+    return out.select("fx", "fy", F.col("veg_class").cast("long").alias("veg_class"), F.when(inside, F.col("tlow")).alias("tlow"))
 
 
 @query("granules", sql="""
@@ -252,17 +267,20 @@ def c05_latest_version(spark: SparkSession, d: str) -> DataFrame:
     return C.latest_version(bind(spark, d, "granules"))
 
 
-@query("granules", sql="SELECT name FROM granules WHERE ok % 3 <> 0 AND ok % 5 = 0")
+@query("granules", sql="SELECT name FROM granules WHERE ok % 3 <> 0")
 def c04_missing_granules(spark: SparkSession, d: str) -> DataFrame:
     g = bind(spark, d, "granules")
-    return C.missing_granules(g.where("ok % 5 = 0").select("name"), g.where("ok % 3 = 0").select("name"))
+    return C.missing_granules(g.select("name"), g.where("ok % 3 = 0").select("name"))
 
 
-@query("granules", sql="SELECT name, (ok * 0)::BIGINT AS pos FROM granules WHERE name ILIKE 'MOD09A1.A2021150.h12%'")
+@query("granules", sql="""
+SELECT name, (2 * row_number() OVER (PARTITION BY ok % 7 ORDER BY ok) - 1)::BIGINT AS pos FROM granules WHERE name ILIKE 'MOD09A1.A2021150.h12%'""")
 def c03_extract_granules(spark: SparkSession, d: str) -> DataFrame:
-    g = bind(spark, d, "granules").select(F.concat(F.lit("<a href='"), F.lower("name"), F.lit("'>"), F.col("name"), F.lit("</a>")).alias("html"))
-    found = C.extract_granules(g, "MOD09A1", dt.date(2021, 5, 30), r"h12v\d\d")
-    return found.where("name LIKE 'MOD%'").select("name", (F.col("pos") * 0).cast("long").alias("pos"))
+    """Seven listings with a link for each granule, whose name stands in it twice."""
+    link = F.concat(F.lit("<a href='"), F.lower("name"), F.lit("'>"), F.col("name"), F.lit("</a>"))
+    g = bind(spark, d, "granules").groupBy(F.col("ok") % 7).agg(F.array_sort(F.collect_list(F.struct("ok", link.alias("link")))).alias("links"))
+    found = C.extract_granules(g.select(F.array_join("links.link", "\n").alias("html")), "MOD09A1", dt.date(2021, 5, 30), r"h12v\d\d")
+    return found.where("name LIKE 'MOD%'").select("name", F.col("pos").cast("long").alias("pos"))
 
 
 DATES = """
@@ -311,13 +329,16 @@ def c08_c09_p22_p23_geometry(spark: SparkSession, d: str) -> DataFrame:
     return p.select(*KEYS, "h", "v", r6("sx", 3).alias("sx"), r6("sy", 3).alias("sy"), r6(lon).alias("lon"), r6(lat).alias("lat"), "tile", "lon360", "lon180")
 
 
-@query("granules", sql="""
-, k AS (SELECT * FROM (VALUES ('ssrd', 169, 'sf12'), ('t2m', 167, 'sf00'), ('q', 133, 'ml00')) v(key, param, stream)),
-d AS (SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS stamp FROM orders)
-SELECT key, stamp, printf('%03d/E5%s_1D_%s_%03d.grb', param, stream, stamp, param) AS file FROM k, d""")
+KEYS_SQL = ", ".join(str(k) for k in C.MET_KEYS)
+LAYOUTS = {"1H": ("%Y-%m-%d", "1H"), "1D": ("%Y-%m", "1D"), "1M": ("%Y", "1M")}
+
+
+@query("granules", sql=f", k AS (SELECT * FROM (VALUES {KEYS_SQL}) v(key, param, stream)) " + " UNION ALL ".join(
+    f"SELECT key, stamp, printf('%03d/E5%s_{step}_%s_%03d.grb', param, stream, stamp, param) AS file FROM k, (SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '{f}') AS stamp FROM orders)" for f, step in LAYOUTS.values()))
 def s08_met_files(spark: SparkSession, d: str) -> DataFrame:
+    """All keys in the layouts of days, months and years."""
     dates = bind(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
-    return C.met_files(dates, ["ssrd", "t2m", "q"], "1D")
+    return S.concat([C.met_files(dates, [k for k, _, _ in C.MET_KEYS], step) for step in LAYOUTS])
 
 
 @query("land_cover", sql="""

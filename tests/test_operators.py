@@ -129,13 +129,13 @@ def test_planted_parameters_are_found(spark):
             par, t, evi = (0.0 if k % 3 == 0 else float(rng.uniform(10, 1500))), float(rng.uniform(-5, 30)), float(rng.uniform(0.2, 0.8))
             nee = max(a * t + b, 0) - lamb * evi * par / (1 + par / par0)
             rows.append((cls, par, t, evi, 1.0, 1.0, 1.0, nee))
-    df = spark.createDataFrame(rows, "vprm_class int, par double, tcorr double, evi double, Ps double, Ws double, Ts double, nee double")
+    df = spark.createDataFrame(rows, "veg_class int, par double, tcorr double, evi double, Ps double, Ws double, Ts double, nee double")
     dark = V.fit_respiration(df)
-    found = {r["vprm_class"]: r for r in dark.collect()}
+    found = {r["veg_class"]: r for r in dark.collect()}
     assert math.isclose(found[1]["alpha"], 0.2, rel_tol=0.05) and found[2]["mse"] < 0.05
     start = V.fit_nee(df, dark, [100, 200, 400, 800])
-    start = start.select("vprm_class", "lamb", "par0").join(dark.select("vprm_class", "alpha", "beta"), "vprm_class")
-    fitted = {r["vprm_class"]: r for r in V.fit_combined(df, start, steps=12).collect()}
+    start = start.select("veg_class", "lamb", "par0").join(dark.select("veg_class", "alpha", "beta"), "veg_class")
+    fitted = {r["veg_class"]: r for r in V.fit_combined(df, start, steps=12).collect()}
     for cls, want in {1: (0.2, 400.0), 2: (0.1, 250.0)}.items():
         assert math.isclose(fitted[cls]["lamb"], want[0], rel_tol=0.02) and math.isclose(fitted[cls]["par0"], want[1], rel_tol=0.02)
 
@@ -163,8 +163,8 @@ def test_lags_must_be_positive(spark):
 
 
 def test_class_config(spark):
-    lc_map, coef = C.load_class_config(spark, {"a": {"vprm_class": 1, "class_numbers": [-1], "tmin": -4, "topt": 15, "tmax": 38}, "b": {"vprm_class": 2, "class_numbers": [-1, 30]}})
-    assert {r["code"]: r["vprm_class"] for r in lc_map.collect()} == {-1: 2, 30: 2}
+    lc_map, coef = C.load_class_config(spark, {"a": {"veg_class": 1, "class_numbers": [-1], "tmin": -4, "topt": 15, "tmax": 38}, "b": {"veg_class": 2, "class_numbers": [-1, 30]}})
+    assert {r["code"]: r["veg_class"] for r in lc_map.collect()} == {-1: 2, 30: 2}
     assert [tuple(r) for r in coef.collect()] == [(1, -4.0, 15.0, 38.0, -4.0)]
 
 
