@@ -119,6 +119,12 @@ def extract_points(grid: DataFrame, sites: DataFrame, values: list[str], method:
     return joined.groupBy("site", *more).agg(*[F.when(whole & (F.count(v) == F.count("*")), F.sum(F.col(v) * F.col("_w"))).alias(v) for v in values])
 
 
+def elevation_at(dem: DataFrame, sites: DataFrame, lon0: float, dlon: float, lat0: float, dlat: float) -> DataFrame:
+    """Elevation of sites (site, px, py in degrees) from the nearest cell of a terrain grid (integer
+    x, y and elevation) that begins at lon0, lat0."""
+    return extract_points(dem, sites, ["elevation"], "nearest", lon0, dlon, lat0, dlat)
+
+
 def _nearest(points: DataFrame, targets: DataFrame, ids: list[str], radius: float) -> DataFrame:
     """For each point (ids, px, py) the nearest target (tx, ty, found), the least tx, ty of equals,
     in a column found; points keep none where there is no target. Both are laid in cells as wide

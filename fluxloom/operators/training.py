@@ -226,3 +226,24 @@ def upscaling_table(met: DataFrame, stack: DataFrame, keys: list[str]) -> DataFr
     """The same for all pixels at requested times (columns keys, day, weather)."""
     joined = met.join(stack, [*keys, "day"], "left")
     return joined.fillna(0.0, [c for c, kind in stack.dtypes if kind == "double" and c not in keys])
+
+
+def training_cube(samples: DataFrame, footprints: DataFrame, stack: DataFrame, classes: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
+    """Each sample (keys, day, weather and flux) at each cell of its footprint (keys, cell,
+    footprint), with the cell's stack values of the day and its land cover; gaps are 0."""
+    values = [c for c, kind in stack.dtypes if kind == "double"] + [c for c in classes.columns if c not in cell]
+    cube = footprints.join(samples, keys).join(stack, [*cell, "day"], "left").join(classes, cell, "left")
+    return cube.fillna(0.0, ["footprint", *values])
+
+
+def base_dataset(cube: DataFrame, keys: list[str], at: str = "step", flags: tuple[int, ...] = (0,), qc: str = "qc", least_share: float = 1e-6, least: float = 1e-5, lag: int = 0) -> DataFrame:
+    """What a model is trained on: the cells that hold the site's footprint, times with a footprint
+    and a good flux, without each site's first `lag` of them; a time's footprint sums up to 1."""
+    from .footprint import crop_to_mass
+    from .towers import qc_filter
+
+    cropped = crop_to_mass(cube, keys, least_share)
+    totals = qc_filter(cropped, list(flags), qc).groupBy(*keys, at).agg(F.sum("footprint").alias("_total")).where(F.col("_total") > least)
+    if lag:
+        totals = totals.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(at))).where(F.col("_rn") > lag).drop("_rn")
+    return cropped.join(totals, [*keys, at]).withColumn("footprint", F.col("footprint") / F.col("_total")).drop("_total")

@@ -426,23 +426,42 @@ def a06_bilinear(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stack", "fractions", sql="""
-SELECT s.x // 4 AS dx, s.y // 5 AS dy, veg_class::BIGINT AS veg_class, s.day + 1 AS day, round(avg(evi), 5) AS evi FROM stack s JOIN fractions f ON s.x = f.x AND s.y = f.y GROUP BY ALL""")
+, v AS (SELECT s.x // 4 AS dx, s.y // 5 AS dy, veg_class::BIGINT AS veg_class, s.day + 1 AS day, avg(evi) AS evi, avg(lswi) AS lswi FROM stack s JOIN fractions f ON s.x = f.x AND s.y = f.y GROUP BY ALL),
+r AS (SELECT dx, dy, veg_class, min(evi) AS evi_min, max(evi) AS evi_max, min(lswi) AS lswi_min, max(lswi) AS lswi_max FROM v GROUP BY ALL), t AS (
+SELECT 'evi' AS field, dx, dy, veg_class, day, evi AS v FROM v UNION ALL SELECT 'lswi', dx, dy, veg_class, day, lswi FROM v
+UNION ALL SELECT 'evi_min', dx, dy, veg_class, NULL, evi_min FROM r UNION ALL SELECT 'evi_max', dx, dy, veg_class, NULL, evi_max FROM r
+UNION ALL SELECT 'lswi_min', dx, dy, veg_class, NULL, lswi_min FROM r UNION ALL SELECT 'lswi_max', dx, dy, veg_class, NULL, lswi_max FROM r
+UNION ALL SELECT 'veg_fraction', x // 4, y // 5, veg_class, NULL, sum(frac * 0.05e0) FROM fractions GROUP BY ALL
+UNION ALL SELECT 'legend ' || (SELECT string_agg(c::VARCHAR, ',' ORDER BY c) FROM (SELECT DISTINCT veg_class AS c FROM fractions)), NULL, NULL, NULL, NULL, NULL)
+SELECT field, dx, dy, veg_class, day, round(v, 5)+0e0 AS v FROM t""")
 def a08_weather_model_export(spark: SparkSession, d: str) -> DataFrame:
+    """All seven fields and the legend, one below the other."""
     px = bind(spark, d, "fractions").select("x", "y").distinct()
     w = px.select("x", "y", F.floor(F.col("x") / 4).alias("dx"), F.floor(F.col("y") / 5).alias("dy"), F.lit(0.05).alias("w"))
-    out = V.export_weather_model(stack(spark, d), bind(spark, d, "fractions"), w, ["x", "y"], ["dx", "dy"], ["evi"])["values"]
-    return out.select("dx", "dy", F.col("veg_class").cast("long").alias("veg_class"), "day", r6("evi", 5).alias("evi"))
+    out = V.export_weather_model(stack(spark, d), bind(spark, d, "fractions"), w, ["x", "y"], ["dx", "dy"], ["evi", "lswi"])
+    day = lambda t: F.col("day") if "day" in t.columns else F.lit(None).cast("long")
+    fields = [t.select(F.lit(k).alias("field"), "dx", "dy", F.col("veg_class").cast("long").alias("veg_class"), day(t).alias("day"), r6(k, 5).alias("v")) for k, t in out.items() if k != "legend"]
+    return S.concat([*fields, out["legend"].select(F.concat(F.lit("legend "), "legend").alias("field"))])
 
 
 @query("land_cover", sql="""
 , s AS (SELECT k AS site, 10.0005e0 + k * 0.004e0 AS slon, 50.0005e0 + k * 0.002e0 AS slat FROM (VALUES (0), (1), (2), (3)) v(k)), c AS (SELECT 10 + fx / 1000e0 AS lon, 50 + fy / 1000e0 AS lat, height FROM land_cover)
 SELECT site::BIGINT AS site, round(avg(height), 6) AS height FROM s JOIN c ON abs(lat - slat) <= 500 / 111000e0 AND abs(lon - slon) <= 500 / 111000e0 / cos(radians(slat)) GROUP BY site""")
-def a12_a13_canopy_height(spark: SparkSession, d: str) -> DataFrame:
+def a12_canopy_height(spark: SparkSession, d: str) -> DataFrame:
     cells = bind(spark, d, "land_cover").select((10 + F.col("fx") / 1000).alias("lon"), (50 + F.col("fy") / 1000).alias("lat"), "height")
     sites = spark.range(4).select(F.col("id").alias("site"), (10.0005 + F.col("id") * 0.004).alias("slon"), (50.0005 + F.col("id") * 0.002).alias("slat"))
     return G.box_mean(cells, sites, "height", 500).withColumn("height", r6("height"))
 
 
+@query("land_cover", "tower_obs", sql="""
+, s AS (SELECT site, 10.0005e0 + site * 0.0041e0 AS lon, 50.0003e0 + site * 0.0021e0 AS lat FROM tower_obs GROUP BY site), g AS (SELECT fx, fy, min(height) * 100 AS e FROM land_cover GROUP BY 1, 2)
+SELECT site, round(e, 6) AS elevation FROM s JOIN g ON fx = round((lon - 10) / 0.001e0) AND fy = round((lat - 50) / 0.001e0)""")
+def a13_elevation(spark: SparkSession, d: str) -> DataFrame:
+    dem = bind(spark, d, "land_cover").groupBy(F.col("fx").alias("x"), F.col("fy").alias("y")).agg((F.min("height") * 100).alias("elevation"))
+    sites = bind(spark, d, "tower_obs").select("site").distinct().select("site", (10.0005 + F.col("site") * 0.0041).alias("px"), (50.0003 + F.col("site") * 0.0021).alias("py"))
+    return G.elevation_at(dem, sites, 10.0, 0.001, 50.0, 0.001).withColumn("elevation", r6("elevation"))
+
+
 @query("met_obs", sql="""
 , g AS (SELECT x, y, hour, sum(ssrd) AS v FROM met_obs GROUP BY 1, 2, 3), w AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY x, y, floor((hour - 1) / 24e0) ORDER BY hour) IS NULL THEN v ELSE v - lag(v) OVER (PARTITION BY x, y, floor((hour - 1) / 24e0) ORDER BY hour) END AS i FROM g)
 SELECT x, y, hour, round(i, 4)+0e0 AS v FROM w WHERE hour > (SELECT min(hour) FROM g)""")
@@ -701,3 +720,43 @@ def j14_m27_static(spark: SparkSession, d: str) -> DataFrame:
     s = V.static_features(stack(spark, d).withColumn("nirv", F.col("evi") * 0.3), f, ["x", "y"], [1, 7])
     s = s.join(L.flux_mask(f, ["x", "y"], most=0.5), ["x", "y"])
     return s.select("x", "y", r6("nirv_p90").alias("p90"), r6("nirv_p10").alias("p10"), F.col("1").alias("c1"), F.col("7").alias("c7"), "flux_mask")
+
+
+# A site's pixels are cells of its footprint; the stack's first days stand for January.
+CUBE = FFP + """
+, c AS (SELECT f.site, f.step, f.i, f.j, f.footprint, o.qc, o.nee, coalesce(s.evi, 0) AS evi, coalesce(l.water, 0) AS water
+ FROM f JOIN tower_obs o ON f.site = o.site AND f.step = o.step LEFT JOIN stack s ON f.i = s.x AND f.j = s.y AND o.day * 40 = s.day
+ LEFT JOIN (SELECT x, y, sum(frac) FILTER (veg_class > 5) AS water FROM fractions GROUP BY 1, 2) l ON f.i = l.x AND f.j = l.y)
+"""
+
+
+def cube(spark: SparkSession, d: str) -> DataFrame:
+    samples = bind(spark, d, "tower_obs").select("site", "step", (F.col("day") * 40).alias("day"), "qc", "nee")
+    pixels = stack(spark, d).select(F.col("x").alias("i"), F.col("y").alias("j"), "day", "evi")
+    share = F.sum(F.when(F.col("veg_class") > 5, F.col("frac"))).alias("water")
+    classes = bind(spark, d, "fractions").groupBy(F.col("x").alias("i"), F.col("y").alias("j")).agg(share)
+    return L.training_cube(samples, fp(spark, d).select(*AT, "i", "j", "footprint"), pixels, classes, AT, ["i", "j"])
+
+
+WEIGHED = "count(*) AS n, round(sum(footprint) * 1e3, 6) AS footprint, round(sum(footprint * evi) * 1e3, 6)+0e0 AS evi, round(sum(footprint * water) * 1e3, 6) AS water"
+
+
+def _weighed(c: DataFrame) -> DataFrame:
+    total = lambda v: r6(F.sum(F.col("footprint") * v) * 1e3)
+    return c.groupBy(*AT).agg(F.count("*").alias("n"), total(F.lit(1.0)).alias("footprint"), total(F.col("evi")).alias("evi"), total(F.col("water")).alias("water"))
+
+
+@query("fp_in", "cells", "tower_obs", "stack", "fractions", sql=CUBE + f"SELECT site, step, {WEIGHED} FROM c GROUP BY 1, 2")
+def v16_training_cube(spark: SparkSession, d: str) -> DataFrame:
+    """Footprint, land cover and stack at each cell and time, summed up over the cells."""
+    return _weighed(cube(spark, d))
+
+
+@query("fp_in", "cells", "tower_obs", "stack", "fractions", sql=CUBE + f"""
+, b AS (SELECT site, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM (SELECT *, s / sum(s) OVER (PARTITION BY site) AS share FROM (SELECT site, i, j, sum(footprint) AS s FROM c GROUP BY 1, 2, 3)) WHERE share > 0.002e0 GROUP BY 1),
+k AS (SELECT c.* FROM c JOIN b ON c.site = b.site WHERE i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1),
+t AS (SELECT site, step, sum(footprint) AS total FROM k WHERE qc = 0 GROUP BY 1, 2 HAVING sum(footprint) > 1e-5), u AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY site ORDER BY step) > 4),
+n AS (SELECT k.site, k.step, k.footprint / u.total AS footprint, evi, water FROM k JOIN u ON k.site = u.site AND k.step = u.step)
+SELECT site, step, {WEIGHED} FROM n GROUP BY 1, 2""")
+def v17_base_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return _weighed(L.base_dataset(cube(spark, d), ["site"], least_share=0.002, lag=4))
