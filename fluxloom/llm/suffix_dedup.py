@@ -5,6 +5,8 @@ suffix would move each text SPAN times, so suffixes are sorted at anchors only:
 a window of SPAN bytes is the place of its least K-gram hash, the leftmost of equals. Equal
 windows have equal anchors at equal offsets. Neighbouring windows share an anchor; a record
 holds for it the bytes from the anchor on (its suffix, at most SPAN bytes) and those before.
+Grams that a sample of the texts shows to be common (a licence line, a footer) are anchors only
+of windows without any other, so that no anchor meets different bytes beside it in many texts.
 
 1. Documents are dealt to runs of bounded size. A run sorts its records, joins equal ones and
    sends them front-coded (length of the prefix common with the one before, then the rest),
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -41,19 +43,19 @@ SPAN, K = 200, 32
 RUN_BYTES, SORT_BYTES, BLOCK = 8 << 20, 4 << 20, 1 << 18
 #: Uncompressed bytes that a bucket should receive, and about what a text byte sends.
 BUCKET_BYTES, SENT = 12 << 20, 3.5
+#: Bytes of the texts that show which grams are common, and how often they must be there.
+SAMPLE_BYTES, COMMON = 8 << 20, 24
+#: Runs of a partition up to which they are dealt out evenly; more even out by themselves.
+EVEN = 16
 #: Records of one block from which equal ones are joined before the run's sort.
 DENSE = 4 * BLOCK // (SPAN - K)
 
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-POS = np.uint64(BLOCK * 2 - 1)
+POS, FRONT = np.uint64(BLOCK * 2 - 1), np.uint64(44)
 
 
-def anchors(data: np.ndarray, pieces: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
-    """Anchors of the windows that lie inside the pieces (start, end) of data, of at most
-    2 * BLOCK bytes: their places, the first and the last window of each, and their hashes."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
-    if len(data) < SPAN:
-        return none
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all K-grams of data."""
     h, width, level = _MIX[data], 1, 256
     while width < K:
         h = h[:-width] * _MIX[level] + h[width:]
@@ -61,7 +63,35 @@ def anchors(data: np.ndarray, pieces: list[tuple[int, int]]) -> tuple[np.ndarray
     h ^= h >> np.uint64(31)
     h *= _MIX[290]
     h ^= h >> np.uint64(29)
-    low = (h & ~POS) | np.arange(len(h), dtype=np.uint64)
+    return h
+
+
+def common_grams(sample: Iterator[bytes]) -> np.ndarray:
+    """A table of hash beginnings that marks the K-grams found COMMON times in a sample of texts."""
+    texts, held = [], 0
+    for t in sample:
+        texts.append(t)
+        held += len(t)
+        if held >= SAMPLE_BYTES:
+            break
+    table = np.zeros(1 << 20, bool)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) >= K:
+        h = np.sort(np.concatenate([gram_hashes(data[a : a + BLOCK + K - 1]) for a in range(0, len(data) - K + 1, BLOCK)]))
+        table[h[COMMON - 1 :][h[COMMON - 1 :] == h[: len(h) - COMMON + 1]] >> FRONT] = True
+    return table
+
+
+def anchors(data: np.ndarray, pieces: list[tuple[int, int]], common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Anchors of the windows that lie inside the pieces (start, end) of data, of at most
+    2 * BLOCK bytes: their places, the first and the last window of each, and their hashes."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
+    if len(data) < SPAN:
+        return none
+    h = gram_hashes(data)
+    low = ((h >> np.uint64(1)) & ~POS) | np.arange(len(h), dtype=np.uint64)
+    if common is not None:  # grams that stand in many texts come last
+        low |= common[h >> FRONT].astype(np.uint64) << np.uint64(63)
     size, windows = 1, SPAN - K + 1
     while size * 2 <= windows:
         low = np.minimum(low[:-size], low[size:])
@@ -113,7 +143,8 @@ def _joined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Run:
     """The documents of a run, in an order of its own, and their sorted parts."""
 
-    def __init__(self, docs: pa.Table):
+    def __init__(self, docs: pa.Table, common: np.ndarray | None = None):
+        self.common = common
         texts = [t or b"" for t in docs["text"].to_pylist()]
         ids = docs["id"].to_pylist()
         self.order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] or 0, texts[k]))
@@ -126,7 +157,7 @@ class Run:
         blocks, held = [], 0
         for lo, hi, pieces in self._blocks():
             data = self.data[lo:hi]
-            found = anchors(data, pieces)
+            found = anchors(data, pieces, self.common)
             rows, index, n = _rows(data, *found, buckets), np.arange(len(found[0])), np.ones(len(found[0]), np.int64)
             if len(rows) > DENSE:
                 rows, index, n = _joined(rows)
@@ -333,6 +364,29 @@ def _merged(runs: list[Iterator], names: list[tuple[int, int]]) -> Iterator[tupl
     yield from repeated(group) if group else ()
 
 
+def _common(docs: DataFrame, total: int) -> np.ndarray:
+    """The table of common grams of a bounded sample; results don't depend on it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = common_grams(t for b in batches for t in b["text"].to_pylist())
+        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(table).tobytes()]})
+
+    share = int(min(1.0, SAMPLE_BYTES / max(1, total)) * (1 << 30))
+    sample = docs.where((F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1 << 30)) <= share) & F.col("text").isNotNull())
+    rows = sample.select("text").repartition(1).mapInArrow(count, "bits binary").collect()  # SAMPLE_BYTES in, one row out
+    return np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)).astype(bool) if rows else np.zeros(1 << 20, bool)
+
+
+def even_names(spark: SparkSession, runs: int, parts: int) -> list[int]:
+    """Numbers of runs that Spark's hash deals out to its partitions in equal shares."""
+    found: dict[int, list[int]] = {p: [] for p in range(parts)}
+    tried = spark.range(8 * (runs + parts) + 64).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"))
+    for r in tried.collect():
+        found[r["p"]].append(r["id"])
+    names = sorted((k, p, n) for p, own in found.items() for k, n in enumerate(own))  # every partition's first, then its second
+    return [n for _, _, n in names[:runs]]
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (array of start, end in bytes) and kept,
     the remaining bytes."""
@@ -343,12 +397,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     runs = int(max(1, -(-total // RUN_BYTES), min(64, total >> 18)))
     buckets = int(max(1, total * SENT // BUCKET_BYTES, min(256, total >> 16)))
     # Id and text name the run: copies of a text spread, and both passes see the same runs.
-    docs = docs.withColumn("run", F.pmod(F.xxhash64("id", "text"), F.lit(runs)).cast("int"))
-    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run")
+    parts, common = int(spark.conf.get("spark.sql.shuffle.partitions")), _common(docs, total)
+    run = F.pmod(F.xxhash64("id", "text"), F.lit(runs))
+    if runs <= EVEN * parts:
+        run = F.element_at(F.array(*map(F.lit, even_names(spark, runs, parts))), (run + 1).cast("int"))
+    docs = docs.withColumn("run", run.cast("int")).repartition(parts, "run")
 
     def sort(run: pa.Table) -> pa.Table:
         number, out = run["run"][0].as_py(), []
-        for part, (rows, numbers, _, _) in enumerate(Run(run).parts(buckets)):
+        for part, (rows, numbers, _, _) in enumerate(Run(run, common).parts(buckets)):
             if len(rows):
                 out += [(bucket, number, part, blob) for bucket, blob in pack(rows, numbers)]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
@@ -365,7 +422,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     def cut(docs: pa.Table, windows: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return kept_schema.empty_table()
-        run, w = Run(docs), {c: windows[c].to_numpy() for c in ("part", "record", "lo", "hi")}
+        run, w = Run(docs, common), {c: windows[c].to_numpy() for c in ("part", "record", "lo", "hi")}
         edges = np.zeros(len(run.data) + 1, np.int32)
         if windows.num_rows:
             for part, (_, _, place, record) in enumerate(run.parts(buckets)):

@@ -84,3 +84,44 @@ def test_merge_keeps_order_and_known_prefixes():
         out = [(c, rec[1]) for c, _, rec in S.merge([iter(r) for r in runs])]
         assert [x for _, x in out] == sorted(rec[1] for r in runs for rec in r)
         assert all(out[k][0] == S.common_prefix(out[k - 1][1], out[k][1]) for k in range(1, len(out)))
+
+
+def test_runs_fill_partitions_evenly(spark):
+    from pyspark.sql import functions as F
+
+    for runs, parts in ((1, 7), (64, 12), (102, 51), (5, 5)):
+        names = S.even_names(spark, runs, parts)
+        assert len(set(names)) == runs
+        rows = spark.createDataFrame([(n,) for n in names], "run int").groupBy(F.pmod(F.hash("run"), F.lit(parts)).alias("p")).count().collect()
+        assert max(r["count"] for r in rows) == -(-runs // parts)
+
+
+def test_common_lines_are_no_anchors_beside_other_text(spark, monkeypatch):
+    """A line of 150 bytes in every text between bytes of its own: results are those of brute force,
+    and no anchor in the line has many different records; a long passage is one record a run."""
+    rnd = random.Random(11)
+    word = lambda n: bytes(rnd.choice(b"abcdefghijklmnop ") for _ in range(n))
+    line, passage = word(150), word(600)
+    texts = [word(rnd.randint(150, 400)) + line + word(rnd.randint(150, 400)) + (passage if k % 2 else b"") + word(60) for k in range(80)]
+    most = []
+    for table in (None, S.common_grams(iter(texts))):
+        seen = defaultdict(set)
+        for t in texts:
+            place, first, last, h = S.anchors(S.np.frombuffer(t, S.np.uint8), [(0, len(t))], table)
+            for a, b, g in zip(first.tolist(), last.tolist(), h.tolist(), strict=True):
+                seen[g].add(t[a : b + S.SPAN])
+        most.append(max(map(len, seen.values())))
+    assert most[0] >= 30 and most[1] <= 8, most  # grams with a byte or two beside the line meet now and then
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    where = defaultdict(list)
+    for k, t in enumerate(texts):
+        for a in range(len(t) - S.SPAN + 1):
+            where[t[a : a + S.SPAN]].append((k, a))
+    gone = [set() for _ in texts]
+    for places in where.values():
+        if len(places) > 1:
+            for k, a in places:
+                gone[k].update(range(a, a + S.SPAN))
+    got = {r["doc_id"]: bytes(r["kept"]) for r in S.remove_repeats(docs).collect()}
+    assert all(got[k] == bytes(b for j, b in enumerate(t) if j not in gone[k]) for k, t in enumerate(texts))
+    assert any(gone)
