@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, materialize, restored, small_batches
+from .common import guarded, materialize, restored, small_batches, trim
 
 RATE, MIN_CHARS = 0.08, 20
 #: Characters of items that one block ships to the tasks.
@@ -167,6 +167,7 @@ def _block(docs: DataFrame, rows, rate: float) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         matcher = Matcher(rows.value, rate)
         for batch in batches:
             out = []

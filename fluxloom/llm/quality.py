@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import guarded, materialize, restored, small_batches
+from .common import guarded, materialize, restored, small_batches, trim
 
 #: The least number of characters that unseen ones are taken from, and the order of the model.
 LEAST, ORDER = 128, 3
@@ -87,6 +87,7 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         return grams, total
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         parts, held = [], 0
         for batch in batches:
             found = [_keys(t) for t in batch["text"].to_pylist() if t]
@@ -151,6 +152,7 @@ def with_score(docs: DataFrame, model: DataFrame, text: str = "text", out: str =
 
     @F.pandas_udf("double")
     def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trim()
         for texts in batches:
             yield pd.Series([split(t)[3] if t else None for t in texts], dtype="float64")
 

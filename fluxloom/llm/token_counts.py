@@ -36,7 +36,7 @@ from .common import small_batches
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
 #: Bytes that a worker's memo holds in each of its two generations, and what an entry takes
 #: besides its word.
-MEMO, ENTRY = 64 << 20, 240
+MEMO, ENTRY = 32 << 20, 240
 #: New words that are encoded at once.
 TOGETHER = 512
 GLUED = "\x01"

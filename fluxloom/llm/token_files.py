@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from .common import materialize, shared_dir, small_batches
+from .common import materialize, shared_dir, small_batches, trim
 from .token_counts import Memo, keys_of, kind, load, many, piece_of, specials
 
 MAGIC, SKIPPABLE = b"FLUXTOK1", 0x184D2A5E
@@ -232,6 +232,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
     schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encode, writer = encoder(tokenizer), None
         fs, root = _file(path)
         for batch in batches:
