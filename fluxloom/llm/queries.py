@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filter
+from . import bpe, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 #: Host and path rules of the url query.
@@ -63,9 +63,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_toxicity, op3_decontaminate, op4_embedding_dedup, op5_quality, op6_token_files, op7_mix, op8_suffix_dedup, op9_token_counts, op10_simhash)
+    for f in (
+        op1_url_filter,
+        op2_toxicity,
+        op3_decontaminate,
+        op4_embedding_dedup,
+        op5_quality,
+        op6_token_files,
+        op7_mix,
+        op8_suffix_dedup,
+        op9_token_counts,
+        op10_simhash,
+        op12_bpe,
+    )
 }
 
 OP1_SQL = r"""
