@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filter
+from . import align, bpe, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 #: Host and path rules of the url query.
@@ -70,6 +70,11 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES = {
         op9_token_counts,
         op10_simhash,
         op12_bpe,
+        op13_align,
     )
 }
 
