@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, decontaminate, embedding_dedup, mixing, quality, simhash, suffix_dedup, token_counts, token_files, toxicity, url_filter
+from . import align, bpe, decontaminate, embedding_dedup, mixing, quality, simhash, spelling, suffix_dedup, token_counts, token_files, toxicity, url_filter
 from .common import table
 
 #: Host and path rules of the url query.
@@ -63,6 +63,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.misspelled(spelling.runs(table(spark, sf_dir, "documents")), every=97)
+    return spelling.variants(spelling.vocabulary(found))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
@@ -88,6 +93,7 @@ QUERIES = {
         op8_suffix_dedup,
         op9_token_counts,
         op10_simhash,
+        op11_spelling,
         op12_bpe,
         op13_align,
     )
@@ -154,4 +160,35 @@ SELECT doc_id, size, source_size, target,
 FROM run
 """
 
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op7_mix": OP7_SQL}
+OP11_SQL = r"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS entry FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+long_runs AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+           lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::UBIGINT] ELSE [195::UBIGINT, (unicode(x) - 64)::UBIGINT] END)),
+           lambda s, b: xor(s >> 8, entry[(xor(s, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h
+  FROM long_runs, crc),
+planted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM planted WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+skips AS (SELECT word, n, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM skips a JOIN skips b ON a.p = b.p AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM skips a JOIN words b ON b.word = a.p || a.s
+  UNION SELECT b.word, a.word, a.n FROM skips a JOIN words b ON b.word = a.p || a.s),
+counted AS (SELECT word, count(*) AS n_near, max(other_n) AS form_n, arg_min(other, (-other_n, encode(other))) AS form FROM near GROUP BY word),
+judged AS (
+  SELECT w.word, w.n, coalesce(c.n_near, 0) AS n_near, CASE WHEN c.form_n >= 2 * w.n THEN c.form END AS form, CASE WHEN c.form_n >= 2 * w.n THEN c.form_n END AS form_n
+  FROM words w LEFT JOIN counted c USING (word)),
+followed(word, reached) AS (SELECT word, word FROM judged UNION ALL SELECT f.word, j.form FROM followed f JOIN judged j ON j.word = f.reached WHERE j.form IS NOT NULL),
+ended AS (SELECT f.word, f.reached AS root FROM followed f JOIN judged j ON j.word = f.reached WHERE j.form IS NULL)
+SELECT j.word, j.form, e.root, j.n, j.n_near, j.form_n FROM judged j JOIN ended e USING (word)
+"""
+
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op7_mix": OP7_SQL, "op11_spelling": OP11_SQL}
