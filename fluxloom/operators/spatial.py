@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col, safe_divide
-from ..sources.scratch import written
+from .distance import nearest_targets
+from .polygons import crop_polygons
 
 EARTH = 6_371_000.0
 
@@ -45,23 +45,10 @@ def crop_circle_box(df: DataFrame, lon: float, lat: float, radius_km: float, x:
 
 
 def crop_polygon(df: DataFrame, polygon: list[tuple[float, float]], half: float = 0.5, x: str = "x", y: str = "y") -> DataFrame:
-    """Pixels of which the centre or a corner lies in the polygon, by crossings of its edges. An
-    edge that only passes between corners is missed."""
-    edges = list(zip(polygon, polygon[1:] + polygon[:1], strict=True))
-
-    def inside(px: Column, py: Column) -> Column:
-        crossings = F.lit(0)
-        for (x1, y1), (x2, y2) in edges:
-            if y1 != y2:
-                spans = (F.lit(float(y1)) > py) != (F.lit(float(y2)) > py)
-                crossings = crossings + (spans & (px < (py - y1) * ((x2 - x1) / (y2 - y1)) + x1)).cast("int")
-        return crossings % 2 == 1
-
-    hit = inside(col(x), col(y))
-    for i in (-half, half):
-        for j in (-half, half):
-            hit = hit | inside(col(x) + i, col(y) + j)
-    return df.where(hit)
+    """Pixels that touch one polygon, given as its corners."""
+    corners = [(0, 0, k, float(px), float(py)) for k, (px, py) in enumerate(polygon)]
+    table = df.sparkSession.createDataFrame(corners, "poly int, ring int, seq int, px double, py double")
+    return crop_polygons(df, table, half, x, y).drop("poly")
 
 
 def crop_pixels(grid: DataFrame, at_x: float, at_y: float, n: int, x: str = "x", y: str = "y") -> DataFrame:
@@ -125,43 +112,19 @@ def elevation_at(dem: DataFrame, sites: DataFrame, lon0: float, dlon: float, lat
     return extract_points(dem, sites, ["elevation"], "nearest", lon0, dlon, lat0, dlat)
 
 
-def _nearest(points: DataFrame, targets: DataFrame, ids: list[str], radius: float) -> DataFrame:
-    """For each point (ids, px, py) the nearest target (tx, ty, found), the least tx, ty of equals,
-    in a column found; points keep none where there is no target. Both are laid in cells as wide
-    as a radius, so a join on equal cells finds all targets within it; points without one are
-    tried again with a wider radius. Each round is written, so none is computed twice."""
-    ends = [F.min(c).alias(f"lo{c}") for c in ("x", "y")] + [F.max(c).alias(f"hi{c}") for c in ("x", "y")]
-    box = points.select(F.col("px").alias("x"), F.col("py").alias("y")).unionByName(targets.select(F.col("tx").alias("x"), F.col("ty").alias("y"))).agg(*ends).first()
-    widest = 0 if box["lox"] is None else math.hypot(box["hix"] - box["lox"], box["hiy"] - box["loy"])
-    todo, targets, parts, r = written(points.select(*ids, "px", "py")), written(targets), [], float(radius)
-    d = (F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    while not todo.isEmpty():
-        near = targets.withColumn("c", cells).select("tx", "ty", "found", (F.floor(F.col("tx") / r) + F.col("c.i")).alias("cx"), (F.floor(F.col("ty") / r) + F.col("c.j")).alias("cy"))
-        met = todo.withColumns({"cx": F.floor(F.col("px") / r), "cy": F.floor(F.col("py") / r)}).join(near, ["cx", "cy"]).where(d <= r * r)
-        hits = written(met.groupBy(*ids).agg(F.min_by("found", F.struct(d, F.col("tx"), F.col("ty"))).alias("found")))
-        parts.append(hits)
-        if r > widest:
-            break
-        todo = written(todo.join(hits, ids, "left_anti"))
-        r *= 2
-    none = points.where(F.lit(False)).select(*ids).crossJoin(targets.where(F.lit(False)).select("found"))
-    return reduce(DataFrame.unionByName, parts, none)
-
-
-def nearest_valid_cell(cells: DataFrame, sites: DataFrame, values: list[str], radius: float = 2.0) -> DataFrame:
+def nearest_valid_cell(cells: DataFrame, sites: DataFrame, values: list[str]) -> DataFrame:
     """For each site (site, px, py) the nearest cell with at least one value, the least x, y of
-    equals; radius is the first distance that is searched."""
+    equals."""
     some = cells.where(F.coalesce(*values).isNotNull())
-    targets = some.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.struct("x", "y", *values).alias("found"))
-    return _nearest(sites, targets, ["site"], radius).select("site", "found.*")
+    found = nearest_targets(sites, some.select(F.col("x").alias("tx"), F.col("y").alias("ty"), *values), ["site"])
+    return found.select("site", F.col("tx").alias("x"), F.col("ty").alias("y"), *values)
 
 
-def nearest_of_class(grid: DataFrame, wrong: int, wanted: list[int], radius: int = 3, cls: str = "code") -> DataFrame:
+def nearest_of_class(grid: DataFrame, wrong: int, wanted: list[int], cls: str = "code") -> DataFrame:
     """Replace a class by that of the nearest pixel of the wanted classes, where there is one."""
     todo = grid.where(F.col(cls) == wrong).select("x", "y", F.col("x").alias("px"), F.col("y").alias("py"))
     targets = grid.where(F.col(cls).isin(wanted)).select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col(cls).alias("found"))
-    found = _nearest(todo, targets, ["x", "y"], radius)
+    found = nearest_targets(todo, targets, ["x", "y"]).select("x", "y", "found")
     return grid.join(found, ["x", "y"], "left").withColumn(cls, F.coalesce("found", cls)).drop("found")
 
 

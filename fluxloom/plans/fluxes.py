@@ -343,24 +343,28 @@ def j06_s05_met_at_towers(spark: SparkSession, d: str) -> DataFrame:
     return T.met_at_towers(t, m, ["site"]).select("site", "step", r6("met_t").alias("met_t"))
 
 
-@query("met_obs", sql="""
-, s AS (SELECT k AS site, k * 3.3e0 AS px, k * 1.4e0 AS py FROM (VALUES (0), (1), (2), (3), (4), (5)) v(k)), g AS (SELECT x, y, avg(t2m) AS v FROM met_obs GROUP BY 1, 2)
-SELECT s.site::BIGINT AS site, round(any_value(n.v), 6) AS nearest, round(sum(g.v * (1 - abs(s.px - g.x)) * (1 - abs(s.py - g.y))), 6) AS linear
-FROM s JOIN g n ON n.x = round(s.px) AND n.y = round(s.py) JOIN g ON abs(s.px - g.x) < 1 AND abs(s.py - g.y) < 1 GROUP BY s.site""")
+# The towers' places on the weather's grid.
+BINDINGS["sites"] = "SELECT CAST(site AS BIGINT) AS site, site * 1.63e0 AS px, site * 0.71e0 AS py FROM (SELECT DISTINCT site FROM {tower_obs}) t"
+
+
+@query("met_obs", "sites", sql="""
+, g AS (SELECT x, y, day // 200 AS part, avg(t2m) AS v FROM met_obs GROUP BY 1, 2, 3),
+n AS (SELECT s.site, g.part, g.v AS nearest FROM sites s JOIN g ON g.x = round(s.px) AND g.y = round(s.py)),
+l AS (SELECT s.site, g.part, sum(g.v * (1 - abs(s.px - g.x)) * (1 - abs(s.py - g.y))) AS linear, sum((1 - abs(s.px - g.x)) * (1 - abs(s.py - g.y))) AS w FROM sites s JOIN g ON abs(s.px - g.x) < 1 AND abs(s.py - g.y) < 1 GROUP BY 1, 2)
+SELECT site::BIGINT AS site, part, round(nearest, 6) AS nearest, round(CASE WHEN abs(w - 1) < 1e-9 THEN linear END, 6) AS linear FROM n JOIN l USING (site, part)""")
 def j02_j03_j05_points(spark: SparkSession, d: str) -> DataFrame:
-    g = bind(spark, d, "met_obs").groupBy("x", "y").agg(F.avg("t2m").alias("v"))
-    sites = spark.range(6).select(F.col("id").alias("site"), (F.col("id") * 3.3).alias("px"), (F.col("id") * 1.4).alias("py"))
-    near, linear = (G.extract_points(g, sites, ["v"], m) for m in ("nearest", "linear"))
-    return near.join(linear.withColumnRenamed("v", "l"), "site").select("site", r6("v").alias("nearest"), r6("l").alias("linear"))
+    """Means of 200 days at each site: the time axis is kept."""
+    g = bind(spark, d, "met_obs").groupBy("x", "y", F.floor(F.col("day") / 200).alias("part")).agg(F.avg("t2m").alias("v"))
+    near, linear = (G.extract_points(g, bind(spark, d, "sites"), ["v"], m, more=("part",)) for m in ("nearest", "linear"))
+    return near.join(linear.withColumnRenamed("v", "l"), ["site", "part"]).select("site", "part", r6("v").alias("nearest"), r6("l").alias("linear"))
 
 
-@query("met_obs", sql="""
-, s AS (SELECT k AS site, k * 3.3e0 AS px, k * 1.4e0 AS py FROM (VALUES (0), (1), (2), (3), (4), (5)) v(k)), g AS (SELECT x, y, avg(CASE WHEN (x + y) % 3 = 0 THEN t2m END) AS v FROM met_obs GROUP BY 1, 2)
-SELECT site::BIGINT AS site, x, y, round(v, 6) AS v FROM (SELECT s.site, g.*, row_number() OVER (PARTITION BY s.site ORDER BY (x - px) * (x - px) + (y - py) * (y - py), x, y) AS rn FROM s, g WHERE v IS NOT NULL) WHERE rn = 1""")
+@query("met_obs", "sites", sql="""
+, g AS (SELECT x, y, avg(CASE WHEN (x + y) % 3 = 0 THEN t2m END) AS v FROM met_obs GROUP BY 1, 2)
+SELECT site::BIGINT AS site, x, y, round(v, 6) AS v FROM (SELECT s.site, g.*, row_number() OVER (PARTITION BY s.site ORDER BY (x - px) * (x - px) + (y - py) * (y - py), x, y) AS rn FROM sites s, g WHERE v IS NOT NULL) WHERE rn = 1""")
 def j04_nearest_valid(spark: SparkSession, d: str) -> DataFrame:
     g = bind(spark, d, "met_obs").groupBy("x", "y").agg(F.avg(F.when((F.col("x") + F.col("y")) % 3 == 0, F.col("t2m"))).alias("v"))
-    sites = spark.range(6).select(F.col("id").alias("site"), (F.col("id") * 3.3).alias("px"), (F.col("id") * 1.4).alias("py"))
-    return G.nearest_valid_cell(g, sites, ["v"]).withColumn("v", r6("v"))
+    return G.nearest_valid_cell(g, bind(spark, d, "sites"), ["v"]).withColumn("v", r6("v"))
 
 
 @query("land_cover", sql="""

@@ -11,11 +11,13 @@ from ..functions import expr as X
 from ..functions import indices as I
 from ..functions import masks as M
 from ..functions import physics as P
+from ..operators import grids as Z
+from ..operators import polygons as L
 from ..operators import spatial as G
 from ..operators import stack as S
 from ..sources import config as C
 from ..sources import readers as R
-from .registry import bind, query
+from .registry import BINDINGS, bind, query
 
 r6 = X.r6
 KEYS = ["ok", "ln"]
@@ -131,6 +133,29 @@ def m14_m17_crops(spark: SparkSession, d: str) -> DataFrame:
     return S.concat([p.groupBy("x", "y").agg(F.count("*").alias("n"), r6(F.avg("nir")).alias("nir")).select(F.lit(k).alias("crop"), "x", "y", "n", "nir") for k, p in parts.items()])
 
 
+# Polygons around sites of the weather's grid: one with a notch and a hole, one thinner than a pixel, and one for
+# each column of pixels, of another size each.
+BINDINGS["polygons"] = """
+SELECT * FROM (VALUES ('notched', 0, 0, 1.7e0, 0.9e0), ('notched', 0, 1, 15.3e0, 1.3e0), ('notched', 0, 2, 17.1e0, 8.2e0), ('notched', 0, 3, 9.9e0, 3.1e0), ('notched', 0, 4, 3.2e0, 8.7e0),
+ ('notched', 1, 0, 12.1e0, 2.2e0), ('notched', 1, 1, 14.4e0, 2.3e0), ('notched', 1, 2, 13.9e0, 4.6e0),
+ ('thin', 0, 0, 0.2e0, 7.81e0), ('thin', 0, 1, 19.1e0, 0.33e0), ('thin', 0, 2, 19.1e0, 0.34e0)) v(poly, ring, seq, px, py)
+UNION ALL SELECT concat('column', CAST(x AS VARCHAR(9))), 0, k, x + dx * (0.3e0 + x % 3), 4.2e0 + dy * (0.4e0 + x % 4)
+FROM (SELECT DISTINCT x FROM {px_obs}) p, (VALUES (0, -1e0, -1e0), (1, 1.1e0, -0.9e0), (2, 0.1e0, 1.2e0)) t(k, dx, dy)"""
+
+
+@query("px_obs", "polygons", sql="""
+, e AS (SELECT poly, px AS x1, py AS y1, coalesce(lead(px) OVER r, first_value(px) OVER r) AS x2, coalesce(lead(py) OVER r, first_value(py) OVER r) AS y2 FROM polygons WINDOW r AS (PARTITION BY poly, ring ORDER BY seq)),
+c AS (SELECT x, y, count(*) AS n, round(avg(nir), 6) AS nir FROM px_obs GROUP BY x, y),
+t AS (SELECT poly, x, y, n, nir,
+   least(x1, x2) <= x + 0.5e0 AND greatest(x1, x2) >= x - 0.5e0 AND least(y1, y2) <= y + 0.5e0 AND greatest(y1, y2) >= y - 0.5e0
+   AND abs(sign((x2-x1)*(y-0.5e0-y1)-(y2-y1)*(x-0.5e0-x1)) + sign((x2-x1)*(y-0.5e0-y1)-(y2-y1)*(x+0.5e0-x1)) + sign((x2-x1)*(y+0.5e0-y1)-(y2-y1)*(x-0.5e0-x1)) + sign((x2-x1)*(y+0.5e0-y1)-(y2-y1)*(x+0.5e0-x1))) < 4 AS hit,
+   (y1 <= y) <> (y2 <= y) AND x1 + (y - y1) * (x2 - x1) / nullif(y2 - y1, 0) < x AS crossed FROM c, e)
+SELECT poly, x, y, any_value(n) AS n, any_value(nir) AS nir FROM t GROUP BY poly, x, y HAVING bool_or(hit) OR sum(CASE WHEN crossed THEN 1 ELSE 0 END) % 2 = 1""")
+def m16_polygon_table(spark: SparkSession, d: str) -> DataFrame:
+    px = bind(spark, d, "px_obs").groupBy("x", "y").agg(F.count("*").alias("n"), r6(F.avg("nir")).alias("nir"))
+    return L.crop_polygons(px, bind(spark, d, "polygons"), sizes=(4, 1))
+
+
 APART = "(SELECT a.x1 < b.x0 OR b.x1 < a.x0 OR a.y1 < b.y0 OR b.y1 < a.y0 FROM (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px_obs WHERE {}) a, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px_obs WHERE {}) b)"
 
 
@@ -229,6 +254,30 @@ def o05_o07_tiles(spark: SparkSession, d: str) -> DataFrame:
     return S.add_tiles([a, b], ["v"], ["x", "y"]).withColumn("v", r6("v"))
 
 
+#: A raster in degrees, and two tiles that lie over its edges: in metres, and in other degrees.
+OWN = Z.Grid("lonlat", 10.0, 50.0, 0.01, 0.01, 20, 10)
+TILES = {"a": Z.Grid("sinusoidal", 722137.0, 5558211.0, 905.0, 905.0, 20, 10), "b": Z.Grid("lonlat", 9.9432, 50.0373, 0.0071, 0.0083, 20, 10)}
+
+
+@query("px_obs", "stack", sql="""
+, src AS (SELECT CASE WHEN scl < 6 THEN 'a' ELSE 'b' END AS tile, x, y, avg(nir) AS v, avg(CASE WHEN (x + y) % 4 <> 0 THEN red END) AS w FROM px_obs GROUP BY 1, 2, 3),
+own AS (SELECT x, y, avg(evi) AS v, avg(lswi) AS w FROM stack GROUP BY x, y),
+t AS (SELECT c, r, 10 + (c + 0.5e0) * 0.01e0 AS lon, 50 - (r + 0.5e0) * 0.01e0 AS lat FROM range(-99, 150) a(c), range(-99, 150) b(r)),
+m AS (SELECT c, r, floor((6371007.181e0 * radians(lon) * cos(radians(lat)) - 722137) / 905) AS ax, floor((5558211 - 6371007.181e0 * radians(lat)) / 905) AS ay,
+             floor((lon - 9.9432e0) / 0.0071e0) AS bx, floor((50.0373e0 - lat) / 0.0083e0) AS by FROM t)
+SELECT c AS col, r AS row, round(coalesce(a.v, b.v, o.v), 6) AS v, round(coalesce(a.w, b.w, o.w), 6)+0e0 AS w
+FROM m LEFT JOIN src a ON a.tile = 'a' AND a.x = ax AND a.y = ay LEFT JOIN src b ON b.tile = 'b' AND b.x = bx AND b.y = m.by LEFT JOIN own o ON o.x = c AND o.y = r
+WHERE a.x IS NOT NULL OR b.x IS NOT NULL OR o.x IS NOT NULL""")
+def o05_reprojected_tiles(spark: SparkSession, d: str) -> DataFrame:
+    own = stack(spark, d).groupBy(F.col("x").alias("col"), F.col("y").alias("row")).agg(F.avg("evi").alias("v"), F.avg("lswi").alias("w"))
+    red = F.when((F.col("x") + F.col("y")) % 4 != 0, F.col("red"))
+    px = bind(spark, d, "px_obs").withColumn("tile", F.when(F.col("scl") < 6, "a").otherwise("b"))
+    new = px.groupBy("tile", F.col("x").alias("sx"), F.col("y").alias("sy")).agg(F.avg("nir").alias("v"), F.avg(red).alias("w"))
+    out, wide = Z.add_tiles_reprojected(own, OWN, new, Z.as_tiles(spark, TILES), ["v", "w"], block=16)
+    left, top = round((wide.x0 - OWN.x0) / OWN.dx), round((OWN.y0 - wide.y0) / OWN.dy)
+    return out.select((F.col("col") + left).alias("col"), (F.col("row") + top).alias("row"), r6("v").alias("v"), r6("w").alias("w"))
+
+
 @query("fractions", sql="SELECT DISTINCT veg_class::BIGINT AS veg_class FROM fractions")
 def o08_distinct_classes(spark: SparkSession, d: str) -> DataFrame:
     return bind(spark, d, "fractions").select(F.col("veg_class").cast("long").alias("veg_class")).distinct()
