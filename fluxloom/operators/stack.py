@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import col
 from ..functions.physics import days_between
-
-PIXEL = ["x", "y"]
+from .quantiles import exact_quantiles
+from .smoothing import PIXEL
 
 
 def merge_same_day(scenes: DataFrame, values: list[str], keys: list[str] = PIXEL, ts: str = "scene_ts") -> DataFrame:
@@ -50,7 +48,7 @@ def replace_snow_runs(stack: DataFrame, value: str, n: int, keys: list[str] = PI
     ordered = Window.partitionBy(*keys).orderBy("day")
     island = F.count(value).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     marked = stack.withColumn("_island", island)
-    low = stack.groupBy(*keys).agg(F.percentile(value, percentile).alias("_low"))
+    low = exact_quantiles(stack, keys, value, {"_low": percentile})
     run = Window.partitionBy(*keys, "_island")
     snow = F.col("is_snow") & F.col(value).isNull()
     marked = marked.withColumn("_snow", F.sum(snow.cast("int")).over(run)).join(low, keys)
@@ -73,118 +71,6 @@ def smoothing_keys(stack: DataFrame, smooth_all: bool = False) -> list[str]:
     return ["site"] if "site" in stack.columns and not smooth_all else PIXEL
 
 
-def lowess_fit(x: np.ndarray, y: np.ndarray, at: np.ndarray, frac: float, rounds: int) -> np.ndarray:
-    """Robust locally weighted lines through points sorted by x, evaluated at `at`."""
-    n = len(x)
-    k = int(frac * n + 1e-10)
-    out = np.full(len(at), np.nan)
-    if k < 2:
-        return out
-
-    def lines(points: np.ndarray, robust: np.ndarray) -> np.ndarray:
-        # The k nearest of sorted points lie side by side; those farther away have no weight.
-        first = np.searchsorted(x[: n - k] + x[k:], 2 * points)
-        at = first[:, None] + np.arange(k)
-        near = x[at]
-        distance = np.abs(points[:, None] - near)
-        reach = distance.max(axis=1, keepdims=True)
-        with np.errstate(all="ignore"):
-            w = np.clip(1 - (distance / reach) ** 3, 0, None) ** 3 * robust[at]
-            w = w / w.sum(axis=1, keepdims=True)
-            mean = (w * near).sum(axis=1)
-            off = near - mean[:, None]
-            spread = (w * off**2).sum(axis=1)
-            centre = (w * y[at]).sum(axis=1)
-            slope = (w * off * y[at]).sum(axis=1) / spread
-        return centre + slope * (points - mean)
-
-    robust = np.ones(n)
-    for _ in range(rounds):
-        miss = np.abs(y - lines(x, robust))
-        scale = 6 * np.median(miss)
-        if not np.isfinite(scale):
-            return out
-        robust = np.clip(1 - (miss / scale) ** 2, 0, None) ** 2 if scale > 0 else np.ones(n)
-    return lines(at, robust)
-
-
-def lowess(stack: DataFrame, value: str, days: list[int], keys: list[str] = PIXEL, frac: float = 0.25, rounds: int = 3, tries: int = 10, at: str = "day") -> DataFrame:
-    """Smooth each series onto the days; a fit with a non-finite value is tried again with frac
-    raised by 0.05, at most `tries` times. Series without a value give no row."""
-    wanted = np.array(sorted(days), float)
-    points = stack.where(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(*keys, F.col(at).cast("double").alias("_at")).agg(F.avg(value).alias("_v"))
-    types = dict(stack.dtypes)
-
-    def smooth(batch: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for key, series in batch.sort_values([*keys, "_at"]).groupby(keys, sort=False, dropna=False):
-            x, y, f = series["_at"].to_numpy(), series["_v"].to_numpy(), frac
-            for _ in range(tries):
-                fitted = lowess_fit(x, y, wanted, f, rounds)
-                if np.isfinite(fitted).all():
-                    break
-                f += 0.05
-            parts.append((key, fitted))
-        out = pd.DataFrame({k: np.repeat([p[0][j] for p in parts], len(wanted)) for j, k in enumerate(keys)})
-        out["day"] = np.tile(wanted.astype("int64"), len(parts))
-        values = pd.Series(np.concatenate([p[1] for p in parts]))
-        out[value] = values.where(np.isfinite(values))
-        return out
-
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["day long", f"{value} double"])
-    return _batched(points, keys).applyInPandas(smooth, schema)
-
-
-#: Series that one Python call smooths.
-TOGETHER = 256
-
-
-def _batched(points: DataFrame, keys: list[str]):
-    """Groups of about TOGETHER whole series each."""
-    n = -(-points.select(*keys).distinct().count() // TOGETHER)
-    return points.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(max(1, n)))).groupBy("_batch")
-
-
-def kalman_fit(seen: np.ndarray, process: float, observation: float) -> np.ndarray:
-    """Local-level Kalman smoother over the last axis of series (NaN where nothing was seen); the
-    first value seen is the prior mean."""
-    n, days = seen.shape
-    known = np.isfinite(seen)
-    m, p = seen[np.arange(n), known.argmax(axis=1)], np.ones(n)
-    means, before = np.empty((days, n)), np.empty((days, n))
-    after, ahead = np.empty((days, n)), np.empty((days, n))
-    for d in range(days):
-        ahead[d] = p if d == 0 else p + process
-        before[d] = m
-        gain = np.where(known[:, d], ahead[d] / (ahead[d] + observation), 0.0)
-        m = m + gain * (np.where(known[:, d], seen[:, d], m) - m)
-        p = (1 - gain) * ahead[d]
-        means[d], after[d] = m, p
-    for d in range(days - 2, -1, -1):
-        means[d] += after[d] / ahead[d + 1] * (means[d + 1] - before[d + 1])
-    return means.T
-
-
-def kalman(stack: DataFrame, value: str, last: int, keys: list[str] = PIXEL, process: float = 0.01, observation: float = 0.05) -> DataFrame:
-    """Smooth each series on the days 0 .. last; whole series go to Python many at a time. Series
-    without a value give no row."""
-    points = stack.where(F.col(value).isNotNull() & F.col("day").between(0, last)).groupBy(*keys, "day").agg(F.avg(value).alias("_v"))
-    types = dict(stack.dtypes)
-
-    def smooth(batch: pd.DataFrame) -> pd.DataFrame:
-        groups = batch.groupby(keys, sort=False, dropna=False)
-        number, first = groups.ngroup().to_numpy(), groups.head(1)
-        seen = np.full((len(first), last + 1), np.nan)
-        seen[number, batch["day"].to_numpy()] = batch["_v"].to_numpy()
-        out = pd.DataFrame({k: np.repeat(first[k].to_numpy(), last + 1) for k in keys})
-        out["day"] = np.tile(np.arange(last + 1), len(first))
-        out[value] = kalman_fit(seen, process, observation).ravel()
-        return out
-
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["day long", f"{value} double"])
-    return _batched(points, keys).applyInPandas(smooth, schema)
-
-
 def add_observation_day(scenes: DataFrame, ts: str, first: str = "scene_ts") -> DataFrame:
     """Days from the first scene to each pixel's own observation time, rounded."""
     start = scenes.agg(F.min(first).alias("_first"))

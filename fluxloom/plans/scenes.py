@@ -13,10 +13,13 @@ from ..functions import masks as M
 from ..functions import physics as P
 from ..operators import grids as Z
 from ..operators import polygons as L
+from ..operators import smoothing as H
 from ..operators import spatial as G
 from ..operators import stack as S
+from ..operators.quantiles import exact_quantiles
 from ..sources import config as C
 from ..sources import readers as R
+from ..sources.scratch import written
 from .registry import BINDINGS, bind, query
 
 r6 = X.r6
@@ -193,16 +196,16 @@ def w01_snow_runs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def w02_w04_w05_lowess(spark: SparkSession, d: str) -> DataFrame:
     """Smoothed onto every 30th day of the record and its last."""
-    own = stack(spark, d)
+    own = written(stack(spark, d).select("x", "y", "day", "evi"))
     last = own.agg(F.max("day")).first()[0] or 0
     days = [r["day"] for r in S.target_days(spark, last, [*range(0, last, 30), last], own).collect()]
-    return S.lowess(own, "evi", days, S.smoothing_keys(own))
+    return H.lowess(own, "evi", days, S.smoothing_keys(own))
 
 
 @query()
 def w03_kalman(spark: SparkSession, d: str) -> DataFrame:
-    own = stack(spark, d)
-    return S.kalman(own, "evi", own.agg(F.max("day")).first()[0] or 0)
+    own = written(stack(spark, d).select("x", "y", "day", "evi"))
+    return H.kalman(own, "evi", own.agg(F.max("day")).first()[0] or 0)
 
 
 @query("masked", sql="SELECT x, y, date_diff('day', DATE '1970-01-01', CAST(scene_ts AS DATE))::BIGINT AS day, round(avg(evi), 6) AS evi FROM masked GROUP BY 1, 2, 3")
@@ -235,8 +238,10 @@ def a11_central_mean(spark: SparkSession, d: str) -> DataFrame:
 , n AS (SELECT x, y, (nir-red)/nullif(nir+red,0)*nir AS nirv FROM px_obs)
 SELECT x, y, round(quantile_cont(nirv, 0.9), 6) AS nirv_p90, round(quantile_cont(nirv, 0.1), 6) AS nirv_p10 FROM n GROUP BY x, y""")
 def a15_nirv_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of more than a thousand values go the way of large groups."""
     n = bind(spark, d, "px_obs").select("x", "y", I.nirv().alias("nirv"))
-    return n.groupBy("x", "y").agg(r6(F.percentile("nirv", 0.9)).alias("nirv_p90"), r6(F.percentile("nirv", 0.1)).alias("nirv_p10"))
+    found = exact_quantiles(n, ["x", "y"], "nirv", {"nirv_p90": 0.9, "nirv_p10": 0.1}, small=1000)
+    return found.select("x", "y", r6("nirv_p90").alias("nirv_p90"), r6("nirv_p10").alias("nirv_p10"))
 
 
 @query("px_obs", sql="SELECT epoch_us(scene_ts)::BIGINT AS ts, count(*) AS pixels FROM px_obs GROUP BY scene_ts ORDER BY 2 DESC, scene_ts LIMIT 1")

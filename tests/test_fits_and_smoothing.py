@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxloom.operators import model as V
+from fluxloom.operators import smoothing as H
 from fluxloom.operators import spatial as G
 from fluxloom.operators import stack as S
 from fluxloom.operators import training as L
@@ -56,17 +57,17 @@ def test_lowess_windows_equal_all_distances():
     for _ in range(3):
         miss = np.abs(y - lines(x, robust))
         robust = np.clip(1 - (miss / (6 * np.median(miss))) ** 2, 0, None) ** 2
-    assert S.lowess_fit(x, y, at, 0.25, 3) == pytest.approx(lines(at, robust), abs=1e-7)
+    assert H.lowess_fit(x, y, at, 0.25, 3) == pytest.approx(lines(at, robust), abs=1e-7)
 
 
 def test_kalman_equals_a_least_squares_path(spark, monkeypatch):
     """The smoother's means are the most likely path of a random walk; few series a call."""
-    monkeypatch.setattr(S, "TOGETHER", 2)
+    monkeypatch.setattr(H, "TOGETHER", 2)
     rng, last, q, r = np.random.default_rng(6), 25, 0.01, 0.05
     seen = {(x, 0): {int(d): float(rng.normal()) for d in rng.choice(last + 1, 9, replace=False)} for x in range(7)}
     df = spark.createDataFrame([(x, y, d, v) for (x, y), s in seen.items() for d, v in s.items()], "x long, y long, day long, evi double")
     got = {}
-    for row in S.kalman(df, "evi", last).collect():
+    for row in H.kalman(df, "evi", last).collect():
         got.setdefault((row["x"], row["y"]), {})[row["day"]] = row["evi"]
     for key, s in seen.items():
         h, g = np.zeros((last + 1, last + 1)), np.zeros(last + 1)

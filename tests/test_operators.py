@@ -12,6 +12,7 @@ from fluxloom.functions import masks as M
 from fluxloom.functions import physics as P
 from fluxloom.operators import footprint as K
 from fluxloom.operators import model as V
+from fluxloom.operators import smoothing as H
 from fluxloom.operators import spatial as G
 from fluxloom.operators import stack as S
 from fluxloom.operators import training as L
@@ -91,10 +92,10 @@ def test_regridding_a_constant_gives_the_constant(spark):
 def test_lowess_reproduces_a_line_and_kalman_a_constant(spark):
     rows = [(0, 0, d, 0.2 + 0.001 * d, 0.4) for d in range(0, 120, 3)] + [(1, 1, d, None, None) for d in range(0, 120, 3)]
     stack = spark.createDataFrame(rows, "x int, y int, day long, line double, flat double")
-    got = S.lowess(stack, "line", [0, 10, 55, 119]).orderBy("day").collect()
+    got = H.lowess(stack, "line", [0, 10, 55, 119]).orderBy("day").collect()
     assert [r["x"] for r in got] == [0] * 4
     assert np.allclose([r["line"] for r in got], [0.2, 0.21, 0.255, 0.319], atol=1e-9)
-    flat = S.kalman(stack, "flat", 119).collect()
+    flat = H.kalman(stack, "flat", 119).collect()
     assert len(flat) == 120 and np.allclose([r["flat"] for r in flat], 0.4)
 
 
@@ -111,7 +112,7 @@ def test_kalman_equals_a_plain_filter(spark):
     out = [steps[-1][0]]
     for d in range(58, -1, -1):
         out.append(steps[d][0] + steps[d][1] / steps[d + 1][3] * (out[-1] - steps[d + 1][2]))
-    got = [r["v"] for r in S.kalman(stack, "v", 59).orderBy("day").collect()]
+    got = [r["v"] for r in H.kalman(stack, "v", 59).orderBy("day").collect()]
     assert np.allclose(got, out[::-1])
 
 
