@@ -76,7 +76,8 @@ def mix(
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
 
     groups = groups.join(plan, F.col("source").eqNullSafe(F.col("plan")))
-    bucket = F.floor(F.col("place.key") * F.col("buckets") / F.lit(float(1 << 48))).cast("long")
+    # In doubles, which hold a key exactly: keys times buckets are beyond the longs for large sources.
+    bucket = F.floor(F.col("place.key") / F.lit(float(1 << 48)) * F.col("buckets")).cast("long")
     groups = groups.withColumn("bucket", bucket)
     sums = groups.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b")).agg(F.sum(F.col("size") * F.col("n")).alias("sum"))
     earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

@@ -39,6 +39,13 @@ def test_other_columns_and_empty_tables(spark):
     assert mixing.mixed(docs.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("buckets", [1 << 15, 1 << 20, 1 << 31])
+def test_as_many_buckets_as_a_large_source_has(spark, buckets):
+    docs = spark.createDataFrame([(k, "w " * (k % 7), "x") for k in range(200)], "doc_id long, text string, source string")
+    plain = {r["doc_id"]: r["_copies"] for r in mixing.mix(docs, share=0.7).collect()}
+    assert {r["doc_id"]: r["_copies"] for r in mixing.mix(docs, share=0.7, bucket_rows=200 / buckets).collect()} == plain
+
+
 def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
