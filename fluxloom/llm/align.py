@@ -41,7 +41,7 @@ from .common import guarded, materialize, restored, small_batches, trim
 from .token_counts import BLANK, GLUED, RUNS, SPACE, Memo, kind, load, mark
 
 #: Pairs of ids whose counts are sent to the tasks, 20 bytes each.
-HOT = 1 << 16
+HOT = 1 << 14
 #: Bytes of the memo's keys and values in each generation.
 MEMO = 24 << 20
 #: A space that begins a token of both tokenizers.
@@ -92,7 +92,7 @@ class Pieces:
         inside = [s for i, s in enumerate(names) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
         ordinary = said.trainer_spec.model_type == 2 and all(p.type != 4 for p in said.pieces) and rule.escape_whitespaces  # BPE, and no piece of a user's own
         plain = not rule.precompiled_charsmap and not rule.remove_extra_whitespaces
-        crossed = re.compile(r"[^▁]▁|[^\W\d_][.,]|\n")
+        crossed = re.compile(r"[^▁]▁|[A-Za-zÀ-ÖØ-öø-ÿ][.,]|\n")  # the cuts that `keys_of` makes
         self.by_words = ordinary and plain and not any(crossed.search(s) for s in inside)
 
     def whole(self, text: str) -> list[int]:
