@@ -27,7 +27,8 @@ import re
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, islice, pairwise
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -66,7 +67,7 @@ class Vocabulary:
             self.merges[x, y] = rank
         if any(max(self.rank[x], self.rank[y]) >= rank for (x, y), rank in self.merges.items()):
             raise ValueError(f"{path}: a merge comes before those that build its parts")
-        self.seen: dict[tuple[int, int], bool] = {}
+        self.seen: dict[int, bool] = {}
         self._automaton()
 
     def spelled(self, token: str) -> str:
@@ -127,11 +128,32 @@ class Vocabulary:
         for t in made:
             self.length[t] = len(spelling[t])
 
-    def encode(self, piece: str) -> list[int]:
-        """The ids of one piece of text in the file's alphabet."""
+    def encode(self, pieces: Sequence[str]) -> list[list[int]]:
+        """The ids of pieces of text in the file's alphabet. They are taken in order, so that each goes on
+        from the prefix that it shares with the one before."""
+        out: list[list[int]] = [[]] * len(pieces)
+        before, states, last = "", [0], []
+        for k in sorted(range(len(pieces)), key=pieces.__getitem__):
+            piece = self.piece(pieces[k])
+            same = len(commonprefix((before, piece)))
+            del states[same + 1 :], last[same:]
+            self._read(piece, same, states, last)
+            ids, end, before = [], len(piece), piece
+            while end:
+                token = last[end - 1]
+                if token < 0:
+                    raise ValueError(f"the vocabulary can't spell {pieces[k]!r}")
+                ids.append(token)
+                end -= self.length[token]
+            ids.reverse()
+            out[k] = ids
+        return out
+
+    def _read(self, piece: str, start: int, states: list[int], last: list[int]) -> None:
+        """Add the states and last tokens of a piece's prefixes longer than `start`."""
         go, fail, longest, shorter, length, seen = self.go, self.fail, self.longest, self.shorter, self.length, self.seen
-        state, last = 0, []
-        for end, c in enumerate(self.piece(piece), 1):
+        state = states[-1]
+        for end, c in enumerate(piece[start:], start + 1):
             step = go[state].get(c)
             while step is None and state:
                 state = fail[state]
@@ -139,27 +161,20 @@ class Vocabulary:
             state = step or 0
             token = longest[state]
             while token >= 0:
-                start = end - length[token]
-                if not start:
+                at = end - length[token]
+                if not at:
                     break
-                pair = last[start - 1], token
+                pair = last[at - 1] << 32 | token
                 fits = seen.get(pair)
                 if fits is None:
                     if len(seen) >= PAIRS:
                         seen.clear()
-                    fits = seen[pair] = last[start - 1] >= 0 and not self.crosses(*pair, len(self.merges))
+                    fits = seen[pair] = last[at - 1] >= 0 and not self.crosses(last[at - 1], token, len(self.merges))
                 if fits:
                     break
                 token = shorter[token]
+            states.append(state)
             last.append(token)
-        out, end = [], len(last)
-        while end:
-            token = last[end - 1]
-            if token < 0:
-                raise ValueError(f"the vocabulary can't spell {piece!r}")
-            out.append(token)
-            end -= length[token]
-        return out[::-1]
 
 
 @lru_cache(maxsize=4)
@@ -175,11 +190,19 @@ def encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
         raise ValueError(f"{path}: it can't be read from the file what cuts a text")
     tokenizer, words, own = load(path), vocabulary(path), specials(path)
     cut = lambda text: [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-    packed = lambda pieces: np.array([t for p in pieces for t in words.encode(p)], "<u4").tobytes()
+    packed = lambda pieces: np.array(list(chain.from_iterable(words.encode(pieces))), "<u4").tobytes()
+
+    def each(parts: list[list[str]]) -> list[bytes]:
+        """The bytes of the ids of lists of pieces."""
+        found = words.encode(list(chain.from_iterable(parts)))
+        flat, sizes = np.array(list(chain.from_iterable(found)), "<u4").tobytes(), iter(map(len, found))
+        ends = [0, *accumulate(4 * sum(islice(sizes, len(p))) for p in parts)]
+        return [flat[i:j] for i, j in pairwise(ends)]
+
     special = re.compile("|".join(re.escape(s) for s in sorted(own, key=len, reverse=True)) or "(?!)")
 
     if how == "bytes":
-        memo = Memo(lambda keys: [packed(cut(piece_of(k))) for k in keys])
+        memo = Memo(lambda keys: each([cut(piece_of(k)) for k in keys]))
 
         def plain(texts: Sequence[str]) -> list[bytes]:
             keys = [keys_of(t) if t else [] for t in texts]
@@ -188,7 +211,7 @@ def encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
 
     else:
         characters = Characters(tokenizer)
-        memo = Memo(lambda keys: [packed(p.translate(characters.bytes) for p in ((k,) if k.isascii() and k.isalpha() else characters.pieces(k))) for k in keys])
+        memo = Memo(lambda keys: each([[k] if k.isascii() and k.isalpha() else [p.translate(characters.bytes) for p in characters.pieces(k)] for k in keys]))
 
         def plain(texts: Sequence[str]) -> list[bytes]:
             known = [characters.all_known(t) for t in texts]
