@@ -15,7 +15,7 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filter.judge(pages, table(spark, sf_dir, "labels"), URL_RULES)
+    judged = url_filter.judge(pages, table(spark, sf_dir, "labels"), URL_RULES, support=0.0001, rows=3)
     return judged.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"), F.col("_verdict").alias("verdict"))
 
 
@@ -113,7 +113,7 @@ words AS (
   FROM parts),
 bad AS (SELECT doc_id AS page_id, min(quality) = 0 AS block FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 known AS (SELECT w.page_id, w.token, b.block FROM words w JOIN bad b USING (page_id)),
-least AS (SELECT greatest(5, ceil(0.001 * count(DISTINCT page_id))) AS n FROM known),
+least AS (SELECT greatest(3, ceil(0.0001 * count(DISTINCT page_id))) AS n FROM known),
 sets AS (
   SELECT page_id, block, [token] AS rule FROM known
   UNION ALL SELECT a.page_id, a.block, [a.token, b.token] FROM known a JOIN known b ON a.page_id = b.page_id AND a.token < b.token

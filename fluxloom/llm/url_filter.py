@@ -109,38 +109,52 @@ def _fullest(items: str, groups: int) -> Column:
     return F.array_max(F.transform(own, lambda g: F.size(F.filter(own, lambda h: h == g))))
 
 
+def classes(labelled: DataFrame, single: DataFrame) -> DataFrame:
+    """Rows (token, n, name, members) of the tokens of `single` that stand in just the same labelled urls:
+    in counts they are one token, which `name`, the least of them, stands for. Sets of urls are compared
+    by their number and 128 bits of their ids' hashes."""
+    urls = labelled.withColumn("id", F.monotonically_increasing_id()).select("id", F.explode("items").alias("token")).join(single.select("token", "n"), "token")
+    same = urls.groupBy("token", "n").agg(F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("b"))
+    groups = same.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return groups.select("n", F.col("members")[0].alias("name"), "members").withColumn("token", F.explode("members"))
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, rows: int = ROWS, confidence: float = CONFIDENCE, most: int = TOKENS) -> DataFrame:
-    """Rules (rule, token) from rows (url, block); token is the rarest one of the rule, under
-    which the inverted index has it.
+    """Rules (rule, token) from rows (url, block). A rule is a list of classes of tokens, of each of which
+    a url must hold one; token is one of the rarest class, under which the inverted index has the rule.
 
     Tokens that block by themselves need no company, so FP-growth works on the blocked urls'
     other tokens, of those that enough of them hold; a set that holds such a token fits only
-    where the token alone does. How many other labelled urls hold a set is counted by the index."""
+    where the token alone does. Tokens that all the same urls hold, such as the segments of one deep
+    path, go through it as one. How many other labelled urls hold a set is counted by the index."""
     labelled = materialize(labelled.select("block", tokens(F.col("url")).alias("items")).where("size(items) > 0"))
     n = labelled.count()
     if not n:
-        return labelled.sparkSession.createDataFrame([], "rule array<string>, token string")
+        return labelled.sparkSession.createDataFrame([], "rule array<array<string>>, token string")
     least = max(rows, math.ceil(support * n))
     single = labelled.select("block", F.explode("items").alias("token")).groupBy("token").agg(F.sum(F.col("block").cast("long")).alias("bad"), F.count("*").alias("n"))
     single = materialize(single.where(F.col("bad") >= least).withColumn("alone", F.col("bad") >= confidence * F.col("n")))
-    rules = single.where("alone").select(F.array("token").alias("rule"), "token")
+    rules = single.where("alone").select(F.array(F.array("token")).alias("rule"), "token")
     others = single.where("NOT alone").select("token", "n")
     if most == 1 or others.isEmpty():
         return rules
-    bad = labelled.where("block").withColumn("id", F.monotonically_increasing_id()).select("id", F.explode("items").alias("token")).join(others, "token")
+    others = materialize(classes(labelled, others))
+    bad = labelled.where("block").withColumn("id", F.monotonically_increasing_id()).select("id", F.explode("items").alias("token")).join(others.where("token = name").select("token"), "token")
     bad = bad.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("items")).where("size(items) > 1").select("items")
-    sets = _combinations(materialize(bad), least, most)
-    order = sets.select("rule", "bad", F.explode("rule").alias("token")).join(others, "token")
-    sets = materialize(order.groupBy("rule").agg(F.first("bad").alias("bad"), F.min(F.struct("n", "token")).getField("token").alias("token")))
-    good = held(labelled.where("NOT block").select("items"), sets).groupBy("rule").agg(F.count("*").alias("good"))
-    sets = sets.join(good, "rule", "left").where(F.col("bad") >= confidence * (F.col("bad") + F.coalesce("good", F.lit(0))))
-    return rules.unionByName(sets.select("rule", "token"))
+    sets = _combinations(materialize(bad), least, most).withColumn("set", F.monotonically_increasing_id())
+    order = sets.select("set", "bad", F.explode("rule").alias("token")).join(others, "token")
+    key = F.struct("n", "token", "members")
+    sets = materialize(order.groupBy("set").agg(F.first("bad").alias("bad"), F.array_sort(F.collect_list("members")).alias("rule"), F.min(key).alias("rarest")))
+    # The tokens of a class stand in the same labelled urls, so there one of them finds all.
+    good = held(labelled.where("NOT block").select("items"), sets.withColumn("token", F.col("rarest.token"))).groupBy("set").agg(F.count("*").alias("good"))
+    sets = sets.join(good, "set", "left").where(F.col("bad") >= confidence * (F.col("bad") + F.coalesce("good", F.lit(0))))
+    return rules.unionByName(sets.select("rule", F.explode("rarest.members").alias("token")))
 
 
 def held(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (items, ...) with each of the rules (rule, token) whose tokens they all hold."""
+    """Rows (items, ...) with each of the rules (rule, token) of whose classes they all hold a token."""
     found = rows.withColumn("token", F.explode("items")).join(rules, "token")
-    return found.where(F.forall("rule", lambda x: F.array_contains("items", x)))
+    return found.where(F.forall("rule", lambda c: F.arrays_overlap(c, F.col("items"))))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

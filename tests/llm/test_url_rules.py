@@ -43,15 +43,21 @@ def test_blocked_urls_equal_all_combinations(spark, monkeypatch, seed, wide, dep
     assert len(want) > 5
 
 
-def test_deep_urls_end_soon(spark):
-    """Ten urls that share forty segments, blocked as often as not, and one of a thousand."""
-    deep = "/".join(f"s{k}" for k in range(40))
-    pages = [(k, f"http://a.net/{deep}/{k}") for k in range(20)] + [(100 + k, f"http://b.net/{k % 7}/x") for k in range(280)] + [(999, "http://c.net/" + "/".join(map(str, range(1000))))]
-    labels = [(k, int(k % 3 > 0)) for k, _ in pages]
+@pytest.mark.parametrize(("shared", "most"), [(60, 3), (200, 2), (1000, 2)])
+def test_deep_urls_end_soon(spark, shared, most):
+    """Urls that share many segments, a third of them blocked, some of them by a word beside the segments;
+    others hold a part of the segments."""
+    deep = [f"s{k}" for k in range(shared)]
+    paths = [[*deep, str(k)] if k % 4 else [*deep, "bad", str(k)] for k in range(24)] + [["bad", str(k % 3)] for k in range(12)] + [[str(k % 7), "x"] for k in range(60)]
+    paths += [[deep[7], "bad"], [deep[shared - 1], "bad"], deep[:9], ["bad"]]
+    pages = [(k, "http://a.net/" + "/".join(p)) for k, p in enumerate(paths)]
+    labels = {k: k % 4 == 0 or k == 1 for k in range(96)} | {k: False for k in range(24, 36)}
     began = time.time()
-    out = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int"), [])
-    assert out.count() == len(pages)
-    assert time.time() - began < 60
+    out = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(k, int(not b)) for k, b in labels.items()], "doc_id long, quality int"), [], most=most)
+    found = {r["url"] for r in out.where("_verdict = 'block'").collect()}
+    assert time.time() - began < 30
+    assert found == blocked(pages, labels, 5, 0.5, most)
+    assert {pages[96][1], pages[97][1]} <= found and not {pages[98][1], pages[99][1]} & found
 
 
 def test_no_pair_of_labels_is_lost_to_repeats(spark):
