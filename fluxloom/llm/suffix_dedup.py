@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -377,14 +377,13 @@ def _common(docs: DataFrame, total: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)).astype(bool) if rows else np.zeros(1 << 20, bool)
 
 
-def even_names(spark: SparkSession, runs: int, parts: int) -> list[int]:
-    """Numbers of runs that Spark's hash deals out to its partitions in equal shares."""
-    found: dict[int, list[int]] = {p: [] for p in range(parts)}
-    tried = spark.range(8 * (runs + parts) + 64).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"))
-    for r in tried.collect():
-        found[r["p"]].append(r["id"])
-    names = sorted((k, p, n) for p, own in found.items() for k, n in enumerate(own))  # every partition's first, then its second
-    return [n for _, _, n in names[:runs]]
+def even_names(spark: SparkSession, runs: int, parts: int) -> DataFrame:
+    """Rows (number, name): names of runs that Spark's hash deals out to its partitions in equal shares.
+    Run r is to be in partition r % parts, under the next name that the hash sends there."""
+    tried = spark.range(8 * (runs + parts) + 64).select(F.col("id").cast("int").alias("name"))
+    tried = tried.withColumn("part", F.pmod(F.hash("name"), F.lit(parts)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
+    return tried.select((place * parts + F.col("part")).alias("number"), "name").where(F.col("number") < runs)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -398,10 +397,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     buckets = int(max(1, total * SENT // BUCKET_BYTES, min(256, total >> 16)))
     # Id and text name the run: copies of a text spread, and both passes see the same runs.
     parts, common = int(spark.conf.get("spark.sql.shuffle.partitions")), _common(docs, total)
-    run = F.pmod(F.xxhash64("id", "text"), F.lit(runs))
+    docs = docs.withColumn("run", F.pmod(F.xxhash64("id", "text"), F.lit(runs)).cast("int"))
     if runs <= EVEN * parts:
-        run = F.element_at(F.array(*map(F.lit, even_names(spark, runs, parts))), (run + 1).cast("int"))
-    docs = docs.withColumn("run", run.cast("int")).repartition(parts, "run")
+        # As many rows as runs, so at most EVEN for each partition. A run that got no name keeps one of its own.
+        docs = docs.join(F.broadcast(even_names(spark, runs, parts)), F.col("run") == F.col("number"), "left").withColumn("run", F.coalesce("name", -1 - F.col("run"))).drop("number", "name")
+    docs = docs.repartition(parts, "run")
 
     def sort(run: pa.Table) -> pa.Table:
         number, out = run["run"][0].as_py(), []

@@ -89,9 +89,10 @@ def test_merge_keeps_order_and_known_prefixes():
 def test_runs_fill_partitions_evenly(spark):
     from pyspark.sql import functions as F
 
-    for runs, parts in ((1, 7), (64, 12), (102, 51), (5, 5)):
-        names = S.even_names(spark, runs, parts)
-        assert len(set(names)) == runs
+    for runs, parts in ((1, 7), (64, 12), (102, 51), (5, 5), (32_000, 2000)):
+        found = S.even_names(spark, runs, parts).collect()
+        names = [r["name"] for r in found]
+        assert len(set(names)) == runs and sorted(r["number"] for r in found) == list(range(runs))
         rows = spark.createDataFrame([(n,) for n in names], "run int").groupBy(F.pmod(F.hash("run"), F.lit(parts)).alias("p")).count().collect()
         assert max(r["count"] for r in rows) == -(-runs // parts)
 
