@@ -14,6 +14,7 @@ from ..operators import stack as S
 from ..operators import towers as T
 from ..operators import training as L
 from ..sources import readers as R
+from ..sources.scratch import written
 from .registry import BINDINGS, bind, query
 from .scenes import stack
 
@@ -181,7 +182,7 @@ def v12_fit_combined(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def v13_fit_modified(spark: SparkSession, d: str) -> DataFrame:
     """The respiration of dark rows, then light and respiration together over all rows."""
-    rows = planted(spark, d)
+    rows = written(planted(spark, d).select("veg_class", "t2m", "evi", "W2", "par", "Ps", "Ws", "Ts", "nee"))
     dark = V.fit_modified_respiration(rows, [float(t) for t in range(0, 20, 2)], [k / 10 for k in range(1, 11)])
     whole = V.fit_modified_nee(rows, dark, LIGHT)
     return whole.join(dark.select("veg_class", F.col("mse").alias("dark_mse")), "veg_class")
