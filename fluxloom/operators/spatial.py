@@ -66,29 +66,52 @@ def central_mean(grid: DataFrame, value: str, n: int, size: int, x: str = "x", y
     return crop_box(grid, c - n // 2, c - n // 2, c + n // 2, c + n // 2, x, y).agg(F.avg(value).alias(value))
 
 
-def nearest_in_time(rows: DataFrame, scenes: DataFrame, keys: list[str], at: str = "day", last: str | None = None) -> DataFrame:
+def nearest_in_time(rows: DataFrame, scenes: DataFrame, keys: list[str], at: str = "day", last: str | None = None, buckets: int = 0) -> DataFrame:
     """As-of nearest join: the scene of the same keys with the least distance in time, the
     earlier of equals. Rows before 0 or after the last of all scenes are dropped.
 
-    Both sides are laid on one time line, so the join is a window over each series."""
+    Both sides are laid on one time line, so the join is a window over each series. Where one series
+    may hold a large part of all rows, `buckets` cuts the time from the first to the last scene in
+    as many parts, each a window of its own: the last scene before a part and the first one after it
+    are carried in from the other parts, over empty ones."""
     values = [c for c in scenes.columns if c not in (*keys, at)]
     scene = scenes.select(*keys, F.col(at).cast("double").alias("_t"), F.struct(F.col(at), *values).alias("_scene"), F.lit(None).alias("_row"))
     own = F.struct(*[F.col(c) for c in rows.columns if c not in keys])
     row = rows.select(*keys, F.col(at).cast("double").alias("_t"), F.lit(None).alias("_scene"), own.alias("_row"))
-    line = scene.unionByName(row)
-    w = Window.partitionBy(*keys).orderBy("_t", F.col("_row").isNotNull())
+    ends = F.broadcast(scenes.agg(F.min(F.col(at).cast("double")).alias("_first"), F.max(F.col(at).cast("double")).alias("_last")))  # one row
+    line, group = scene.unionByName(row), keys
+    if buckets:
+        width = F.greatest((F.col("_last") - F.col("_first")) / buckets, F.lit(1e-9))
+        place = F.greatest(F.lit(0), F.least(F.floor((F.col("_t") - F.col("_first")) / width), F.lit(buckets - 1)))
+        line, group = line.crossJoin(ends).withColumn("_bucket", place).drop("_first", "_last"), [*keys, "_bucket"]
+        line = line.unionByName(_carried(line.where("_row IS NULL"), keys, buckets).select(*line.columns))
+    w = Window.partitionBy(*group).orderBy("_t", F.col("_row").isNotNull())
     line = line.withColumn("_before", F.last("_scene", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # The way back has an order of its own: a frame up to the end would be read anew for each row.
-    back = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.col("_row").isNotNull().desc())
+    back = Window.partitionBy(*group).orderBy(F.desc("_t"), F.col("_row").isNotNull().desc())
     line = line.withColumn("_after", F.last("_scene", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     line = line.where("_row IS NOT NULL")
     early = F.col("_before").isNotNull() & (F.col("_after").isNull() | (F.col("_t") - F.col(f"_before.{at}") <= F.col(f"_after.{at}") - F.col("_t")))
     line = line.withColumn("_near", F.when(early, F.col("_before")).otherwise(F.col("_after"))).where("_near IS NOT NULL")
-    line = line.crossJoin(F.broadcast(scenes.agg(F.max(at).alias("_last")))).where(F.col("_t").between(0, F.col("_last")))
+    line = line.crossJoin(ends).where(F.col("_t").between(0, F.col("_last")))
     mine = [F.col(f"_row.{c}").alias(c) for c in rows.columns if c not in keys]
     return line.select(*keys, *mine, F.col(f"_near.{at}").alias(last or f"scene_{at}"), *[F.col(f"_near.{v}").alias(v) for v in values])
 
 
+def _carried(scenes: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """For each of the buckets of each series the nearest scene in the buckets before it, and after it."""
+    ends = scenes.groupBy(*keys, "_bucket").agg(F.min_by("_scene", "_t").alias("_early"), F.max_by("_scene", "_t").alias("_late"), F.min("_t").alias("_t0"), F.max("_t").alias("_t1"))
+    # A series has no more rows here than there are buckets.
+    every = scenes.select(*keys).distinct().withColumn("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    ends = every.join(ends, [*keys, "_bucket"], "left")
+    there = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    late, early = F.struct(F.col("_t1").alias("_t"), F.col("_late").alias("_scene")), F.struct(F.col("_t0").alias("_t"), F.col("_early").alias("_scene"))
+    met = F.array(F.last(F.when(F.col("_late").isNotNull(), late), True).over(there), F.last(F.when(F.col("_early").isNotNull(), early), True).over(back))
+    found = ends.withColumn("_met", met).select(*keys, "_bucket", F.explode("_met").alias("_c")).where("_c IS NOT NULL")
+    return found.select(*keys, "_bucket", "_c._t", "_c._scene", F.lit(None).alias("_row"))
+
+
 def extract_points(grid: DataFrame, sites: DataFrame, values: list[str], method: str = "nearest", x0: float = 0.0, dx: float = 1.0, y0: float = 0.0, dy: float = 1.0, more: tuple[str, ...] = ()) -> DataFrame:
     """Values of a regular grid (integer columns x, y) at sites (site, px, py): the nearest
     pixel, or bilinear of the four around. `more` are grid columns to keep apart, such as a day."""

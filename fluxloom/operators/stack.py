@@ -96,14 +96,42 @@ def concat(parts: list[DataFrame]) -> DataFrame:
 
 def smear(grid: DataFrame, value: str, size: int = 3, keys: list[str] = PIXEL, kernel: dict[tuple[int, int], float] | None = None) -> DataFrame:
     """Kernel mean over an integer grid. Missing pixels are left out of the mean, a missing
-    centre stays missing, and what lies outside of the raster counts as 0."""
-    half = size // 2
-    kernel = kernel or {(i, j): 1.0 for i in range(-half, half + 1) for j in range(-half, half + 1)}
+    centre stays missing, and what lies outside of the raster counts as 0. Without a kernel all pixels
+    of a square count alike, and a large square costs what a small one does."""
+    if kernel is None:
+        return _box_mean(grid, value, size // 2, keys)
     offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(w)).alias("w")) for (i, j), w in kernel.items()]))
     x, y = keys
     spread = grid.select(x, y, value, offsets.alias("o"))
     spread = spread.select((F.col(x) + F.col("o.i")).alias(x), (F.col(y) + F.col("o.j")).alias(y), (F.col(value) * F.col("o.w")).alias("s"), F.when(F.col(value).isNull(), F.col("o.w")).otherwise(0.0).alias("lost"))
     sums = spread.groupBy(x, y).agg(F.sum("s").alias("_s"), F.sum("lost").alias("_lost"))
-    total = float(sum(kernel.values()))
-    joined = grid.join(sums, keys, "left")
+    return _mean(grid.join(sums, keys, "left"), value, float(sum(kernel.values())))
+
+
+def _mean(joined: DataFrame, value: str, total: float) -> DataFrame:
     return joined.withColumn(value, F.when(col(value).isNotNull(), F.try_divide("_s", F.lit(total) - F.col("_lost")))).drop("_s", "_lost")
+
+
+def _box_mean(grid: DataFrame, value: str, half: int, keys: list[str]) -> DataFrame:
+    """The mean of a square by sums along one axis, then the other: each is the difference of two
+    running sums. The raster is filled up first, column by column, as sums at absent pixels count too."""
+    x, y = keys
+    rows = grid.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.coalesce(F.col(value), F.lit(0.0)).alias("_s"), F.col(value).isNull().cast("double").alias("_lost"))
+    edges = F.broadcast(rows.agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1")))  # one row
+    lines = rows.select("_y").distinct().crossJoin(edges).select(F.explode(F.sequence("_x0", "_x1")).alias("_x"), "_y")
+    dense = lines.join(rows.groupBy("_x", "_y").agg(F.sum("_s").alias("_s"), F.sum("_lost").alias("_lost")), ["_x", "_y"], "left").na.fill(0.0, ["_s", "_lost"])
+    across = _moving_sums(dense, ["_y"], "_x", half)
+    # Absent lines of the raster hold nothing, so distance along a column is by y, not by rows.
+    gaps = across.groupBy("_x").agg(F.min("_y").alias("_y0"), F.max("_y").alias("_y1")).select("_x", F.explode(F.sequence("_y0", "_y1")).alias("_y"))
+    down = _moving_sums(gaps.join(across, ["_x", "_y"], "left").na.fill(0.0, ["_s", "_lost"]), ["_x"], "_y", half)
+    sums = down.select(F.col("_x").alias(x), F.col("_y").alias(y), "_s", "_lost")
+    return _mean(grid.join(sums, keys, "left"), value, float((2 * half + 1) ** 2))
+
+
+def _moving_sums(dense: DataFrame, keys: list[str], along: str, half: int) -> DataFrame:
+    """Sums of _s and _lost over 2 half + 1 neighbours along a line without gaps."""
+    line = Window.partitionBy(*keys).orderBy(along)
+    so_far, whole = line.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys)
+    held = dense.select(*keys, along, *[F.sum(c).over(so_far).alias(c) for c in ("_s", "_lost")])
+    moved = lambda c: F.coalesce(F.lead(c, half).over(line), F.max_by(c, along).over(whole)) - F.coalesce(F.lag(c, half + 1).over(line), F.lit(0.0))
+    return held.select(*keys, along, *[moved(c).alias(c) for c in ("_s", "_lost")])

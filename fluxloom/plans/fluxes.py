@@ -58,6 +58,20 @@ def j01_nearest_scene(spark: SparkSession, d: str) -> DataFrame:
     return near.select("x", "y", "hour", "ok", "scene_day", r6("evi").alias("evi"), r6("lswi").alias("lswi"))
 
 
+@query("met_obs", "stack", sql="""
+, h AS (SELECT CASE WHEN ok % 3 > 0 THEN 7 ELSE x END AS x, CASE WHEN ok % 3 > 0 THEN 3 ELSE y END AS y, hour, ok, day FROM met_obs)
+SELECT m.x, m.y, m.hour, m.ok, CASE WHEN a.day IS NULL OR m.day - b.day <= a.day - m.day THEN b.day ELSE a.day END AS scene_day,
+       round(CASE WHEN a.day IS NULL OR m.day - b.day <= a.day - m.day THEN b.evi ELSE a.evi END, 6) AS evi
+FROM h m ASOF LEFT JOIN stack b ON m.x = b.x AND m.y = b.y AND m.day >= b.day ASOF LEFT JOIN stack a ON m.x = a.x AND m.y = a.y AND m.day <= a.day
+WHERE m.day >= 0 AND m.day <= (SELECT max(day) FROM stack) AND (a.day IS NOT NULL OR b.day IS NOT NULL)""")
+def j01_nearest_scene_hot_pixel(spark: SparkSession, d: str) -> DataFrame:
+    """Two thirds of the weather's rows are those of one pixel, whose time is cut in parts."""
+    hot = lambda c, v: F.when(F.col("ok") % 3 > 0, v).otherwise(F.col(c))
+    rows = bind(spark, d, "met_obs").select(hot("x", 7).alias("x"), hot("y", 3).alias("y"), "hour", "ok", "day")
+    near = G.nearest_in_time(rows, written(stack(spark, d).select("x", "y", "day", "evi")), ["x", "y"], buckets=64)
+    return near.select("x", "y", "hour", "ok", "scene_day", r6("evi").alias("evi"))
+
+
 @query("features", sql="""
 SELECT x, y, hour, ok, veg_class::BIGINT AS veg_class, round(tcorr,6)+0e0 AS tcorr, round(ts,6) AS ts, round(ps,6) AS ps, round(ws,6)+0e0 AS ws, round(w2,6)+0e0 AS w2,
        round(CASE WHEN t2m < 5 THEN 5e0 - 0.5e0 * (5e0 - t2m) ELSE t2m END, 6)+0e0 AS td, round(par, 6) AS par FROM features""")

@@ -228,6 +228,13 @@ def a10_smear(spark: SparkSession, d: str) -> DataFrame:
     return S.smear(grid, "v").withColumn("v", r6("v"))
 
 
+@query("stack", sql=SMEAR.replace("VALUES (-1), (0), (1)", "SELECT unnest(range(-7, 8))").replace("9 - s.lost", "225 - s.lost"))
+def a10_smear_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Squares of 15 x 15 pixels, at the edges wider than the raster."""
+    grid = stack(spark, d).groupBy("x", "y").agg(F.avg(F.when((F.col("x") * 7 + F.col("y")) % 5 != 0, F.col("evi"))).alias("v"))
+    return S.smear(grid, "v", 15).withColumn("v", r6("v"))
+
+
 @query("stack", sql="""SELECT round(avg(v), 6) AS v FROM (SELECT x, y, avg(evi) AS v FROM stack GROUP BY x, y) WHERE x BETWEEN 4 AND 6 AND y BETWEEN 4 AND 6""")
 def a11_central_mean(spark: SparkSession, d: str) -> DataFrame:
     grid = stack(spark, d).groupBy("x", "y").agg(F.avg("evi").alias("v"))

@@ -5,6 +5,8 @@ import pytest
 
 from fluxloom.operators import quantiles as Q
 from fluxloom.operators import smoothing as H
+from fluxloom.operators import spatial as G
+from fluxloom.operators import stack as S
 
 
 def series(n, seed):
@@ -68,3 +70,31 @@ def test_quantiles_of_large_groups_equal_percentile(spark):
     every = np.concatenate(list(groups.values()))
     assert Q.exact_quantiles(df, [], "v", {"m": 0.5}, small=100, few=10).first().m == pytest.approx(np.median(every), rel=1e-12)
     assert Q.exact_quantiles(df.limit(0), ["k"], "v", {"m": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("buckets", [0, 1, 3, 50, 1000])
+def test_nearest_scene_in_buckets_of_time(spark, buckets):
+    rng = np.random.default_rng(6)
+    scenes = [(p, int(d), float(d) + p) for p in range(4) for d in sorted({*rng.integers(0, 40, 5), *rng.integers(300, 420, 6)})] + [(4, 200, 1.5)]
+    rows = [(int(rng.integers(0, 6)) if k % 3 else 0, float(rng.integers(-10, 440)) / 2, k) for k in range(600)]
+    got = G.nearest_in_time(spark.createDataFrame(rows, "p long, day double, k long"), spark.createDataFrame(scenes, "p long, day long, v double"), ["p"], buckets=buckets)
+    end, want = max(d for _, d, _ in scenes), []
+    for p, t, k in rows:
+        own = [(abs(t - d), d, v) for q, d, v in scenes if q == p]
+        if own and 0 <= t <= end:
+            _, d, v = min(own)
+            want.append((p, t, k, d, v))
+    assert sorted((r.p, r.day, r.k, r.scene_day, r.v) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 3, 9, 31])
+def test_box_means_equal_copies_of_each_pixel(spark, size):
+    rng = np.random.default_rng(7)
+    cells = {(int(x), int(y)): None if rng.random() < 0.2 else float(rng.normal()) for x, y in rng.integers(-4, 18, (150, 2))}
+    grid = spark.createDataFrame([(x, y, v) for (x, y), v in cells.items()], "x long, y long, v double")
+    half = size // 2
+    copies = {(i, j): 1.0 for i in range(-half, half + 1) for j in range(-half, half + 1)}
+    rows = lambda df: {(r.x, r.y): r.v for r in df.collect()}
+    got, want = rows(S.smear(grid, "v", size)), rows(S.smear(grid, "v", size, kernel=copies))
+    assert set(got) == set(cells) and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+    assert all(v is None or v == pytest.approx(want[k], abs=1e-9) for k, v in got.items())
