@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import masks as M
+from ..sources import archive as A
 from ..sources import readers as R
 from ..sources.scratch import scratch
 from .registry import bind, query
@@ -156,3 +157,46 @@ def s10_land_cover_files(spark: SparkSession, d: str) -> DataFrame:
         read = R.read_land_cover(spark, path, product).select(F.lit(product).alias("product"), "fx", "fy", F.col("code").cast("long").alias("code"), "resolution")
         out = read if out is None else out.unionByName(read)
     return out
+
+
+def _scene_archive(spark: SparkSession, d: str) -> DataFrame:
+    """Stored integers in a file for each tile and month."""
+    path = scratch(spark, "archive")
+    px = bind(spark, d, "px_obs")
+    tile = F.format_string("h%02dv%02d", F.floor(F.col("x") / 10), F.floor(F.col("y") / 5))
+    px = px.select(tile.alias("tile"), F.date_format("scene_ts", "yyyyMM").alias("month"), F.col("scene_ts").alias("start"), F.timestamp_micros(F.unix_micros("scene_ts") + 8 * 86_400_000_000).alias("stop"), "x", "y", (2000 + F.floor(F.col("nir") * 100)).cast("int").alias("nir"))
+    px.repartition("tile", "month").write.partitionBy("tile", "month").parquet(path)
+    return A.read_scene_archive(spark, path, ["nir", "red"])
+
+
+ARCHIVE = """
+SELECT 'h' || lpad((x // 10)::VARCHAR, 2, '0') || 'v' || lpad((y // 5)::VARCHAR, 2, '0') AS tile, strftime(scene_ts, '%Y%m')::BIGINT AS month, count(*) AS n, sum(2000 + floor(nir * 100))::BIGINT AS nir, 0::BIGINT AS red
+FROM px_obs {} GROUP BY 1, 2"""
+
+
+def _by_month(px: DataFrame) -> DataFrame:
+    return px.groupBy("tile", F.col("month").cast("long").alias("month")).agg(F.count("*").alias("n"), F.sum("nir").alias("nir"), F.count("red").alias("red"))
+
+
+@query("px_obs", sql=ARCHIVE.format(""))
+def s09_scene_archive(spark: SparkSession, d: str) -> DataFrame:
+    """All files; none of them has the second band."""
+    return _by_month(_scene_archive(spark, d))
+
+
+@query("px_obs", sql=ARCHIVE.format("WHERE x >= 10 AND y < 5 AND year(scene_ts) = 1996 AND month(scene_ts) BETWEEN 4 AND 9"))
+def s09_scene_archive_season(spark: SparkSession, d: str) -> DataFrame:
+    """One tile and season: six of the archive's files are opened."""
+    return _by_month(_scene_archive(spark, d).where("tile = 'h01v00' AND month BETWEEN 199604 AND 199609"))
+
+
+@query("tower_obs", sql="""
+SELECT 'DE-S' || lpad(site::VARCHAR, 2, '0') AS site, strftime(make_timestamp(hh * 1800000000), '%Y')::BIGINT AS year, strftime(make_timestamp(hh * 1800000000), '%Y%m%d%H%M')::BIGINT AS stamp, round(nee, 4)+0e0 AS nee FROM tower_obs""")
+def s01_tower_archive(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV file for each site and year."""
+    t = bind(spark, d, "tower_obs")
+    path = scratch(spark, "towers")
+    name = F.concat(F.lit("FLX_DE-S"), F.lpad(F.col("site").cast("string"), 2, "0"), F.lit("_"), F.date_format("t", "yyyy"))
+    t.select(name.alias("file"), F.date_format("t", "yyyyMMddHHmm").alias("TIMESTAMP_START"), F.round("nee", 4).alias("NEE_VUT_REF")).repartition("file").write.option("header", True).partitionBy("file").csv(path)
+    read = A.read_tower_archive(spark, path, ["TIMESTAMP_START", "NEE_VUT_REF"])
+    return read.select("site", F.col("year").cast("long").alias("year"), F.col("TIMESTAMP_START").alias("stamp"), (F.col("NEE_VUT_REF") + F.lit(0.0)).alias("nee"))
