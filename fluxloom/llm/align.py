@@ -29,7 +29,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,7 @@ HOT = 1 << 14
 MEMO = 24 << 20
 #: A space that begins a token of both tokenizers.
 CUT = re.compile(r"(?<=[^\s▁]) (?=\S)")
+LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 LINK = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())])
 ADDED = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("digest", pa.string()), ("links", pa.list_(LINK)), ("groups", pa.string())]
 ADDED_DDL = "n_a long, n_b long, n_groups long, digest string, links array<struct<a:int,b:int,n:int>>, groups string"
@@ -64,6 +65,7 @@ class ByteLevel:
         self.tokenizer.no_padding()
         self.tokenizer.encode_special_tokens = True
         letters, names = byte_letters(), {i: s for s, i in self.tokenizer.get_vocab().items()}
+        self.letter = {b: c for c, b in letters.items()}
         spell = lambda s: bytes(letters[c] for c in s) if all(c in letters for c in s) else s.encode()
         self.tokens = [spell(names.get(i, "")) for i in range(max(names) + 1)]
 
@@ -71,8 +73,10 @@ class ByteLevel:
         return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
     def words(self, keys: Sequence[str]) -> list[list[int]]:
-        one, model = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids, self.tokenizer.model
-        return [[t.id for t in model.tokenize(SPACE + k)] if k.isascii() and k.isalpha() else one(k[1:] if k[:1] == GLUED else " " + k) for k in keys]
+        one, piece = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids, self.tokenizer.model.tokenize
+        byte = self.letter.__getitem__
+        # A space and Latin letters are one piece, which the model alone can take.
+        return [[t.id for t in piece(SPACE + k if k.isascii() else SPACE + "".join(map(byte, k.encode())))] if LATIN(k) else one(k[1:] if k[:1] == GLUED else " " + k) for k in keys]
 
 
 class Pieces:
@@ -121,14 +125,21 @@ def encoder(first: str, second: str) -> Callable[[Sequence[str]], list[tuple[byt
     """Texts -> the bytes of their ids by both files; None for texts that either can't spell."""
     sides = side(first), side(second)
 
-    def checked(text: bytes, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        if any(b"".join([s.tokens[i] for i in ids]) != text for s, ids in zip(sides, (a, b), strict=True)):
-            return None
-        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()
+    def spells(text: bytes, ids: Sequence[Sequence[int]]) -> bool:
+        return all(b"".join(map(s.tokens.__getitem__, i)) == text for s, i in zip(sides, ids, strict=True))
+
+    def packed(ids: Sequence[Sequence[int]]) -> list[bytes]:
+        flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
+        return [flat[4 * i : 4 * j] for i, j in pairwise([0, *accumulate(map(len, ids))])]
 
     def new(keys: Sequence[str]) -> list[tuple[bytes, bytes] | None]:
-        spelled = [(k[1:] if k[:1] == GLUED else " " + k).encode() for k in keys]
-        return [checked(*x) for x in zip(spelled, *(s.words(keys) for s in sides), strict=True)]
+        a, b = (s.words(keys) for s in sides)
+        right = [spells((k[1:] if k[:1] == GLUED else " " + k).encode(), ids) for k, ids in zip(keys, zip(a, b, strict=True), strict=True)]
+        return [x if r else None for x, r in zip(zip(packed(a), packed(b), strict=True), right, strict=True)]
+
+    def alone(text: str) -> tuple[bytes, bytes] | None:
+        ids = [s.whole(text) for s in sides] if text else []
+        return tuple(packed(ids)) if ids and spells((" " + text).encode(), ids) else None
 
     memo, by_words = Memo(new, MEMO), all(s.by_words for s in sides)
 
@@ -139,7 +150,7 @@ def encoder(first: str, second: str) -> Callable[[Sequence[str]], list[tuple[byt
         out = []
         for t, c, k in zip(texts, cut, keys, strict=True):
             if not c:
-                out.append(checked((" " + t).encode(), *(s.whole(t) for s in sides)) if t else None)
+                out.append(alone(t))
                 continue
             found = list(map(memo.__getitem__, k))
             out.append(None if None in found else (b"".join([x for x, _ in found]), b"".join([y for _, y in found])))
@@ -154,7 +165,7 @@ def cuts(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
     behind_a: list[int] = []
     behind_b: list[int] = []
     while i < len(a):
-        run, step, grows = 0, 1, True
+        run, step, grows = 0, 2, True
         while step:
             ahead = a[i + run : i + run + step]
             if ahead and ahead == b[j + run : j + run + step]:
