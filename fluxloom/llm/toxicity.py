@@ -223,7 +223,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     share = int(min(1.0, sample / n) * (1 << 30))
     chosen = labels.where(F.pmod(F.xxhash64("label"), F.lit(1 << 30)) <= share)  # about `sample` rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label"))
-    texts = different(materialize(texts.select(F.xxhash64("id", "text").alias("id"), "text", "toxic")))
+    texts = materialize(texts.select(F.xxhash64("id", "text").alias("id"), "text", "toxic").dropDuplicates(["id"]))
+    rows = texts.count()
+    if rows > 2 * sample:  # ids with many texts
+        texts = texts.where(F.pmod(F.xxhash64("id", F.lit("row")), F.lit(1 << 30)) <= int(sample / rows * (1 << 30)))
+    texts = different(texts)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()

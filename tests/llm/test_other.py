@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -230,6 +232,67 @@ def test_scores_tell_abuse_from_quotation(spark):
     assert toxicity.score(docs.where(F.lit(False)), model).count() == 0
 
 
+def plain_score(text, model):
+    """By the definition: each word against each term, then the words around each hit."""
+    terms, known, weights = model
+    low = (text or "").lower()
+    places = [(m.group(), *m.span()) for m in re.finditer(r"[^\W_]+", low)]
+    hits = []
+    for word, *_ in places:
+        limit = 0 if len(word) < 4 else 2 if len(word) >= 9 else 1
+        near = [(0, 0.0, word)] if word in terms else []
+        if not near and word not in known and limit:
+            near = [(levenshtein(word, t), -terms[t][0], t) for t in terms if abs(len(t) - len(word)) <= limit]
+            near = [n for n in near if n[0] <= min(limit, (len(n[2]) >= 5) + (len(n[2]) >= 9))]
+        edits, _, term = min(near) if near and word not in known else (0, 0, None)
+        strength = terms[term][edits > 0] if term else 0
+        hits.append((edits, strength) if strength > 0 else None)
+    sums = [0.0] * 7
+    for k, hit in enumerate(hits):
+        if not hit:
+            continue
+        edits, strength = hit
+        a, b = max(0, k - 6), min(len(places), k + 7)
+        around = [w for w, *_ in places[a:b]]
+        marks = set("\"“”„«»")
+        before, after = low[places[a][1] : places[k][1]], low[places[k][2] : places[b - 1][2] + 1]
+        if marks & set(before) and marks & set(after) or toxicity.REPORTING & set(around):
+            sums[2] += strength
+            continue
+        less = strength * [1.0, 0.7, 0.5][edits]
+        sums[1 if edits else 0] += less
+        sums[3] += strength if any(hits[j] for j in range(a, b) if j != k) or toxicity.ADDRESSING & set(around) else 0
+        sums[4] = max(sums[4], less)
+    found = [w for (w, *_), h in zip(places, hits, strict=True) if h]
+    sums[5], sums[6] = 100 * len(found) / (len(places) + 20), len(set(found))
+    x = np.log1p(sums) if found else np.zeros(7)
+    return 1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1])))
+
+
+def test_toxicity_query_equals_plain_scores(spark):
+    from fluxloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model[0]
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = queries.op2_toxicity(spark, sf).collect()
+    assert len(found) == len(rows) and any(r["predicted"] for r in found)
+    for r in found:
+        want = plain_score(rows[r["doc_id"]], model)
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == int(want >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_many_texts_of_one_labelled_id_are_sampled(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {k} with vile{k % 9}") for k in range(900)] + [(2, "clean words here")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "different", lambda t: seen.append(t.count()) or t)
+    toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), folds=10**6, sample=100)
+    assert 50 < seen[0] < 200
+
+
 # urls
 
 
