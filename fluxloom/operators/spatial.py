@@ -118,13 +118,13 @@ def extract_points(grid: DataFrame, sites: DataFrame, values: list[str], method:
     fx, fy = (F.col("px") - x0) / dx, (F.col("py") - y0) / dy
     if method == "nearest":
         at = sites.withColumns({"x": F.round(fx).cast("long"), "y": F.round(fy).cast("long")})
-        return grid.join(F.broadcast(at), ["x", "y"]).select("site", *more, *values)
+        return grid.join(at, ["x", "y"]).select("site", *more, *values)
     corners = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
     at = sites.withColumns({"_fx": fx, "_fy": fy}).withColumn("_c", corners)
     ux, uy = F.col("_fx") - F.floor("_fx"), F.col("_fy") - F.floor("_fy")
     weight = F.when(F.col("_c.i") == 1, ux).otherwise(1 - ux) * F.when(F.col("_c.j") == 1, uy).otherwise(1 - uy)
     at = at.select("site", (F.floor("_fx") + F.col("_c.i")).alias("x"), (F.floor("_fy") + F.col("_c.j")).alias("y"), weight.alias("_w")).where("_w > 0")
-    joined = grid.join(F.broadcast(at), ["x", "y"])
+    joined = grid.join(at, ["x", "y"])
     whole = F.abs(F.sum("_w") - 1) < 1e-9
     return joined.groupBy("site", *more).agg(*[F.when(whole & (F.count(v) == F.count("*")), F.sum(F.col(v) * F.col("_w"))).alias(v) for v in values])
 
