@@ -202,6 +202,14 @@ def w02_w04_w05_lowess(spark: SparkSession, d: str) -> DataFrame:
     return H.lowess(own, "evi", days, S.smoothing_keys(own))
 
 
+@query()
+def w02_lowess_own_days(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed onto the days of the stack's own scenes, the default."""
+    own = written(stack(spark, d).select("x", "y", "day", "evi"))
+    days = [r["day"] for r in S.target_days(spark, 0, None, own).collect()]
+    return H.lowess(own, "evi", days, S.smoothing_keys(own))
+
+
 @query()
 def w03_kalman(spark: SparkSession, d: str) -> DataFrame:
     own = written(stack(spark, d).select("x", "y", "day", "evi"))
