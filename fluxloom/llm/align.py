@@ -12,10 +12,11 @@ counts of the most frequent pairs (HOT at most, so that they can be sent to ever
 looked up where the document is, all other pairs meet their counts in a join; such a pair is rare,
 so no key of the join is large.
 
-Files: .json with a byte-level BPE, .model of sentencepiece that puts a space before a text. Words
-are encoded once and kept in a memo bounded in bytes, where the files prove that words don't
-depend on each other: no piece of the .model holds the two characters at a cut. Other files take
-whole texts.
+Files: .json with a byte-level BPE, .model of sentencepiece that puts a space before a text. Where the
+files prove that words don't depend on each other (no piece of the .model holds the two characters
+at a cut), a batch's new words are encoded and their end arrays walked one behind the other; their
+groups are kept in a memo bounded in bytes, and a text's are those of its words. Other files and
+texts are walked whole.
 
 Defined results: null and empty texts, and texts whose tokens don't spell the space and the text,
 have no tokens: numbers 0 and an empty digest; special strings are plain text; repeated rows count
@@ -30,6 +31,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate, chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,8 @@ from .token_counts import BLANK, GLUED, RUNS, SPACE, Memo, kind, load, mark
 
 #: Pairs of ids whose counts are sent to the tasks, 20 bytes each.
 HOT = 1 << 14
-#: Bytes of the memo's keys and values in each generation.
-MEMO = 24 << 20
+#: Bytes that the memo counts in each of its two generations.
+MEMO = 64 << 20
 #: A space that begins a token of both tokenizers.
 CUT = re.compile(r"(?<=[^\s▁]) (?=\S)")
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
@@ -120,45 +122,6 @@ def keys_of(text: str) -> list[str]:
     return [text[i:j] for i, j in zip([0, *(e + 1 for e in ends)], [*ends, len(text)], strict=True)]
 
 
-@lru_cache(maxsize=4)
-def encoder(first: str, second: str) -> Callable[[Sequence[str]], list[tuple[bytes, bytes] | None]]:
-    """Texts -> the bytes of their ids by both files; None for texts that either can't spell."""
-    sides = side(first), side(second)
-
-    def spells(text: bytes, ids: Sequence[Sequence[int]]) -> bool:
-        return all(b"".join(map(s.tokens.__getitem__, i)) == text for s, i in zip(sides, ids, strict=True))
-
-    def packed(ids: Sequence[Sequence[int]]) -> list[bytes]:
-        flat = np.array(list(chain.from_iterable(ids)), "<u4").tobytes()
-        return [flat[4 * i : 4 * j] for i, j in pairwise([0, *accumulate(map(len, ids))])]
-
-    def new(keys: Sequence[str]) -> list[tuple[bytes, bytes] | None]:
-        a, b = (s.words(keys) for s in sides)
-        right = [spells((k[1:] if k[:1] == GLUED else " " + k).encode(), ids) for k, ids in zip(keys, zip(a, b, strict=True), strict=True)]
-        return [x if r else None for x, r in zip(zip(packed(a), packed(b), strict=True), right, strict=True)]
-
-    def alone(text: str) -> tuple[bytes, bytes] | None:
-        ids = [s.whole(text) for s in sides] if text else []
-        return tuple(packed(ids)) if ids and spells((" " + text).encode(), ids) else None
-
-    memo, by_words = Memo(new, MEMO), all(s.by_words for s in sides)
-
-    def encode(texts: Sequence[str]) -> list[tuple[bytes, bytes] | None]:
-        cut = [bool(t) and by_words and GLUED not in t for t in texts]
-        keys = [keys_of(t) if c else [] for t, c in zip(texts, cut, strict=True)]
-        memo.learn(list(chain.from_iterable(keys)))
-        out = []
-        for t, c, k in zip(texts, cut, keys, strict=True):
-            if not c:
-                out.append(alone(t))
-                continue
-            found = list(map(memo.__getitem__, k))
-            out.append(None if None in found else (b"".join([x for x, _ in found]), b"".join([y for _, y in found])))
-        return out
-
-    return encode
-
-
 def cuts(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
     """The indices behind the groups' last tokens, for two lists of ascending ends that end alike."""
     i = j = 0
@@ -193,15 +156,26 @@ def cuts(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
     return behind_a, behind_b
 
 
+class Aligned(NamedTuple):
+    """A text's or word's groups as they are written, its linked pairs (first id << 32 | second id) as
+    bytes, and its numbers of tokens."""
+
+    groups: bytes
+    links: bytes
+    n_a: int
+    n_b: int
+
+
 @lru_cache(maxsize=4)
-def aligner(first: str, second: str) -> Callable[[bytes, bytes], tuple]:
-    """Bytes of both ids of a text -> numbers of tokens and groups, the groups, the linked pairs and their numbers."""
+def walker(first: str, second: str) -> Callable[[Sequence[Sequence[int]], Sequence[Sequence[int]]], list[Aligned]]:
+    """Ids of texts by both files -> their alignments. The texts' end arrays are laid one behind the
+    other and walked at once; each text's end is one of both arrays, so no group goes over it."""
     a_tokens, b_tokens = side(first).tokens, side(second).tokens
     a_sizes, b_sizes = (np.array([len(t) for t in tokens], np.int64) for tokens in (a_tokens, b_tokens))
     shown = [b"%d%c" % (i, c) for tokens, ends in ((a_tokens, b",|"), (b_tokens, b",;")) for i in range(len(tokens)) for c in ends].__getitem__
 
-    def aligned(a: bytes, b: bytes) -> tuple:
-        a, b = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u4").astype(np.int64)
+    def walk(a_ids: Sequence[Sequence[int]], b_ids: Sequence[Sequence[int]]) -> list[Aligned]:
+        a, b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (a_ids, b_ids))
         a_behind, b_behind = (np.array(x, np.int64) for x in cuts(np.cumsum(a_sizes[a]).tolist(), np.cumsum(b_sizes[b]).tolist()))
         a_in, b_in = np.diff(a_behind, prepend=0), np.diff(b_behind, prepend=0)
         written = np.empty(len(a) + len(b), np.int64)
@@ -210,22 +184,65 @@ def aligner(first: str, second: str) -> Callable[[bytes, bytes], tuple]:
         written[a_at], written[b_at] = 2 * a, 2 * (b + len(a_tokens))
         written[a_at[a_behind - 1]] += 1
         written[b_at[b_behind - 1]] += 1
-        groups = b"".join(map(shown, written.tolist()))[:-1]
-        pairs, times = np.unique(a[a_behind - 1] << 32 | b[b_behind - 1], return_counts=True)
-        return len(a), len(b), len(a_behind), groups, pairs, times
+        said = list(map(shown, written.tolist()))
+        links = (a[a_behind - 1] << 32 | b[b_behind - 1]).tobytes()
+        a_n, b_n = list(map(len, a_ids)), list(map(len, b_ids))
+        a_ends = list(accumulate(a_n, initial=0))
+        ends = [x + y for x, y in zip(a_ends, accumulate(b_n, initial=0), strict=True)]
+        groups = [8 * g for g in np.searchsorted(a_behind, a_ends, "right").tolist()]
+        return [Aligned(b"".join(said[i:j])[:-1], links[g:h], m, n) for (i, j), (g, h), m, n in zip(pairwise(ends), pairwise(groups), a_n, b_n, strict=True)]
+
+    return walk
+
+
+@lru_cache(maxsize=4)
+def aligner(first: str, second: str) -> Callable[[Sequence[str]], list[Aligned | None]]:
+    """Texts -> their alignments; None for texts that either file can't spell."""
+    sides, walk = (side(first), side(second)), walker(first, second)
+
+    def spells(text: bytes, ids: Sequence[Sequence[int]]) -> bool:
+        return all(b"".join(map(s.tokens.__getitem__, i)) == text for s, i in zip(sides, ids, strict=True))
+
+    def checked(texts: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[Aligned | None]:
+        right = [spells(*x) for x in zip(texts, zip(a, b, strict=True), strict=True)]
+        found = iter(walk(*([i for i, r in zip(x, right, strict=True) if r] for x in (a, b))))
+        return [next(found) if r else None for r in right]
+
+    def new(keys: Sequence[str]) -> list[Aligned | None]:
+        return checked([(k[1:] if k[:1] == GLUED else " " + k).encode() for k in keys], *(s.words(keys) for s in sides))
+
+    memo, by_words = Memo(new, MEMO), all(s.by_words for s in sides)
+
+    def align_texts(texts: Sequence[str]) -> list[Aligned | None]:
+        cut = [bool(t) and by_words and GLUED not in t for t in texts]
+        keys = [keys_of(t) if c else [] for t, c in zip(texts, cut, strict=True)]
+        memo.learn(list(chain.from_iterable(keys)))
+        out: list[Aligned | None] = []
+        for t, c, k in zip(texts, cut, keys, strict=True):
+            if not c:
+                out += checked([(" " + t).encode()], *([s.whole(t)] for s in sides)) if t else [None]
+                continue
+            words = list(map(memo.__getitem__, k))
+            if None in words:
+                out.append(None)
+                continue
+            groups, links, n_a, n_b = zip(*words, strict=True)
+            out.append(Aligned(b";".join(groups), b"".join(links), sum(n_a), sum(n_b)))
+        return out
 
-    return aligned
+    return align_texts
 
 
-def _added(found: list[tuple], groups: bool) -> list[pa.Array]:
+def _added(found: list[Aligned | None], groups: bool) -> list[pa.Array]:
     """The columns that a batch's alignments add."""
-    pairs = np.concatenate([np.empty(0, np.int64), *(x[4] for x in found)])
-    times = np.concatenate([np.empty(0, np.int64), *(x[5] for x in found)])
+    found = [x or Aligned(b"", b"", 0, 0) for x in found]
+    distinct = [np.unique(np.frombuffer(x.links, np.int64), return_counts=True) for x in found]
+    pairs, times = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*distinct, strict=True)) if found else (np.empty(0, np.int64),) * 2
     links = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (pairs >> 32, pairs & 0xFFFFFFFF, times)], fields=list(LINK))
-    ends = np.cumsum([0, *(len(x[4]) for x in found)]).astype(np.int32)
-    digests = [hashlib.sha256(x[3]).hexdigest() if x[0] else "" for x in found]
-    numbers = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
-    return [*numbers, pa.array(digests), pa.ListArray.from_arrays(pa.array(ends), links), pa.array([x[3].decode() if groups else None for x in found], pa.string())]
+    ends = np.cumsum([0, *(len(x) for x, _ in distinct)]).astype(np.int32)
+    digests = [hashlib.sha256(x.groups).hexdigest() if x.n_a else "" for x in found]
+    numbers = [pa.array(x, pa.int64()) for x in ([x.n_a for x in found], [x.n_b for x in found], [len(x.links) // 8 for x in found])]
+    return [*numbers, pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends), links), pa.array([x.groups.decode() if groups else None for x in found], pa.string())]
 
 
 def tokens(docs: DataFrame, first: str, second: str, text: str, groups: bool) -> DataFrame:
@@ -235,11 +252,9 @@ def tokens(docs: DataFrame, first: str, second: str, text: str, groups: bool) ->
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
-        encode, align_one = encoder(first, second), aligner(first, second)
-        nothing = (0, 0, 0, b"", np.empty(0, np.int64), np.empty(0, np.int64))
+        align_texts = aligner(first, second)
         for batch in batches:
-            ids = encode([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
-            found = [align_one(*x) if x else nothing for x in ids]
+            found = align_texts([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_added(found, groups)], [*kept, *(n for n, _ in ADDED)])
 
     schema = docs.select(*kept).schema
