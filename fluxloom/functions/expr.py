@@ -58,3 +58,17 @@ def any_bit(c, *numbers: int) -> Column:
 def r6(c, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(col(c), digits) + F.lit(0.0)
+
+
+def half_up(c, digits: int = 6) -> Column:
+    """Rounded, a half upwards, by arithmetic that every engine does alike."""
+    scale = 10.0**digits
+    return F.floor(col(c) * scale + 0.5) / scale
+
+
+def exact_mean(v, unit: float = 2.0**-50) -> Column:
+    """Mean in a group that doesn't depend on the order of its rows: values are counted in units, and
+    sums of whole numbers are exact. A group with a value of 2**62 units or more has the plain mean."""
+    v = col(v)
+    whole = F.when(F.abs(v) < 2.0**62 * unit, F.floor(v / unit + 0.5).cast("decimal(20,0)"))
+    return F.when(F.count(whole) == F.count(v), safe_divide(F.sum(whole).cast("double"), F.count(v)) * unit).otherwise(F.avg(v))

@@ -7,18 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import col
+from ..functions.expr import col, exact_mean
 from ..functions.physics import days_between
 from .quantiles import exact_quantiles
 from .smoothing import PIXEL
 
 
 def merge_same_day(scenes: DataFrame, values: list[str], keys: list[str] = PIXEL, ts: str = "scene_ts") -> DataFrame:
-    """One row per key and day: mean of the day's scenes. Where one of them shows snow the day
-    is snow and has no value. `day` counts from the first scene of all."""
+    """One row per key and day: mean of the day's scenes, the same in whichever order they come.
+    Where one of them shows snow the day is snow and has no value. `day` counts from the first scene
+    of all."""
     start = scenes.agg(F.min(F.to_date(ts)).alias("_start"))  # one row
     snow = F.coalesce(F.bool_or("is_snow"), F.lit(False)) if "is_snow" in scenes.columns else F.lit(False)
-    days = scenes.groupBy(*keys, F.to_date(ts).alias("_date")).agg(snow.alias("is_snow"), *[F.avg(v).alias(v) for v in values])
+    days = scenes.groupBy(*keys, F.to_date(ts).alias("_date")).agg(snow.alias("is_snow"), *[exact_mean(v).alias(v) for v in values])
     days = days.crossJoin(F.broadcast(start)).withColumn("day", F.datediff("_date", "_start").cast("long"))
     return days.select(*keys, "day", "is_snow", *[F.when(~F.col("is_snow"), F.col(v)).alias(v) for v in values])
 
