@@ -42,7 +42,7 @@ def test_mean_of_a_day_is_the_same_in_any_order(spark, values):
     assert day(rows) == pytest.approx(sum(values) / 3, abs=1e-3)
 
 
-@pytest.mark.parametrize("name", ["v01_v03_without_xeric", "v01_v07_j13_features"])
+@pytest.mark.parametrize("name", ["v01_v03_without_xeric", "v01_v07_j13_features", "v07_features_on_grid"])
 def test_halves_do_not_depend_on_the_order_of_scenes(spark, tmp_path, name):
     """All orders of the scenes give what the SQL gives, to the last bit."""
     results = [r for k, s in enumerate((HALF, HALF[::-1], HALF[1:] + HALF[:1], HALF[2:] + HALF[:2], [HALF[i] for i in (1, 3, 0, 2)])) for r in both(spark, name, tables(spark, tmp_path / str(k), s))]
