@@ -19,7 +19,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of texts whose 5-word shingles are similar to 0.8."""
+    """Keep one document of each class of texts whose 5-word shingles are similar to 0.8: candidates
+    by SimHash's keys and by min-hash bands, each checked on whole shingle sets."""
     return near_copies.representatives(docs)
 
 
@@ -40,7 +41,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality classifier", quality_filter),
-    ("near-dedup by shingles", near_dedup),
+    ("near-dedup by SimHash and shingles", near_dedup),
     ("benchmark decontamination", decontamination),
     ("mixing sources", mixture),
     ("token files", token_output),

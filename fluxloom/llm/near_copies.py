@@ -1,8 +1,10 @@
 """Classes of near copies by the exact Jaccard similarity of word shingles.
 
-Fingerprints of 64 bits differ in ten bits on average at similarity 0.8, too many for keys
-made of their bits. So candidates come from min-hash bands: texts of similarity s share one
-of BANDS keys with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99998 at 0.8. Every candidate
+Candidates come from two sets of keys. The first are those of SimHash, `simhash.variants`: halves
+of the fingerprint of a text's shingle set without one of their bits, so that all fingerprints
+at most two bits apart share a key. Texts of similarity 0.8 differ in ten bits on average,
+too many for keys made of bits, so min-hash bands find those: texts of similarity s share one of
+BANDS keys with probability 1 - (1 - s ** ROWS) ** BANDS, 0.99998 at 0.8. Every candidate
 pair is then checked on the texts' whole shingle sets, and the classes are the connected
 components of the pairs that pass.
 
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize, small_batches, trim
-from .simhash import BLOCK, PAIR_LIMIT, keep_least
+from .simhash import BLOCK, PAIR_LIMIT, keep_least, majority, variants
 
 #: Words of a shingle and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -68,18 +70,25 @@ def keys_of(found: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """id, hash of the text, node (a hash of the shingle set) and the node's keys."""
+    """id, hash of the text, node (a hash of the shingle set), the node's fingerprint and band keys."""
 
-    @F.pandas_udf("node long, keys array<long>")
+    @F.pandas_udf("node long, fp long, keys array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trim()
         for texts in batches:
             sets = [shingles(t, words, seed) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "keys": [keys_of(s) for s in sets]})
+            prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": nodes, "fp": prints, "keys": [keys_of(s) for s in sets]})
 
     small_batches(docs.sparkSession)
-    return docs.select("id", F.xxhash64("text").alias("hash"), sign(F.col("text").cast("binary")).alias("s")).select("id", "hash", "s.node", "s.keys")
+    return docs.select("id", F.xxhash64("text").alias("hash"), sign(F.col("text").cast("binary")).alias("s")).select("id", "hash", "s.node", "s.fp", "s.keys")
+
+
+def _keys(nodes: DataFrame) -> DataFrame:
+    """The keys at which nodes meet: node, key. A node without shingles has none."""
+    prints = variants(nodes.where(F.size("keys") > 0).select("node", "fp")).select("node", "key")
+    return prints.unionByName(nodes.select("node", F.explode("keys").alias("key")))
 
 
 def _sets(docs: DataFrame, signed: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
@@ -160,7 +169,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     """One row per document: id, hash of its text, and component_id, the smallest id of its class."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     signed = materialize(_signed(docs, words, seed))
-    keys = signed.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    keys = _keys(signed.select("node", "fp", "keys").dropDuplicates(["node"]))
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = materialize(keys.join(shared, "key"))
     sets = _sets(docs, signed, met.select("node").distinct(), words, seed)

@@ -82,17 +82,30 @@ def _spanning(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (nodes, roots))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of 64-bit hashes of shingles; zero of none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[k : k + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def variants(prints: DataFrame) -> DataFrame:
+    """Each row of prints (column fp) with its 64 keys (column key): a half without one of its bits."""
+    half = F.col("j").bitwiseAND(F.lit(32))
+    part = F.when(half == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.expr("shiftrightunsigned(fp, 32)"))
+    bit = F.expr("shiftleft(1L, cast(j & 31 as int))")
+    keys = prints.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+    return keys.withColumn("key", part.bitwiseAND(F.bitwise_not(bit)) + F.expr("shiftleft(j, 32)")).drop("j")
+
+
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) with the same classes as all
     pairs that differ in at most `bits` (2) bits. Large keys are compared block by block and
     give a spanning set of links instead of all pairs."""
     if bits > 2:
         raise ValueError("two halves with one left-out bit find two differing bits at most")
-    half = F.col("j").bitwiseAND(F.lit(32))
-    part = F.when(half == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.expr("shiftrightunsigned(fp, 32)"))
-    bit = F.expr("shiftleft(1L, cast(j & 31 as int))")
-    keys = prints.select("fp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("j"))
-    keys = keys.select("fp", (part.bitwiseAND(F.bitwise_not(bit)) + F.expr("shiftleft(j, 32)")).alias("key"))
+    keys = variants(prints.select("fp"))
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = materialize(keys.join(shared, "key"))
 
