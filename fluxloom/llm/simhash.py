@@ -2,8 +2,10 @@
 
 A fingerprint is cut into two halves of 32 bits. Two fingerprints that differ in at most
 two bits have a half in which they differ in at most one. Each half is indexed once per
-bit with that bit left out, so such a pair meets in at least one equal key; an equality
-join brings them together and the whole distance is verified.
+bit with that bit left out, so such a pair meets in at least one equal key; equality
+joins bring them together and the whole distance is verified. Keys are shuffled once, to be
+counted; the members of those that are shared are found by the two halves that such a key
+can come from, which is a row for each half instead of one for each key.
 
 Defined results: null and empty texts have fingerprint zero and link like any other;
 texts of fewer words than a shingle hash their whole word sequence; repeated rows each
@@ -99,15 +101,26 @@ def variants(prints: DataFrame) -> DataFrame:
     return keys.withColumn("key", part.bitwiseAND(F.bitwise_not(bit)) + F.expr("shiftleft(j, 32)")).drop("j")
 
 
+def members(prints: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of prints (column fp) at each key of shared (columns key and others): shared's columns, fp.
+    A key's members have one of two halves, that without the left-out bit and that with it."""
+    side = F.col("key").bitwiseAND(F.lit(32 << 32))
+    part, bit = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)), F.expr("shiftleft(1L, cast(shiftright(key, 32) & 31 as int))")
+    homes = shared.withColumn("home", F.explode(F.array(side + part, side + part + bit)))
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.expr("shiftrightunsigned(fp, 32)")
+    own = prints.select("fp", F.explode(F.array(low, high + F.lit(32 << 32))).alias("home"))
+    return own.join(homes, "home").select(*shared.columns, "fp")
+
+
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) with the same classes as all
     pairs that differ in at most `bits` (2) bits. Large keys are compared block by block and
     give a spanning set of links instead of all pairs."""
     if bits > 2:
         raise ValueError("two halves with one left-out bit find two differing bits at most")
-    keys = variants(prints.select("fp"))
-    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = materialize(keys.join(shared, "key"))
+    prints = prints.select("fp")
+    shared = materialize(variants(prints).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = materialize(members(prints, shared))
 
     few = met.where(F.col("n") <= PAIR_LIMIT)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))

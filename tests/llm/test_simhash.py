@@ -75,3 +75,47 @@ def test_edges_of_the_input(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3, 5]
     assert simhash.classes(docs.where(F.lit(False))).count() == 0
+
+
+def records_shuffled(spark):
+    """Records that the session's shuffles have written so far."""
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    context.listenerBus().waitUntilEmpty()
+    none, no_quantiles = jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = context.statusStore().stageList(none, False, False, no_quantiles, none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_keys_are_shuffled_once_where_shared_ones_are_too_many_to_send(spark):
+    rng = np.random.default_rng(5)
+    found = rng.integers(0, 1 << 63, 2000, np.uint64) * np.uint64(2) + rng.integers(0, 2, 2000, np.uint64)
+    near = found[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300, np.uint64))
+    found = np.unique(np.concatenate([found, near]))
+    prints = spark.createDataFrame([(int(x),) for x in found.view(np.int64)], "fp long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = records_shuffled(spark)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {tuple(r) for r in simhash.links(prints).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = sum(n for k, n in records_shuffled(spark).items() if k not in before)
+    pairs = np.triu(np.bitwise_count(found[:, None] ^ found[None, :]) <= 2, 1)
+    want = {tuple(sorted((int(found[a].astype(np.int64)), int(found[b].astype(np.int64))))) for a, b in zip(*pairs.nonzero(), strict=True)}
+    assert got == want
+    assert len(want) >= 300
+    shared = 300 * 33  # a pair one bit apart shares the keys of its equal half and one of the other
+    assert 64 * len(found) <= moved <= 64 * len(found) + 2 * len(found) + 10 * shared
+
+
+def test_members_of_keys_are_those_of_the_exploded_keys(spark):
+    rng = np.random.default_rng(6)
+    bits = [int(x) for x in rng.integers(0, 1 << 63, 40)]
+    found = {0, -1, 1 << 31, 1 << 32, -1 << 63, (1 << 63) - 1, *bits, *(-1 - b for b in bits)}
+    found |= {x ^ (1 << int(k)) for x in list(found) for k in rng.integers(0, 63, 2)}
+    prints = spark.createDataFrame([(x,) for x in sorted(found)], "fp long")
+    keys = simhash.variants(prints)
+    want = {(r["key"], r["fp"]) for r in keys.collect()}
+    got = simhash.members(prints, keys.select("key").distinct()).collect()
+    assert len(got) == len(want) == 64 * len(found)
+    assert {(r["key"], r["fp"]) for r in got} == want
